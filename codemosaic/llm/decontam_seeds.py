@@ -20,7 +20,9 @@ common speech by nothing and never match; equal items all count; other columns a
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +33,7 @@ from pyspark.sql import types as T
 from .common import steps, texts_of
 
 #: 1: the word counts. All have five ones; different spans and gaps, chosen for few common shifts.
-MASKS = ("11111", "1101011", "11100011", "101101001", "1100100101")
+MASKS = ("11111", "1101011", "11010011", "1010011001")
 WINDOW, SHARE, MIN_WORDS, BLOCK_CHARS = 13, 0.8, 5, 8_000_000
 
 _WORD = re.compile(r"\w+")
@@ -78,32 +80,47 @@ class SeedTable:
             order = np.argsort(h, kind="stable")
             self.seeds.append((h[order], item[order], p[order]))
 
-    def overlaps(self, text: str) -> list[tuple[int, float]]:
-        """(item_id, best share of equal words in a window) of the items that contaminate this text."""
-        get = self.vocabulary.get
-        ids = np.array([get(x, -1) for x in words(text)], np.int32)
-        pairs = []
+        self.matrix = np.full((len(self.words), max(map(len, self.words), default=0)), -2, np.int32)
+        for i, w in enumerate(self.words):
+            self.matrix[i, : len(w)] = w
+        self.sizes = np.array([len(w) for w in self.words], np.int64)
+
+    def overlaps(self, texts: list[str]) -> list[list[tuple[int, float]]]:
+        """For each text, (item_id, best share of equal words in a window) of the items that contaminate it."""
+        out: list[list[tuple[int, float]]] = [[] for _ in texts]
+        width = self.matrix.shape[1]
+        if not width:
+            return out
+        gap = [-1] * max(width, *map(len, MASKS))  # between texts: no window, no diagonal reaches over it
+        get, none, ids, starts = self.vocabulary.get, repeat(-1), [*gap], []
+        for t in texts:
+            starts.append(len(ids))
+            ids += map(get, words(t), none)
+            ids += gap
+        ids = np.array(ids, np.int32)
+        found = []
         for k, (h, item, p) in enumerate(self.seeds):
             at, own = seed_hashes(ids, k)
             lo = np.searchsorted(h, own)
-            hit = (lo < len(h)) & (h[np.minimum(lo, len(h) - 1)] == own) if len(h) else np.zeros(len(own), bool)
-            at, lo, own = at[hit], lo[hit], own[hit]
-            n = np.searchsorted(h, own, "right") - lo
+            hit = h[np.minimum(lo, len(h) - 1)] == own if len(h) else np.zeros(len(own), bool)
+            at, lo = at[hit], lo[hit]
+            n = np.searchsorted(h, own[hit], "right") - lo
             seed = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            pairs.append(np.stack([item[seed], np.repeat(at, n) - p[seed]], 1))
-        diagonals = np.unique(np.concatenate(pairs), axis=0) if pairs else np.empty((0, 2), np.int64)
-        best: dict[int, float] = {}
-        for i, d in diagonals.tolist():
-            w = self.words[i]
-            lo, hi = max(0, -d), min(len(w), len(ids) - d)
-            size = min(WINDOW, len(w))
-            equal = np.zeros(len(w) + 1, np.int32)
-            np.cumsum(w[lo:hi] == ids[lo + d : hi + d], out=equal[lo + 1 : hi + 1])
-            equal[hi + 1 :] = equal[hi]
-            share = float((equal[size:] - equal[:-size]).max()) / size
-            if share >= SHARE and share > best.get(i, 0):
-                best[i] = share
-        return [(self.items[i], s) for i, s in sorted(best.items())]
+            found.append((np.repeat(at, n) - p[seed]) * len(self.words) + item[seed])
+        diagonals = np.unique(np.concatenate(found))
+        for part in np.array_split(diagonals, len(diagonals) // 20_000 + 1):  # bounded memory
+            if not len(part):
+                continue
+            d, i = np.divmod(part, len(self.words))
+            equal = np.zeros((len(part), width + 1), np.int32)
+            np.cumsum(self.matrix[i] == ids[d[:, None] + np.arange(width)], axis=1, out=equal[:, 1:])
+            size = np.minimum(WINDOW, self.sizes[i])
+            most = (equal[:, WINDOW:] - equal[:, :-WINDOW]).max(axis=1, initial=0)
+            most = np.where(self.sizes[i] < WINDOW, equal[:, -1], most)
+            for x in np.flatnonzero(most >= SHARE * size).tolist():
+                at = int(d[x]) + int(np.argmax(self.matrix[i[x]] == ids[d[x] : d[x] + width]))  # an equal word lies in the text
+                out[bisect_right(starts, at) - 1].append((self.items[i[x]], float(most[x] / size[x])))
+        return [sorted({i: max(s for j, s in x if j == i) for i, _ in x}.items()) for x in out]
 
 
 def _blocks(benchmark: DataFrame, block_chars: int) -> Iterator[list[tuple[int, str]]]:
@@ -131,7 +148,7 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, text_at: int, block_cha
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             table = SeedTable(shared.value)
             for b in steps(batches, text_at):
-                found = [[{"item_id": i, "share": s} for i, s in table.overlaps(t)] for t in texts_of(b.column(text_at))]
+                found = [[{"item_id": i, "share": s} for i, s in x] for x in table.overlaps(texts_of(b.column(text_at)))]
                 if b.num_columns > width:
                     found = [x + y for x, y in zip(b.column(width).to_pylist(), found, strict=True)]
                 yield pa.RecordBatch.from_arrays([*b.columns[:width], pa.array(found, kind)], schema.names)
