@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_chunks, chat_format, decontam_seeds, line_winnow, probminhash
+from . import bpe_chunks, chat_format, decontam_seeds, line_winnow, probminhash, quality_nbsvm, rule_ledger
 from .common import table
 
 
@@ -17,10 +17,19 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_nbsvm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_nbsvm.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_chunks.round_trip_digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op3_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = rule_ledger.apply_policy(rule_ledger.ledger(table(spark, sf_dir, "documents")))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_bits")
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_winnow.dedup_lines(table(spark, sf_dir, "documents"))
 
@@ -44,8 +53,28 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_bpe_codec, op5_line_dedup, op8_chat_format, op9_decontamination, op10_probminhash)}
-
+    return {f.__name__: f for f in (op1_nbsvm_quality, op2_bpe_codec, op3_rule_ledger, op5_line_dedup, op8_chat_format, op9_decontamination, op10_probminhash)}
+
+
+RULE_LEDGER_SQL = r"""
+WITH docs AS (SELECT doc_id, text, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w, coalesce(string_split(text, chr(10)), []) AS l FROM documents),
+word AS (SELECT doc_id, unnest(w) AS w, unnest(range(1, len(w) + 1)) AS i FROM docs),
+win AS (SELECT doc_id, i, w AS a, lead(w) OVER p AS b, lead(w, 2) OVER p AS c FROM word WINDOW p AS (PARTITION BY doc_id ORDER BY i)),
+twice AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, a, b, c) AS n FROM win WHERE c IS NOT NULL),
+covered AS (SELECT DISTINCT doc_id, i + o AS i FROM twice, (SELECT unnest([0, 1, 2]) AS o) WHERE n > 1),
+rep AS (SELECT doc_id, count(*) AS n FROM covered GROUP BY doc_id),
+line AS (SELECT doc_id, unnest(l) AS line FROM docs),
+dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM line WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+m AS (
+  SELECT d.doc_id, len(d.w) AS n_words, coalesce(length(array_to_string(d.w, '')), 0) AS word_chars, coalesce(len(regexp_extract_all(d.text, '[#*$%&|<>]')), 0) AS n_symbols,
+    coalesce(dup.n, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, len(d.l) AS n_lines,
+    coalesce(len(regexp_extract_all(d.text, '[A-Za-zÀ-ÖØ-öø-ÿ]')), 0) AS n_letters, coalesce(len(regexp_extract_all(d.text, '[A-ZÀ-ÖØ-Þ]')), 0) AS n_capitals
+  FROM docs d LEFT JOIN rep USING (doc_id) LEFT JOIN dup USING (doc_id)),
+bits AS (
+  SELECT *, (n_words < 50)::BIGINT + 2 * (100 * n_repeat_words > 50 * n_words)::BIGINT + 4 * (100 * n_symbols > 40 * n_words)::BIGINT + 8 * (100 * n_capitals > 60 * n_letters)::BIGINT
+    + 16 * (100 * n_dup_lines > 50 * n_lines AND n_dup_lines > 3)::BIGINT + 32 * (word_chars > 25 * n_words OR word_chars < 2 * n_words)::BIGINT AS fail_bits FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_bits & 3) <> 0 AS base_failed, (fail_bits & 15) = 0 AS kept, fail_bits FROM bits
+"""
 
 LINE_DEDUP_SQL = r"""
 WITH docs AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents),
@@ -65,4 +94,4 @@ FROM line l LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.i = l.i GROUP BY l.doc
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_line_dedup": LINE_DEDUP_SQL}
+    return {"op3_rule_ledger": RULE_LEDGER_SQL, "op5_line_dedup": LINE_DEDUP_SQL}
