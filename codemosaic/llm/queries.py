@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_chunks, chat_format, decontam_seeds, line_winnow, probminhash, quality_nbsvm, rule_ledger
+from . import bpe_chunks, chat_format, decontam_seeds, html_crf, lang_crf, line_winnow, probminhash, quality_nbsvm, rule_ledger
 from .common import table
 
 
@@ -34,6 +34,14 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_winnow.dedup_lines(table(spark, sf_dir, "documents"))
 
 
+def op6_lang_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lang_crf.identify(table(spark, sf_dir, "documents"))
+
+
+def op7_html_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_crf.extract(table(spark, sf_dir, "pages"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam_seeds.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -53,7 +61,7 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_nbsvm_quality, op2_bpe_codec, op3_rule_ledger, op5_line_dedup, op8_chat_format, op9_decontamination, op10_probminhash)}
+    return {f.__name__: f for f in (op1_nbsvm_quality, op2_bpe_codec, op3_rule_ledger, op5_line_dedup, op6_lang_crf, op7_html_crf, op8_chat_format, op9_decontamination, op10_probminhash)}
 
 
 RULE_LEDGER_SQL = r"""
