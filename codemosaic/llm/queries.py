@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_chunks, chat_format, decontam_seeds, html_crf, lang_crf, line_winnow, probminhash, quality_nbsvm, rule_ledger
-from .common import table
+from . import bpe_chunks, chat_format, decontam_seeds, html_crf, lang_crf, line_winnow, probminhash, quality_nbsvm, rule_ledger, token_rollups
+from .common import scratch_path, table
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -30,6 +30,15 @@ def op3_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_bits")
 
 
+def op4_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole table as one batch of inserts, sent twice: the second time it is refused."""
+    store = token_rollups.RollupStore(spark, scratch_path(spark, "rollups"))
+    changes = token_rollups.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path(), "byte_bpe_50k@1")
+    for _ in range(2):
+        store.commit("documents", changes)
+    return store.totals()
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_winnow.dedup_lines(table(spark, sf_dir, "documents"))
 
@@ -61,7 +70,7 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_nbsvm_quality, op2_bpe_codec, op3_rule_ledger, op5_line_dedup, op6_lang_crf, op7_html_crf, op8_chat_format, op9_decontamination, op10_probminhash)}
+    return {f.__name__: f for f in (op1_nbsvm_quality, op2_bpe_codec, op3_rule_ledger, op4_token_rollups, op5_line_dedup, op6_lang_crf, op7_html_crf, op8_chat_format, op9_decontamination, op10_probminhash)}
 
 
 RULE_LEDGER_SQL = r"""
