@@ -7,7 +7,7 @@ import sys
 import tempfile
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -29,3 +29,13 @@ def ship_package(spark: SparkSession) -> None:
     context.addPyFile(path)
     sys.path[:] = before  # the driver goes on with its own files
     _shipped.add(context.applicationId)
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """The same rows from files in the shared checkpoint folder: the plan starts anew, and a lost executor is recovered from files.
+
+    The folder is the one that spark.checkpoint.dir names; a folder of our own is set only where that is unset."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
+    return df.checkpoint()
