@@ -7,7 +7,8 @@ lower case.
 Each block of benchmark items becomes a table of seed hashes (mask, words at its kept positions -> item, position). Documents
 are joined with it by hash; a hit fixes a diagonal of document and item, along which the words are compared one by one. A
 document is contaminated by an item if WINDOW consecutive words of the item (all of them, if it has fewer) stand
-on one diagonal with at least SHARE of them equal.
+on one diagonal with at least SHARE of them equal; of 8 to 10 words one may differ, of fewer none. The masks find every
+such place: no choice of so many substitutions escapes all of them.
 
 The benchmark is a stated query set: its size is taken first, it is split into blocks of at most BLOCK_CHARS characters
 (one block in common cases), and each block alone is collected and broadcast. Documents pass the blocks one after the
@@ -41,6 +42,11 @@ _FACTORS = np.random.default_rng(977).integers(1, 1 << 63, (len(MASKS), 5), dtyp
 _OFFSETS = [[i for i, c in enumerate(m) if c == "1"] for m in MASKS]
 
 
+def needed(size: int) -> int:
+    """How many of so many words must be equal. Below 11 words it is more than SHARE: as many as the masks find without fail."""
+    return size - (0 if size < 8 else 1 if size < 11 else int(size * (1 - SHARE) + 1e-9))
+
+
 def words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
@@ -84,6 +90,7 @@ class SeedTable:
         for i, w in enumerate(self.words):
             self.matrix[i, : len(w)] = w
         self.sizes = np.array([len(w) for w in self.words], np.int64)
+        self.needed = np.array([needed(min(WINDOW, len(w))) for w in self.words], np.int64)
 
     def overlaps(self, texts: list[str]) -> list[list[tuple[int, float]]]:
         """For each text, (item_id, best share of equal words in a window) of the items that contaminate it."""
@@ -117,7 +124,7 @@ class SeedTable:
             size = np.minimum(WINDOW, self.sizes[i])
             most = (equal[:, WINDOW:] - equal[:, :-WINDOW]).max(axis=1, initial=0)
             most = np.where(self.sizes[i] < WINDOW, equal[:, -1], most)
-            for x in np.flatnonzero(most >= SHARE * size).tolist():
+            for x in np.flatnonzero(most >= self.needed[i]).tolist():
                 at = int(d[x]) + int(np.argmax(self.matrix[i[x]] == ids[d[x] : d[x] + width]))  # an equal word lies in the text
                 out[bisect_right(starts, at) - 1].append((self.items[i[x]], float(most[x] / size[x])))
         return [sorted({i: max(s for j, s in x if j == i) for i, _ in x}.items()) for x in out]
