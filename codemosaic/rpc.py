@@ -61,7 +61,7 @@ class Tools:
         try:
             for r in required:
                 if r not in arguments:
-                    raise Missing(f"Error: '{r}' argument is required")
+                    raise Missing(f"Argument '{r}' is missing")
             out = run(arguments)
         except (Missing, FileError) as e:
             return _content(str(e), True)
@@ -71,13 +71,13 @@ class Tools:
 
     def _check(self, a: dict) -> dict:
         if "code" not in a and "path" not in a:
-            raise Missing("Error: Either 'code' or 'path' argument is required")
+            raise Missing("Give one of the arguments 'code' and 'path'")
         return self.engine.check_safety(a["code"] if "code" in a else read_text(a["path"]))
 
     def _patch(self, a: dict) -> str:
         out = self.engine.patch_symbol(a["source"], a["symbol"], a["new_code"], a.get("language", "rust"))
         if out["error"]:
-            raise Missing(f"Patch failed: {out['error']}")
+            raise Missing(f"Not patched: {out['error']}")
         return out["patched"]
 
     def _slice(self, a: dict) -> dict:
@@ -85,7 +85,7 @@ class Tools:
         if "code" in a:
             return self.engine.slice_code(a["code"], a["symbol"], depth, language)
         if "path" not in a:
-            raise Missing("Error: Either 'code' or 'path' must be provided for intent slicing")
+            raise Missing("Give one of the arguments 'code' and 'path' to slice")
         if os.path.isdir(a["path"]):
             return self.engine.slice_corpus(a["path"], a["symbol"], depth)
         return self.engine.slice_code(read_text(a["path"]), a["symbol"], depth, os.path.splitext(a["path"])[1][1:] or language)
