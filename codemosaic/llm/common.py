@@ -64,6 +64,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def smallest_by_hash(rows: DataFrame, n: int, key: str, *ties: str | Column) -> DataFrame:
+    """The n rows with the smallest hashes of a key. Only rows below a hash that about 4 n rows are below are sorted, so what
+    partitions send on is bounded by n, not by how many partitions there are."""
+    of = F.pmod(F.xxhash64(key), F.lit(1 << 30))
+    share = 4 * n / max(1, rows.count())
+    few = rows if share >= 1 else rows.where(of < int(share * (1 << 30)))
+    return few.orderBy(of, key, *ties).limit(n)
+
+
 def crc_mod(column: str, n: int) -> Column:
     """crc32 of a column's text, modulo n; null counts as the empty text."""
     return (F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % n).cast("int")

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, steps, texts_of
+from .common import crc_mod, smallest_by_hash, steps, texts_of
 
 SAMPLE_ROWS, SAMPLE_CHARS, ROUNDS, RATE, PENALTY = 400, 200_000, 30, 0.3, 1e-4
 GRAMS, LEXICON, LEXICON_LEAST, BUCKETS, BLOCK = (2, 3, 4), 20_000, 5, 1 << 15, 32
@@ -225,7 +225,7 @@ class Tagger:
 def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     """A model from documents whose crc32(doc_id) mod 4 is not 2."""
     usable = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").where((crc_mod("doc_id", 4) != 2) & F.col("lang").isNotNull() & (F.char_length("text") <= SAMPLE_CHARS))
-    got = usable.orderBy(F.xxhash64("doc_id"), "doc_id", "lang", F.xxhash64("text")).limit(sample_rows).collect()
+    got = smallest_by_hash(usable, sample_rows, "doc_id", "lang", F.xxhash64("text")).collect()
     return fit([words(r.text) for r in got], [r.lang for r in got])
 
 

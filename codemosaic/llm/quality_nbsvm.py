@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_mod, steps, texts_of
+from .common import crc_mod, smallest_by_hash, steps, texts_of
 
 SAMPLE_ROWS, FOLDS, EPOCHS, COST, SMOOTHING = 4000, 3, 12, 1.0, 1.0
 #: Documents scored below this are predicted 0.
@@ -174,7 +174,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray) -> Model:
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     """A model from the labelled rows whose crc32(doc_id) mod 5 is not 0."""
     usable = labels.where((crc_mod("doc_id", 5) != 0) & F.col("quality").isNotNull() & F.col("doc_id").isNotNull())
-    sample = usable.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
+    sample = smallest_by_hash(usable.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("quality")), sample_rows, "doc_id")
     # The sample is bounded, so it can be sent to every executor; repeated documents are one row.
     held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("quality").alias("quality"))
 
