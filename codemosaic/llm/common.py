@@ -64,6 +64,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: So many rows of names, keys or positions (under 64 bytes each) are broadcast at most; more are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
+
+
+def broadcast_if_few(rows: DataFrame, name: str, most: int = BROADCAST_ROWS) -> DataFrame:
+    """A narrow table, written; broadcast to what it is joined with if its rows, which are counted, are few."""
+    written = materialize(rows, name)
+    return F.broadcast(written) if written.count() <= most else written
+
+
 def smallest_by_hash(rows: DataFrame, n: int, key: str, *ties: str | Column) -> DataFrame:
     """The n rows with the smallest hashes of a key. Only rows below a hash that about 4 n rows are below are sorted, so what
     partitions send on is bounded by n, not by how many partitions there are."""
