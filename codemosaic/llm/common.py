@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import os
 import tempfile
 import uuid
 import zlib
@@ -111,7 +110,3 @@ def steps(batches: Iterator[pa.RecordBatch], column: str, most: int = STEP_BYTES
                 start, total = i, 0
             total += n
         yield batch.slice(start)
-
-
-def package_root() -> str:
-    return os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
