@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.functions import arrow_udf
 
-from ..functions.strings import UNICODE, left_trimmed, lines_column, match_start, trimmed
+from ..functions.strings import UNICODE, lines_column, match_start, trimmed
 from . import scanners
 
 #: Violation codes, in the order of the passes (fixed values).
