@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, steps, texts_of
+from .common import broadcast_if_few, materialize, steps, texts_of
 
 #: Words (of [^\x20\x09-\x0D]+) that a run has at least.
 RUN_WORDS = 50
@@ -99,9 +99,10 @@ def repeated_stretches(docs: DataFrame, least: int = RUN_WORDS) -> DataFrame:
     # A repeated row adds nothing: its stretches stand where those of its equal stand.
     found = materialize(_keyed(docs).mapInArrow(run, STRETCHES), "stretches")
     marks = found.groupBy("mark").agg(F.sum("first_of_mark").alias("positions")).where("positions > 1").select("mark")
-    joined = found.join(marks, "mark", "left_semi").select("stretch", "own_id", "own_hash", "start", "end")
+    # Few fingerprints repeat: as long as they are few in number too, all other stretches go where they are.
+    joined = found.join(broadcast_if_few(marks, "marks"), "mark", "left_semi").select("stretch", "own_id", "own_hash", "start", "end")
     earliest = joined.groupBy("stretch").agg(F.min(F.struct("own_id", "own_hash", "start")).alias("earliest"), F.count(F.lit(1)).alias("n")).where("n > 1").select("stretch", "earliest")
-    return joined.join(earliest, "stretch").where(F.struct("own_id", "own_hash", "start") > F.col("earliest")).select("own_id", "own_hash", "start", "end")
+    return joined.join(broadcast_if_few(earliest, "earliest"), "stretch").where(F.struct("own_id", "own_hash", "start") > F.col("earliest")).select("own_id", "own_hash", "start", "end")
 
 
 def _without(text: str | None, spans: list[dict] | None) -> tuple[str | None, int, int]:
