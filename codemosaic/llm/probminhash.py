@@ -11,9 +11,14 @@ Candidates come from BANDS bands of ROWS registers:
 - in a larger bucket every node is paired with LEADERS leaders, the nodes that lie in most large buckets (the nearest to
   what the bucket has in common). Its nodes are also dealt out anew by pairs of large buckets that they share; of those finer
   buckets the ones of at most FINE nodes give their pairs, the others pair every node with a leader drawn by hash, another
-  in each. So pairs grow in proportion to the nodes, never with the square of a group.
+  in each. So these pairs grow in proportion to the nodes.
 Pairs whose registers agree too rarely (LEAST_AGREED) go; the rest are verified on their whole shingle sets: a link needs a
-probability Jaccard or a plain Jaccard similarity of at least SIMILARITY. Classes are the components of the links.
+probability Jaccard or a plain Jaccard similarity of at least SIMILARITY. Components of these links are the first pass.
+
+The second pass makes up for the pairs that larger buckets left out: of every larger bucket whose nodes are in several components, all
+pairs across components are compared on their whole shingle sets, in blocks of bounded size. The nodes of the bucket's largest
+component meet only the others, so a group that the first pass has joined costs its few stragglers times its size; a group of
+unlinked nodes (a long passage that many share) costs its square. Classes are the components of both passes' links.
 
 Defined cases: null text counts as empty; all empty texts are equal, so one class; a text of fewer than WORDS words is
 one shingle; repeated rows are copies; the class id is the smallest doc_id of the class (null only if all are null);
@@ -40,8 +45,10 @@ M = BANDS * ROWS
 SMALL, LEADERS, FINE, NEAR_BANDS = 12, 3, 4, 2
 #: Over three standard deviations of the estimate from M registers below SIMILARITY.
 LEAST_AGREED = 0.68
+#: A block of the second pass has about so many nodes, or bytes of their shingle sets, at most.
+BLOCK_NODES, BLOCK_BYTES = 256, 1 << 20
 
-FEATURES = "doc_id long, node binary, bands array<long>, registers binary, shingles binary, counts binary"
+FEATURES = "doc_id long, node binary, bands array<long>, registers binary, shingles binary, counts binary, size long"
 
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15))
 _PLACE = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -57,7 +64,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 class Shingler:
     """Shingle hashes of texts; keeps the hashes of words seen before, up to a bound."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 200_000):
         self.words: dict[str, int] = {}
         self.most = most
 
@@ -119,6 +126,13 @@ def bands_of(kept: np.ndarray) -> np.ndarray:
 _shinglers: list[Shingler] = []
 
 
+def _free() -> None:
+    """Give back what making features has left in a worker that later stages use again."""
+    if _shinglers:
+        _shinglers.clear()
+        pa.default_memory_pool().release_unused()
+
+
 def features(docs: DataFrame) -> DataFrame:
     """FEATURES of docs(doc_id, text): node names the text, the rest is what candidates and verification need."""
 
@@ -126,7 +140,7 @@ def features(docs: DataFrame) -> DataFrame:
         if not _shinglers:
             _shinglers.append(Shingler())
         shingle = _shinglers[0]
-        for b in steps(batches, "text"):
+        for b in steps(batches, "text", most=1 << 20):
             texts = texts_of(b.column("text"))
             sets, counts = zip(*map(shingle, texts), strict=True)
             kept = registers(list(sets), list(counts))
@@ -139,6 +153,7 @@ def features(docs: DataFrame) -> DataFrame:
                 pa.array([(x >> np.uint64(48)).astype(np.uint16).tobytes() for x in kept], pa.binary()),
                 pa.array([x.tobytes() for x, _ in short], pa.binary()),
                 pa.array([b"" if c.max(initial=1) == 1 else np.minimum(c[i], 65535).astype(np.uint16).tobytes() for c, (_, i) in zip(counts, short, strict=True)], pa.binary()),
+                pa.array([6 * len(x) for x, _ in short], pa.int64()),
             ]
             yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in FEATURES.split(", ")])
 
@@ -185,10 +200,13 @@ def _sized(keyed: DataFrame) -> DataFrame:
     return keyed.join(broadcast_if_few(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "keys"), "key")
 
 
-def candidates(nodes: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) of nodes(node, bands) that share a band, by the rules above."""
-    keyed = nodes.select("node", F.posexplode("bands").alias("band", "key"))
-    buckets = materialize(_sized(keyed), "buckets")
+def buckets_of(nodes: DataFrame) -> DataFrame:
+    """(key, node, size, band, n): the bands of nodes(node, bands, size) that two nodes or more have."""
+    return materialize(_sized(nodes.select("node", "size", F.posexplode("bands").alias("band", "key"))), "buckets")
+
+
+def candidates(buckets: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) of nodes that share a band, by the rules of the first pass."""
     hot = buckets.where(F.col("n") > SMALL)
     own = hot.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("band", "key"))).alias("hot"))
     ranked = buckets.join(own.select("node", F.size("hot").alias("in_hot")), "node", "left")
@@ -199,16 +217,15 @@ def candidates(nodes: DataFrame) -> DataFrame:
     return first.union(second).distinct()
 
 
-def links(found: DataFrame) -> DataFrame:
-    """Verified pairs (a, b) of distinct nodes of FEATURES rows."""
-    nodes = found.where(F.size("bands") > 0)
-    pairs = candidates(nodes.groupBy("node").agg(F.first("bands").alias("bands")))
+def links(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes of FEATURES rows that hold when verified."""
     pairs = materialize(pairs, "pairs")
     ends = lambda df: df.select(F.col("a").alias("node")).union(df.select(F.col("b").alias("node"))).distinct()
     # Registers and shingles are the bulk of the features: only those of nodes in pairs leave their place.
     one = nodes.join(broadcast_if_few(ends(pairs), "paired"), "node", "left_semi").groupBy("node").agg(F.first("registers").alias("registers"))
 
     def rough(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _free()
         for b in batches:
             if b.num_rows:
                 x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint16).reshape(-1, M) for c in ("ra", "rb"))
@@ -216,6 +233,7 @@ def links(found: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(keep)
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _free()
         for b in batches:
             rows = zip(*(b.column(c).to_pylist() for c in ("sa", "ca", "sb", "cb")), strict=True)
             keep = pa.array([similarity(*x) >= SIMILARITY for x in rows], pa.bool_())
@@ -227,12 +245,113 @@ def links(found: DataFrame) -> DataFrame:
     return likely.join(side(bags, "a"), "a").join(side(bags, "b"), "b").select("a", "b", "sa", "ca", "sb", "cb").mapInArrow(exact, "a binary, b binary")
 
 
+def _shared(x: list[np.ndarray], y: list[np.ndarray], weights: list[np.ndarray] | None = None) -> np.ndarray:
+    """How many shingles each bag of x has in common with each of y, or their weight in x."""
+    out = np.zeros((len(x), len(y)))
+    sides = []
+    both = np.intersect1d(np.concatenate(x), np.concatenate(y))
+    for bags, w in ((x, weights), (y, None)):
+        flat, bag = np.concatenate(bags), np.repeat(np.arange(len(bags)), [len(b) for b in bags])
+        at = np.minimum(np.searchsorted(both, flat), max(0, len(both) - 1))
+        held = np.flatnonzero(both[at] == flat) if len(both) else np.empty(0, np.int64)
+        order = held[np.argsort(at[held], kind="stable")]
+        sides.append((at[order], bag[order], np.concatenate(w)[order] if w else np.ones(len(order))))
+    step = 1024
+    for start in range(0, len(both), step):
+        parts = []
+        for (at, bag, w), n in zip(sides, out.shape, strict=True):
+            lo, hi = np.searchsorted(at, (start, start + step))
+            dense = np.zeros((n, min(step, len(both) - start)), np.float64 if weights else np.float32)
+            dense[bag[lo:hi], at[lo:hi] - start] = w[lo:hi]
+            parts.append(dense)
+        out += parts[0] @ parts[1].T
+    return out
+
+
+def linked(x: list[tuple[bytes, bytes]], y: list[tuple[bytes, bytes]]) -> np.ndarray:
+    """Which bags (shingles, counts) of x and of y are similar: what similarity says of each pair, for all pairs at once."""
+    sx, sy = ([np.frombuffer(s, np.uint32) for s, _ in z] for z in (x, y))
+    both = _shared(sx, sy)
+    union = np.array([len(s) for s in sx])[:, None] + np.array([len(s) for s in sy])[None, :] - both
+    plain = np.divide(both, union, out=np.ones_like(both), where=union > 0)
+    out = plain >= SIMILARITY
+    counted = np.array([bool(c) for _, c in x])[:, None] | np.array([bool(c) for _, c in y])[None, :]
+    if (counted & ~out).any():
+        # The probability Jaccard similarity is at most the share of either bag's weight that both have.
+        wx, wy = ([np.frombuffer(c, np.uint16).astype(float) if c else np.ones(len(s) // 4) for s, c in z] for z in (x, y))
+        wx, wy = [w / w.sum() for w in wx], [w / w.sum() for w in wy]
+        most = np.minimum(_shared(sx, sy, wx), _shared(sy, sx, wy).T)
+        for i, j in zip(*np.nonzero(counted & ~out & (most >= SIMILARITY - 1e-9)), strict=True):
+            out[i, j] = similarity(*x[i], *y[j]) >= SIMILARITY
+    return out
+
+
+def _compare(t: pa.Table) -> pa.Table:
+    """Links (a, b) of labels that two blocks, or one with itself, give; only as many as connect what they connect."""
+    _free()
+    names = t.column("label").to_pylist()
+    left = t.column("left").to_numpy()
+    bags = list(zip(t.column("shingles").to_pylist(), t.column("counts").to_pylist(), strict=True))
+    x, y = np.flatnonzero(left), np.flatnonzero(~left)
+    if not t.column("cross")[0].as_py() and t.column("i")[0] == t.column("j")[0]:
+        y = x
+    out: list[tuple[bytes, bytes]] = []
+    if len(x) and len(y):
+        _, label = np.unique(np.array(names, object), return_inverse=True)
+        top = {}
+
+        def find(u: int) -> int:
+            while (v := top.get(u, u)) != u:
+                top[u] = u = top.get(v, v)
+            return u
+
+        found = linked([bags[i] for i in x], [bags[j] for j in y]) & (label[x][:, None] != label[y][None, :])
+        for i, j in zip(*np.nonzero(found), strict=True):
+            a, b = find(int(label[x[i]])), find(int(label[y[j]]))
+            if a != b:
+                top[a] = b
+                out.append((names[x[i]], names[y[j]]))
+    return pa.table({"a": pa.array([a for a, _ in out], pa.binary()), "b": pa.array([b for _, b in out], pa.binary())})
+
+
+def crossing(nodes: DataFrame, buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """The second pass: links (a, b) of labels, from all pairs of nodes of one larger bucket that have different labels."""
+    named = buckets.where(F.col("n") > SMALL).select("key", "node", "size").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    named = materialize(named, "named")
+    each = named.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
+    of = each.groupBy("key").agg(F.max(F.struct("n", "label", "size")).alias("top"), F.sum("n").alias("n"), F.sum("size").alias("size")).where("top.n < n")
+    blocks = lambda n, size: F.greatest(F.ceil(n / BLOCK_NODES), F.ceil(size / BLOCK_BYTES)).cast("int")
+    of = of.select("key", F.col("top.label").alias("top"), blocks(F.col("top.n"), F.col("top.size")).alias("n_top"), blocks(F.col("n") - F.col("top.n"), F.col("size") - F.col("top.size")).alias("n_odd"))
+    mixed = named.join(broadcast_if_few(of, "mixed"), "key").withColumn("odd", F.col("label") != F.col("top"))
+    mixed = mixed.withColumn("own", F.pmod(F.xxhash64("node", "key"), F.when(F.col("odd"), F.col("n_odd")).otherwise(F.col("n_top"))).cast("int"))
+    among = "transform(sequence(0, n_odd - 1), k -> struct(false AS cross, least(own, k) AS i, greatest(own, k) AS j, own <= k AS left))"
+    across = "transform(sequence(0, n_top - 1), k -> struct(true AS cross, own AS i, k AS j, true AS left))"
+    back = "transform(sequence(0, n_odd - 1), k -> struct(true AS cross, k AS i, own AS j, false AS left))"
+    dealt = mixed.select("key", "node", "label", F.expr(f"inline(if(odd, concat({among}, {across}), {back}))"))
+    dealt = materialize(dealt, "dealt")
+    bags = nodes.join(broadcast_if_few(dealt.select("node").distinct(), "uneven"), "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles"), F.first("counts").alias("counts"))
+    return dealt.join(bags, "node").drop("node").groupBy("key", "cross", "i", "j").applyInArrow(_compare, "a binary, b binary")
+
+
+def components_of(found: DataFrame) -> DataFrame:
+    """(node, label) of the nodes of FEATURES rows that are linked to others."""
+    nodes = found.where(F.size("bands") > 0)
+    buckets = buckets_of(nodes.groupBy("node").agg(F.first("bands").alias("bands"), F.first("size").alias("size")))
+    labels = components(links(nodes, candidates(buckets)))
+    more = materialize(crossing(nodes, buckets, labels), "crossing")
+    if more.isEmpty():
+        return labels
+    tops = components(more)
+    moved = labels.join(tops.select(F.col("node").alias("label"), F.col("label").alias("top")), "label", "left").select("node", F.coalesce("top", "label").alias("label"))
+    return moved.union(tops.join(labels.select("node"), "node", "left_anti").select("node", "label"))
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """(node, low, class_id, kept_node, class_size) of every distinct text of docs(doc_id, text): low is its smallest
     doc_id, kept_node the text of the document that stands for the class."""
     found = materialize(features(docs), "features")
     copies = materialize(found.groupBy("node").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("n_copies")), "copies")
-    labels = components(links(found))
+    labels = components_of(found)
     labelled = copies.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     first = F.min(F.struct(F.col("low").isNull().alias("none"), "low", "node")).alias("first")
     of = labelled.groupBy("label").agg(first, F.sum("n_copies").alias("class_size"))

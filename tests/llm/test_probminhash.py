@@ -50,6 +50,31 @@ def test_large_groups_come_out_whole(spark):
     assert {r.class_id for r in got if r.doc_id < 1000} == {0} and all(r.class_id == r.doc_id for r in got if r.doc_id >= 1000)
 
 
+def test_near_copies_within_a_shared_passage_are_all_found(spark):
+    passage = prose(9, 339).replace("\n", " ")
+    docs = [(i, f"{passage} {prose(1000 + i, 50)}") for i in range(400)]  # 0.77 to each other, so one passage fills the buckets
+    docs += [(5000 + i, changed(docs[3 * i][1], 7, i)) for i in range(130)]  # 0.83 to their own, less to the others
+    got = probminhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.class_id) for r in got) == sorted(brute(docs))
+
+
+def test_a_tree_of_near_copies_comes_out_whole(spark):
+    docs = [(0, prose(41, 150).replace("\n", " "))]
+    for i in range(1, 250):  # each a copy of an earlier one, so that most are linked to few others
+        docs.append((i, changed(docs[(i - 1) // 3][1], 2, i)))
+    got = probminhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.class_id) for r in got) == sorted(brute(docs))
+
+
+def test_blocks_compare_as_pairs_do():
+    r = np.random.default_rng(4)
+    bags = []
+    for k in range(40):
+        ids = np.sort(r.choice(np.arange(120 + k % 3), 100, replace=False)).astype(np.uint32)
+        bags.append((ids.tobytes(), b"" if k % 2 else r.integers(1, 3 + 40 * (k % 4 == 0), 100).astype(np.uint16).tobytes()))
+    assert (probminhash.linked(bags[:25], bags[10:]) == [[probminhash.similarity(*a, *b) >= 0.8 for b in bags[10:]] for a in bags[:25]]).all()
+
+
 def test_registers_estimate_probability_jaccard():
     r = np.random.default_rng(1)
     for shared, only in ((40, 10), (60, 60), (100, 5)):
