@@ -89,10 +89,13 @@ def leaf_blocks(source: str) -> list[Block]:
                     break
             continue
         if tag in _MUTE:
+            if tag == "svg":  # of foreign content a tag may close itself; one that nothing closes hides no text
+                end = None if m[0].endswith("/>") else _MUTE_END[tag].search(source, at)
+                at = end.end() if end else at
+                continue
             end = _MUTE_END[tag].search(source, at)
             at = end.end() if end else len(source)
-            if tag != "svg":
-                close_block()
+            close_block()
             continue
         if tag == "br":
             parts.append(" ")

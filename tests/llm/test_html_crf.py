@@ -42,6 +42,12 @@ def test_blocks_of_broken_pages():
     assert texts('<p title="a>b">c</p>') == ["c"] and texts("<p>x</p" + ">" + "<br>y") == ["x", "y"]
 
 
+def test_svg_hides_only_its_own_contents():
+    texts = lambda page: [b.text for b in html_crf.leaf_blocks(page)]
+    assert texts('<p>one <svg class="i"/> two</p><p>three <svg><text>x</text></svg> four</p>') == ["one two", "three four"]
+    assert texts("<p>one</p><svg><p>two</p>") == ["one", "two"]
+
+
 def test_made_pages_are_cut_as_they_were_made():
     assert len(html_crf.labelled_pages(100)) > 80 and html_pages.page(5) == html_pages.page(5)
 
