@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 import zlib
@@ -12,6 +13,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401  makes pa.compute available
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bytes of text that one step of a Python operator holds at once (a longer text is a step of its own).
 STEP_BYTES = 4 << 20
@@ -25,9 +27,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a folder of our own only where that is unset (tests, local runs)."""
+    """The shared folder named by spark.checkpoint.dir. Where that is unset, a folder of our own if this one machine is all
+    there is; on a cluster, where executors would each write to their own disk, an error."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = getattr(checkpoint_root, "own", None) or tempfile.mkdtemp(prefix="checkpoints-")
         checkpoint_root.own = root
         spark.sparkContext.setCheckpointDir(root)
@@ -63,14 +68,28 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: So many rows of names, keys or positions (under 64 bytes each) are broadcast at most; more are joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
+#: Bytes of rows, as executors hold them, that are broadcast at most; larger tables are joined by a shuffle.
+BROADCAST_BYTES = 64 << 20
 
 
-def broadcast_if_few(rows: DataFrame, name: str, most: int = BROADCAST_ROWS) -> DataFrame:
-    """A narrow table, written; broadcast to what it is joined with if its rows, which are counted, are few."""
+def _row_bytes(schema: T.StructType) -> Column:
+    """An upper bound of the bytes that a row takes in memory: 16 and 8 a column, and what strings and arrays hold."""
+    size = F.lit(16 + 8 * len(schema.fields))
+    for f in schema.fields:
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            size = size + F.coalesce(F.octet_length(F.col(f.name)), F.lit(0)) + 8
+        elif isinstance(f.dataType, T.ArrayType):
+            size = size + F.greatest(F.size(F.col(f.name)), F.lit(0)) * (16 + (8 * len(f.dataType.elementType.fields) if isinstance(f.dataType.elementType, T.StructType) else 0)) + 24
+        elif isinstance(f.dataType, T.StructType):
+            size = size + 16 + 8 * len(f.dataType.fields)
+    return size
+
+
+def broadcast_if_few(rows: DataFrame, name: str, most: int = BROADCAST_BYTES) -> DataFrame:
+    """A narrow table, written; broadcast to what it is joined with if the bytes of its rows, which are summed, are few.
+    Which of the two joins runs changes no result."""
     written = materialize(rows, name)
-    return F.broadcast(written) if written.count() <= most else written
+    return F.broadcast(written) if (written.agg(F.sum(_row_bytes(written.schema))).first()[0] or 0) <= most else written
 
 
 def smallest_by_hash(rows: DataFrame, n: int, key: str, *ties: str | Column) -> DataFrame:

@@ -5,24 +5,28 @@ shingle a Poisson process with its weight as rate throws arrivals into M registe
 that arrived first, and a process ends as soon as its time is beyond the document's slowest register. Two documents
 agree in a register with the probability Jaccard similarity of their weights (plain Jaccard where all weights are equal).
 
+Two documents are linked if their plain or their probability Jaccard similarity is at least SIMILARITY. A text that says a
+shingle more than once so has two sets of registers, one by its counts and one by weights of 1; both give it bands.
+
 Candidates come from BANDS bands of ROWS registers:
 - equal texts are one node from the start, however many copies there are;
 - a bucket of at most SMALL nodes gives its pairs;
-- in a larger bucket every node is paired with LEADERS leaders, the nodes that lie in most large buckets (the nearest to
-  what the bucket has in common). Its nodes are also dealt out anew by pairs of large buckets that they share; of those finer
-  buckets the ones of at most FINE nodes give their pairs, the others pair every node with a leader drawn by hash, another
-  in each. So these pairs grow in proportion to the nodes.
-Pairs whose registers agree too rarely (LEAST_AGREED) go; the rest are verified on their whole shingle sets: a link needs a
-probability Jaccard or a plain Jaccard similarity of at least SIMILARITY. Components of these links are the first pass.
+- in a larger bucket every node is paired with up to LEADERS leaders, drawn among the nodes that lie in most large buckets (the
+  nearest to what the bucket has in common). Its nodes are also dealt out anew by pairs of large buckets that they share; of
+  those finer buckets the ones of at most FINE nodes give their pairs, the others pair every node with a leader drawn by hash,
+  another in each. So these pairs grow in proportion to the nodes.
+Pairs whose registers agree in less than LEAST_AGREED go (five standard deviations below the limit: about one link in ten
+million); the rest are verified on their whole shingle sets. Components of these links are the first pass.
 
 The second pass makes up for the pairs that larger buckets left out: of every larger bucket whose nodes are in several components, all
 pairs across components are compared on their whole shingle sets, in blocks of bounded size. The nodes of the bucket's largest
 component meet only the others, so a group that the first pass has joined costs its few stragglers times its size; a group of
-unlinked nodes (a long passage that many share) costs its square. Classes are the components of both passes' links.
+unlinked nodes (a long passage that many share) costs its square. Classes are the components of both passes' links, so of
+nodes that share a band none that are linked stay apart, whatever SMALL, LEADERS and FINE are.
 
 Defined cases: null text counts as empty; all empty texts are equal, so one class; a text of fewer than WORDS words is
-one shingle; repeated rows are copies; the class id is the smallest doc_id of the class (null only if all are null);
-an empty table gives an empty table; other columns are kept by the stage and not read otherwise.
+one shingle; repeated rows are copies, of which one stands for the class; the class id is the smallest doc_id of the class
+(null only if all are null); an empty table gives an empty table; other columns are kept by the stage and not read otherwise.
 """
 
 from __future__ import annotations
@@ -33,7 +37,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import broadcast_if_few, materialize, steps, texts_of
@@ -43,11 +47,12 @@ WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 20, 6
 M = BANDS * ROWS
 SMALL, LEADERS, FINE, NEAR_BANDS = 12, 3, 4, 2
-#: Over three standard deviations of the estimate from M registers below SIMILARITY.
-LEAST_AGREED = 0.68
+#: Five standard deviations of the estimate from M registers below SIMILARITY.
+LEAST_AGREED = 0.617
 #: A block of the second pass has about so many nodes, or bytes of their shingle sets, at most.
 BLOCK_NODES, BLOCK_BYTES = 256, 1 << 20
 
+#: bands: BANDS by counts, then (null where equal) BANDS by weights of 1; registers: M of two bytes by counts, then by weights of 1.
 FEATURES = "doc_id long, node binary, bands array<long>, registers binary, shingles binary, counts binary, size long"
 
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15))
@@ -123,6 +128,19 @@ def bands_of(kept: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
+def sketches(sets: list[np.ndarray], counts: list[np.ndarray]) -> tuple[list[list[int | None]], list[bytes]]:
+    """The bands and registers of FEATURES."""
+    twice = [i for i, c in enumerate(counts) if c.max(initial=1) > 1]
+    kept = registers([*sets, *(sets[i] for i in twice)], [*counts, *(np.ones(len(sets[i])) for i in twice)])
+    bands, short = bands_of(kept), (kept >> np.uint64(48)).astype(np.uint16)
+    keys = [x if len(s) else [] for x, s in zip(bands[: len(sets)].tolist(), sets, strict=True)]
+    packed = [x.tobytes() for x in short[: len(sets)]]
+    for k, i in enumerate(twice, len(sets)):
+        keys[i] = keys[i] + [None if x == y else y for x, y in zip(keys[i], bands[k].tolist(), strict=True)]
+        packed[i] += short[k].tobytes()
+    return keys, packed
+
+
 _shinglers: list[Shingler] = []
 
 
@@ -143,17 +161,15 @@ def features(docs: DataFrame) -> DataFrame:
         for b in steps(batches, "text", most=1 << 20):
             texts = texts_of(b.column("text"))
             sets, counts = zip(*map(shingle, texts), strict=True)
-            kept = registers(list(sets), list(counts))
-            bands = bands_of(kept)
-            short = [np.unique((s >> np.uint64(32)).astype(np.uint32), return_index=True) for s in sets]
+            bands, packed = sketches(list(sets), list(counts))
             columns = [
                 b.column("doc_id"),
                 pa.array([hashlib.md5(t.encode(), usedforsecurity=False).digest() for t in texts], pa.binary()),
-                pa.array([x if len(s) else [] for x, s in zip(bands.tolist(), sets, strict=True)], pa.list_(pa.int64())),
-                pa.array([(x >> np.uint64(48)).astype(np.uint16).tobytes() for x in kept], pa.binary()),
-                pa.array([x.tobytes() for x, _ in short], pa.binary()),
-                pa.array([b"" if c.max(initial=1) == 1 else np.minimum(c[i], 65535).astype(np.uint16).tobytes() for c, (_, i) in zip(counts, short, strict=True)], pa.binary()),
-                pa.array([6 * len(x) for x, _ in short], pa.int64()),
+                pa.array(bands, pa.list_(pa.int64())),
+                pa.array(packed, pa.binary()),
+                pa.array([x.tobytes() for x in sets], pa.binary()),
+                pa.array([b"" if c.max(initial=1) == 1 else c.astype(np.uint32).tobytes() for c in counts], pa.binary()),
+                pa.array([8 * len(x) for x in sets], pa.int64()),
             ]
             yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in FEATURES.split(", ")])
 
@@ -162,7 +178,7 @@ def features(docs: DataFrame) -> DataFrame:
 
 def similarity(a: bytes, a_counts: bytes, b: bytes, b_counts: bytes) -> float:
     """The larger of plain and probability Jaccard similarity of two shingle bags."""
-    x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
     _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
     union = len(x) + len(y) - len(i)
     if not union:
@@ -170,8 +186,8 @@ def similarity(a: bytes, a_counts: bytes, b: bytes, b_counts: bytes) -> float:
     plain = len(i) / union
     if plain >= SIMILARITY or not (a_counts or b_counts) or not len(i):
         return plain
-    wx = np.frombuffer(a_counts, np.uint16).astype(float) if a_counts else np.ones(len(x))
-    wy = np.frombuffer(b_counts, np.uint16).astype(float) if b_counts else np.ones(len(y))
+    wx = np.frombuffer(a_counts, np.uint32).astype(float) if a_counts else np.ones(len(x))
+    wy = np.frombuffer(b_counts, np.uint32).astype(float) if b_counts else np.ones(len(y))
     both_x, both_y = wx[i], wy[j]
     order = np.argsort(both_x / both_y, kind="stable")
     both_x, both_y = both_x[order], both_y[order]
@@ -184,13 +200,14 @@ def similarity(a: bytes, a_counts: bytes, b: bytes, b_counts: bytes) -> float:
 
 def _pairs(buckets: DataFrame, most: int, rank: Column, leaders: int) -> DataFrame:
     """(a, b), a < b, from buckets(key, n, node, ...): all pairs of those of at most so many nodes, pairs with the
-    leaders (those of the largest rank) of the others. Leaders are cut to their number before they are dealt out."""
+    leaders of the others, each the node of the largest (rank, hash). Leaders are maxima, so a bucket's rows are reduced
+    before they are dealt out."""
     small = buckets.where(F.col("n") <= most).groupBy("key").agg(F.sort_array(F.collect_list("node")).alias("nodes"))
     small = small.select(F.posexplode("nodes").alias("i", "a"), "nodes").select("a", F.explode(F.expr("slice(nodes, i + 2, size(nodes))")).alias("b"))
     large = buckets.where(F.col("n") > most)
-    place = F.row_number().over(Window.partitionBy("key").orderBy(rank.desc()))
-    led = large.withColumn("place", place).where(F.col("place") <= leaders).select("key", F.col("node").alias("leader"))
-    large = large.join(led, "key").where("node <> leader").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
+    led = large.groupBy("key").agg(*[F.max(F.struct(rank.alias("rank"), F.xxhash64("node", "key", F.lit(k)).alias("h"), "node")).alias(f"l{k}") for k in range(leaders)])
+    led = led.select("key", F.explode(F.array_distinct(F.array(*[f"l{k}.node" for k in range(leaders)]))).alias("leader"))
+    large = large.join(broadcast_if_few(led, "leaders"), "key").where("node <> leader").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
     return small.union(large)
 
 
@@ -202,7 +219,8 @@ def _sized(keyed: DataFrame) -> DataFrame:
 
 def buckets_of(nodes: DataFrame) -> DataFrame:
     """(key, node, size, band, n): the bands of nodes(node, bands, size) that two nodes or more have."""
-    return materialize(_sized(nodes.select("node", "size", F.posexplode("bands").alias("band", "key"))), "buckets")
+    keyed = nodes.select("node", "size", F.posexplode("bands").alias("band", "key")).where("key IS NOT NULL")
+    return materialize(_sized(keyed.withColumn("band", F.col("band") % BANDS)), "buckets")
 
 
 def candidates(buckets: DataFrame) -> DataFrame:
@@ -210,26 +228,36 @@ def candidates(buckets: DataFrame) -> DataFrame:
     hot = buckets.where(F.col("n") > SMALL)
     own = hot.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("band", "key"))).alias("hot"))
     ranked = buckets.join(own.select("node", F.size("hot").alias("in_hot")), "node", "left")
-    first = _pairs(ranked, SMALL, F.struct(F.coalesce("in_hot", F.lit(0)), "node"), LEADERS)
+    first = _pairs(ranked, SMALL, F.coalesce("in_hot", F.lit(0)), LEADERS)
     near = F.expr(f"flatten(transform(hot, (x, i) -> transform(filter(slice(hot, i + 2, {NEAR_BANDS}), y -> y.band - x.band <= {NEAR_BANDS}), y -> xxhash64(x.key, y.key))))")
     fine = _sized(own.select("node", F.explode(near).alias("key")))
-    second = _pairs(fine, FINE, F.struct(F.xxhash64("key", "node"), "node"), 1)
+    second = _pairs(fine, FINE, F.lit(0), 1)
     return first.union(second).distinct()
 
 
+def _one_each(nodes: DataFrame, wanted: DataFrame, *columns: str) -> DataFrame:
+    """These columns of FEATURES rows, one row for each wanted node, written: joins with it are of plain shuffles, whose
+    hot keys adaptive execution splits. Only wanted rows leave their place."""
+    held = nodes.join(broadcast_if_few(wanted.select("node").distinct(), "wanted"), "node", "left_semi")
+    return materialize(held.groupBy("node").agg(*[F.first(c).alias(c) for c in columns]), "one_each")
+
+
 def links(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (a, b) of nodes of FEATURES rows that hold when verified."""
     pairs = materialize(pairs, "pairs")
-    ends = lambda df: df.select(F.col("a").alias("node")).union(df.select(F.col("b").alias("node"))).distinct()
-    # Registers and shingles are the bulk of the features: only those of nodes in pairs leave their place.
-    one = nodes.join(broadcast_if_few(ends(pairs), "paired"), "node", "left_semi").groupBy("node").agg(F.first("registers").alias("registers"))
+    ends = lambda df: df.select(F.col("a").alias("node")).union(df.select(F.col("b").alias("node")))
+    side = lambda df, x: df.select(F.col("node").alias(x), *[F.col(c).alias(c[0] + x) for c in df.columns if c != "node"])
 
     def rough(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _free()
         for b in batches:
             if b.num_rows:
-                x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint16).reshape(-1, M) for c in ("ra", "rb"))
-                keep = pa.array((x == y).mean(axis=1) >= LEAST_AGREED)
+                rows = [b.column(c).to_pylist() for c in ("ra", "rb")]
+                agreed = []
+                for part in (slice(2 * M), slice(-2 * M, None)):  # by counts; by weights of 1
+                    x, y = (np.frombuffer(b"".join(r[part] for r in end), np.uint16).reshape(-1, M) for end in rows)
+                    agreed.append((x == y).mean(axis=1))
+                keep = pa.array(np.maximum(*agreed) >= LEAST_AGREED)
                 yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(keep)
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,9 +267,9 @@ def links(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
             keep = pa.array([similarity(*x) >= SIMILARITY for x in rows], pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(keep)
 
-    side = lambda df, x: df.select(F.col("node").alias(x), *[F.col(c).alias(c[0] + x) for c in df.columns if c != "node"])
+    one = _one_each(nodes, ends(pairs), "registers")
     likely = materialize(pairs.join(side(one, "a"), "a").join(side(one, "b"), "b").select("a", "b", "ra", "rb").mapInArrow(rough, "a binary, b binary"), "likely")
-    bags = nodes.join(broadcast_if_few(ends(likely), "wanted"), "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles"), F.first("counts").alias("counts"))
+    bags = _one_each(nodes, ends(likely), "shingles", "counts")
     return likely.join(side(bags, "a"), "a").join(side(bags, "b"), "b").select("a", "b", "sa", "ca", "sb", "cb").mapInArrow(exact, "a binary, b binary")
 
 
@@ -270,7 +298,7 @@ def _shared(x: list[np.ndarray], y: list[np.ndarray], weights: list[np.ndarray]
 
 def linked(x: list[tuple[bytes, bytes]], y: list[tuple[bytes, bytes]]) -> np.ndarray:
     """Which bags (shingles, counts) of x and of y are similar: what similarity says of each pair, for all pairs at once."""
-    sx, sy = ([np.frombuffer(s, np.uint32) for s, _ in z] for z in (x, y))
+    sx, sy = ([np.frombuffer(s, np.uint64) for s, _ in z] for z in (x, y))
     both = _shared(sx, sy)
     union = np.array([len(s) for s in sx])[:, None] + np.array([len(s) for s in sy])[None, :] - both
     plain = np.divide(both, union, out=np.ones_like(both), where=union > 0)
@@ -278,7 +306,7 @@ def linked(x: list[tuple[bytes, bytes]], y: list[tuple[bytes, bytes]]) -> np.nda
     counted = np.array([bool(c) for _, c in x])[:, None] | np.array([bool(c) for _, c in y])[None, :]
     if (counted & ~out).any():
         # The probability Jaccard similarity is at most the share of either bag's weight that both have.
-        wx, wy = ([np.frombuffer(c, np.uint16).astype(float) if c else np.ones(len(s) // 4) for s, c in z] for z in (x, y))
+        wx, wy = ([np.frombuffer(c, np.uint32).astype(float) if c else np.ones(len(s) // 8) for s, c in z] for z in (x, y))
         wx, wy = [w / w.sum() for w in wx], [w / w.sum() for w in wy]
         most = np.minimum(_shared(sx, sy, wx), _shared(sy, sx, wy).T)
         for i, j in zip(*np.nonzero(counted & ~out & (most >= SIMILARITY - 1e-9)), strict=True):
@@ -329,7 +357,7 @@ def crossing(nodes: DataFrame, buckets: DataFrame, labels: DataFrame) -> DataFra
     back = "transform(sequence(0, n_odd - 1), k -> struct(true AS cross, k AS i, own AS j, false AS left))"
     dealt = mixed.select("key", "node", "label", F.expr(f"inline(if(odd, concat({among}, {across}), {back}))"))
     dealt = materialize(dealt, "dealt")
-    bags = nodes.join(broadcast_if_few(dealt.select("node").distinct(), "uneven"), "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles"), F.first("counts").alias("counts"))
+    bags = _one_each(nodes, dealt, "shingles", "counts")
     return dealt.join(bags, "node").drop("node").groupBy("key", "cross", "i", "j").applyInArrow(_compare, "a binary, b binary")
 
 
@@ -346,34 +374,34 @@ def components_of(found: DataFrame) -> DataFrame:
     return moved.union(tops.join(labels.select("node"), "node", "left_anti").select("node", "label"))
 
 
-def classes(docs: DataFrame) -> DataFrame:
-    """(node, low, class_id, kept_node, class_size) of every distinct text of docs(doc_id, text): low is its smallest
-    doc_id, kept_node the text of the document that stands for the class."""
-    found = materialize(features(docs), "features")
-    copies = materialize(found.groupBy("node").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("n_copies")), "copies")
-    labels = components_of(found)
-    labelled = copies.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    first = F.min(F.struct(F.col("low").isNull().alias("none"), "low", "node")).alias("first")
-    of = labelled.groupBy("label").agg(first, F.sum("n_copies").alias("class_size"))
-    return labelled.join(of, "label").select("node", "low", F.col("first.low").alias("class_id"), F.col("first.node").alias("kept_node"), "class_size")
-
-
-def _node(text: str) -> Column:
-    return F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))).alias("node")
+def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """rows (doc_id, node, row) of docs(doc_id, text), row being a number of its own, and for every distinct text (node, class_id,
+    class_size, low, kept_row): low is its smallest doc_id, kept_row the row of the document that stands for the class, null if
+    that has another text."""
+    found = materialize(features(docs).withColumn("row", F.monotonically_increasing_id()), "features")
+    rows = found.select("doc_id", "node", "row")
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    copies = materialize(rows.groupBy("node").agg(F.min(first).alias("low"), F.count(F.lit(1)).alias("n_copies")), "copies")
+    labelled = materialize(copies.join(components_of(found), "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")
+    of = materialize(labelled.groupBy("label").agg(F.min(F.struct("low.none", "low.doc_id", "node", "low.row")).alias("first"), F.sum("n_copies").alias("class_size")), "of_class")
+    kept = F.when(F.col("node") == F.col("first.node"), F.col("first.row")).alias("kept_row")
+    return rows, labelled.join(of, "label").select("node", F.col("first.doc_id").alias("class_id"), "class_size", F.col("low.doc_id").alias("low"), kept)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """Per document: doc_id, class_id (smallest doc_id of its class), class_size, is_kept (it stands for its class)."""
-    names = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _node("text"))
-    out = names.join(classes(docs), "node")
-    return out.select("doc_id", "class_id", "class_size", ((F.col("node") == F.col("kept_node")) & F.col("doc_id").eqNullSafe(F.col("class_id"))).alias("is_kept"))
+    """Per document: doc_id, class_id (smallest doc_id of its class), class_size, is_kept (it stands for its class: one
+    row of each class, also where rows repeat)."""
+    rows, of = classes(docs)
+    return rows.join(of, "node").select("doc_id", "class_id", "class_size", F.col("row").eqNullSafe(F.col("kept_row")).alias("is_kept"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents, with all their columns, that stand for their class: one row of each."""
-    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
-    text, doc_id = (f"c{docs.columns.index(c)}" for c in ("text", "doc_id"))
+    """The documents, with all their columns, that stand for their class: one row of each. Of rows equal in doc_id and text
+    but not in other columns the one with the smallest hash of all its columns stays."""
     least = F.lit(-(1 << 63))  # for null
-    kept = classes(docs).where("node = kept_node").select("node", F.coalesce("class_id", least).alias("own"))
-    held = plain.withColumns({"own": F.coalesce(F.col(doc_id).cast("long"), least)}).withColumn("node", _node(text)).join(kept, ["node", "own"])
-    return held.dropDuplicates(["node", "own"]).drop("node", "own").toDF(*docs.columns)
+    node = F.unhex(F.md5(F.coalesce(F.col("row.text"), F.lit("")).cast("binary")))
+    whole = docs.select(F.struct("*").alias("row")).select("row", node.alias("node"), F.coalesce(F.col("row.doc_id").cast("long"), least).alias("own"))
+    # Repeated rows are reduced where they are, before texts are dealt out.
+    whole = whole.groupBy("node", "own").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row"))
+    kept = classes(docs)[1].where("kept_row IS NOT NULL").select("node", F.coalesce("class_id", least).alias("own"))
+    return whole.join(kept, ["node", "own"]).select("row.*")
