@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import bpe_chunks, chat_format, decontam_seeds, html_crf, lang_crf, line_winnow, probminhash, quality_nbsvm, rule_ledger, token_rollups
-from .common import scratch_path, table
+from .common import materialize, scratch_path, table
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -30,15 +31,36 @@ def op3_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_bits")
 
 
-def op4_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole table as one batch of inserts, sent twice: the second time it is refused."""
+def _rolled(spark: SparkSession, counted: DataFrame, versions: dict[str, tuple[str, str]]) -> DataFrame:
+    """Totals after whole-table batches of every kind: all documents come with a first count (the second of a version's columns), which
+    a later batch revises; under a version that is given up they come and go; each batch is sent twice, and refused
+    the second time; a compaction runs between and one at the end."""
     store = token_rollups.RollupStore(spark, scratch_path(spark, "rollups"))
-    changes = token_rollups.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path(), "byte_bpe_50k@1")
-    for _ in range(2):
-        store.commit("documents", changes)
+    batches = []
+    for version, (now, first) in versions.items():
+        batches += [(f"{version} in", "insert", version, first, None), (f"{version} revised", "revise", version, now, first)]
+        batches += [(f"{version} draft in", "insert", f"{version}-draft", now, None), (f"{version} draft out", "delete", f"{version}-draft", now, None)]
+    for i, (batch, *how) in enumerate(batches):
+        for _ in range(2):
+            store.commit(batch, token_rollups.changes(counted, *how))
+        if i == 1:
+            store.compact()
+    store.compact()
     return store.totals()
 
 
+def op4_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = materialize(token_rollups.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path()), "counted")
+    return _rolled(spark, counted, {"byte_bpe_50k@1": ("bpe", "words"), "words@1": ("words", "bpe")})
+
+
+def rollups_by_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same store over the one tokenizer that SQL can express; no BPE runs."""
+    words = F.coalesce(F.size(F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"))), F.lit(0)).cast("long")
+    counted = table(spark, sf_dir, "documents").select("source", "lang", words.alias("words"), F.coalesce(F.char_length("text"), F.lit(0)).alias("chars"))
+    return _rolled(spark, counted, {"words@1": ("words", "chars")})
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_winnow.dedup_lines(table(spark, sf_dir, "documents"))
 
@@ -70,7 +92,7 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_nbsvm_quality, op2_bpe_codec, op3_rule_ledger, op4_token_rollups, op5_line_dedup, op6_lang_crf, op7_html_crf, op8_chat_format, op9_decontamination, op10_probminhash)}
+    return {f.__name__: f for f in (op1_nbsvm_quality, op2_bpe_codec, op3_rule_ledger, op4_token_rollups, op5_line_dedup, op6_lang_crf, op7_html_crf, op8_chat_format, op9_decontamination, op10_probminhash, rollups_by_words)}
 
 
 RULE_LEDGER_SQL = r"""
@@ -110,5 +132,12 @@ FROM line l LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.i = l.i GROUP BY l.doc
 """
 
 
+ROLLUPS_SQL = r"""
+SELECT * FROM (
+  SELECT source, lang, 'words@1' AS tokenizer_version, count(*) AS n_docs, sum(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0))::BIGINT AS n_tokens FROM documents GROUP BY source, lang)
+WHERE n_docs <> 0 OR n_tokens <> 0
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_rule_ledger": RULE_LEDGER_SQL, "op5_line_dedup": LINE_DEDUP_SQL}
+    return {"rollups_by_words": ROLLUPS_SQL, "op3_rule_ledger": RULE_LEDGER_SQL, "op5_line_dedup": LINE_DEDUP_SQL}

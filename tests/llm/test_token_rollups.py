@@ -6,7 +6,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from codemosaic.llm.common import scratch_path
-from codemosaic.llm.token_rollups import RollupStore, count_tokens
+from codemosaic.llm.token_rollups import RollupStore, changes, count_tokens, signed
 
 FEED = "op string, source string, lang string, tokenizer_version string, n_tokens long, old_n_tokens long"
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -38,7 +38,7 @@ def test_batches_equal_brute_force(spark):
     assert totals(store) == brute(rows) and not store.commit("b1", spark.createDataFrame(rows, FEED))
     assert store.commit("b3", spark.createDataFrame(rows[:7], FEED)) and totals(store) == brute(rows + rows[:7])
     store.compact()
-    assert totals(store) == brute(rows + rows[:7]) and len(store.committed()) == 4
+    assert totals(store) == brute(rows + rows[:7]) and all(store.is_committed(f"b{k}") for k in range(4))
 
 
 def test_failed_batch_leaves_nothing(spark):
@@ -49,10 +49,55 @@ def test_failed_batch_leaves_nothing(spark):
     assert store.commit("empty", spark.createDataFrame([], FEED)) and totals(store) == {("a", "en", "v1"): (1, 1)}
 
 
+def test_commits_and_compactions_between_each_other(spark, monkeypatch):
+    """Whatever commits or compacts while a compaction or a reader is at work, a batch counts once."""
+    feed = lambda n: spark.createDataFrame([("insert", "a", "en", "v1", n, None)], FEED)
+    store = RollupStore(spark, scratch_path(spark, "rollups"))
+    plain = RollupStore._sums
+    store.commit("one", feed(5))
+
+    def slow(self, names, base):
+        monkeypatch.setattr(RollupStore, "_sums", plain)
+        store.commit("two", feed(10))
+        return plain(self, names, base)
+
+    monkeypatch.setattr(RollupStore, "_sums", slow)
+    assert store.compact() and totals(store) == {("a", "en", "v1"): (2, 15)}
+
+    def overtaken(self, names, base):
+        monkeypatch.setattr(RollupStore, "_sums", plain)
+        assert store.compact() and store.commit("three", feed(20))
+        return plain(self, names, base)
+
+    monkeypatch.setattr(RollupStore, "_sums", overtaken)
+    assert not store.compact() and store._names("staging") == []  # the loser leaves nothing
+    assert totals(store) == {("a", "en", "v1"): (3, 35)}
+    listed = store.totals()
+    assert store.compact() and [tuple(r) for r in listed.collect()] == [("a", "en", "v1", 3, 35)]  # what was listed is still there
+    assert store.commit("four", feed(1)) and store.compact() and store.compact()
+    assert totals(store) == {("a", "en", "v1"): (4, 36)} and store._names("deltas") == [] and not store.commit("one", feed(5))
+
+    def removed(self, names, base):
+        monkeypatch.setattr(RollupStore, "_sums", plain)
+        out = plain(self, names, base)
+        assert all(store.compact() for _ in range(2))
+        return out
+
+    monkeypatch.setattr(RollupStore, "_sums", removed)
+    assert store.read(lambda t: t.collect())[0].n_tokens == 36
+
+
 def test_counts_of_documents(spark, edge_docs, edge_rows, no_docs):
     store = RollupStore(spark, scratch_path(spark, "rollups"))
-    store.commit("docs", count_tokens(edge_docs, PATH, "bpe@1"))
+    counted = count_tokens(edge_docs, PATH)
     tokenizer = Tokenizer.from_file(PATH)
-    rows = [("insert", x[3], x[2], "bpe@1", len(tokenizer.encode(x[1] or "").ids), None) for x in edge_rows] + [("insert", x[3], x[2], "words@1", len((x[1] or "").encode().split()), None) for x in edge_rows]
+    rows = []
+    for k, (version, now, old) in enumerate((("bpe@1", "bpe", "words"), ("words@1", "words", "bpe"))):
+        store.commit(f"in {k}", changes(counted, "insert", version, old))
+        store.commit(f"revised {k}", changes(counted, "revise", version, now, old))
+        rows += [("insert", x[3], x[2], version, len(tokenizer.encode(x[1] or "").ids) if k == 0 else len((x[1] or "").encode().split()), None) for x in edge_rows]
+    store.commit("draft", changes(counted, "insert", "draft", "bpe"))
+    store.commit("draft out", changes(counted, "delete", "draft", "bpe"))
     assert totals(store) == brute(rows)
-    assert store.commit("none", count_tokens(no_docs, PATH, "bpe@1")) and totals(store) == brute(rows)
+    none = changes(count_tokens(no_docs, PATH), "insert", "bpe@1", "bpe")
+    assert signed(none).count() == 0 and store.commit("none", none) and totals(store) == brute(rows)
