@@ -56,9 +56,9 @@ def op4_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rollups_by_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same store over the one tokenizer that SQL can express; no BPE runs."""
-    words = F.coalesce(F.size(F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"))), F.lit(0)).cast("long")
+    words = F.size(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"([^\x20\x09-\x0D]+)"))).cast("long")
     counted = table(spark, sf_dir, "documents").select("source", "lang", words.alias("words"), F.coalesce(F.char_length("text"), F.lit(0)).alias("chars"))
-    return _rolled(spark, counted, {"words@1": ("words", "chars")})
+    return _rolled(spark, materialize(counted, "counted"), {"words@1": ("words", "chars")})
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -56,5 +56,27 @@ def test_fingerprints_are_guaranteed():
     marks = []
     for seed in range(6):
         text = "\n".join([prose(seed, 70), *run, prose(seed + 50, 70)])
-        marks.append({m for m, *_ in line_winnow.stretches(text.encode())})
+        marks.append({m for m, _ in line_winnow.Lines(text.encode()).fingerprints()})
     assert set.intersection(*marks)
+
+
+def test_only_joined_positions_are_extended(spark, monkeypatch):
+    run = "\n".join(" ".join(f"r{i}{k}" for k in range(9)) for i in range(7))
+    docs = spark.createDataFrame([row(i, f"{prose(i, 70)}\n{run}\n{prose(i + 50, 70)}") for i in range(4)], SCHEMA)
+    positions = {r.own_id: r.positions for r in line_winnow.joined_positions(docs).collect()}
+    assert positions.keys() == {0, 1, 2, 3}
+    for i, own in positions.items():  # every joined position lies in the run, and no other line is looked at
+        lines = line_winnow.Lines(docs.where(f"doc_id = {i}").first().text.encode())
+        assert all(lines.lines[p].startswith(b"r") for p in own) and len(own) < len(lines.fingerprints())
+    assert sum(r.n_removed for r in line_winnow.dedup_lines(docs).collect()) == 21
+    none = spark.createDataFrame([], "own_id long, own_hash long, positions array<int>")
+    monkeypatch.setattr(line_winnow, "joined_positions", lambda *_: none)
+    assert sum(r.n_removed for r in line_winnow.dedup_lines(docs).collect()) == 0
+
+
+def test_positions_and_deletions_too_many_to_send(spark, monkeypatch):
+    r = random.Random(8)
+    pool = [" ".join(f"w{k}{i}" for i in range(n)) for k, n in enumerate([3, 30, 55, 70, 25])]
+    docs = [(d, "\n".join(r.choice(pool) for _ in range(r.randint(1, 9)))) for d in range(20)]
+    monkeypatch.setattr(line_winnow, "broadcast_if_few", lambda rows, name: rows)
+    assert {x.doc_id: x.text for x in line_winnow.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()} == brute(docs)
