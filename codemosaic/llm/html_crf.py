@@ -9,8 +9,11 @@ Nothing is dropped or capped: an opening ``p`` or ``li`` closes an open one, a c
 whatever is open at the end is closed. Contents of script, style, template, noscript (and comments, declarations) are no text.
 Character references are decoded, white space inside a block becomes one space, blocks are trimmed; empty ones do not count.
 
-Defined cases: null or empty html, or a page without main text: the empty text; repeated rows each give a row; other
-columns are not read.
+Reader comments are told by names and headings that speak of comments or replies, by articles within an article, and by the names
+the made pages use; comments that give no such sign inside the main container cannot be told from its text.
+
+Defined cases: null or empty html, or a page without main text: the empty text; repeated rows each give a row; an empty table gives
+an empty table; a very long page is one page, scanned in one pass; other columns are not read.
 """
 
 from __future__ import annotations
@@ -27,10 +30,12 @@ from pyspark.sql import functions as F
 from .common import steps, texts_of
 from .html_pages import page
 
-PAGES, ROUNDS, RATE, PENALTY = 400, 60, 0.3, 1e-4
+PAGES, ROUNDS, RATE, PENALTY = 600, 250, 0.3, 1e-5
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-_NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_TAG = re.compile(r"<(?:(!--)|[!?]|(/?)([A-Za-z][^\s/>]*))")
+_BETWEEN = re.compile(r"[\s/]*")
+_ATTRIBUTE = re.compile(r"(=?[^\s/>=]*)(\s*=\s*)?")
+_BARE = re.compile(r"[^\s>]*")
 _TOKENS = re.compile(r"[a-z]+")
 _MUTE = frozenset(("script", "style", "template", "noscript", "iframe", "svg", "textarea"))
 _MUTE_END = {t: re.compile(rf"</{t}\s*[^>]*>", re.I) for t in _MUTE}
@@ -41,104 +46,204 @@ _CLOSES = {"li": ("li", {"ul", "ol"}), "dt": ("dt dd", {"dl"}), "dd": ("dt dd",
 _ENDS_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 
 
-class Block:
-    __slots__ = ("anchored", "around", "text")
+_NAMING = frozenset(("class", "id", "role"))
+_HEADINGS = frozenset(("h2", "h3", "h4", "h5", "h6"))
+#: Parts of words that name what readers say about a page (fixed values).
+_SAID = re.compile("comment|kommentar|coment|discus|diskus|disqus|repl[yi]|respon|antwort|reponse|r\u00e9ponse|respuesta|reaction|feedback|talkback|guestbook|g\u00e4stebuch")
 
-    def __init__(self, text: str, around: tuple, anchored: int):
-        self.text, self.around, self.anchored = text, around, anchored
+
+class Block:
+    """A leaf block: its text, the keys of the tags and names open around it, the block tag it stands in, and how many of
+    its characters are in links."""
+
+    __slots__ = ("anchored", "around", "inner", "text")
+
+    def __init__(self, text: str, around: tuple[str, ...], inner: str, anchored: int):
+        self.text, self.around, self.inner, self.anchored = text, around, inner, anchored
+
+
+class Scanner:
+    """The tags of a page, in one pass: whatever quotes stand open, no character is looked at more than a few times."""
+
+    def __init__(self, source: str):
+        self.source, self.unquoted = source, set()
+
+    def attributes(self, at: int) -> tuple[list[tuple[str, str]], int, bool]:
+        """The naming attributes from here, where the tag ends, and whether it closes itself. A quote opens a value only
+        where the value begins; one that is never closed is a character of a bare value."""
+        source, n = self.source, len(self.source)
+        out = []
+        while True:
+            at = _BETWEEN.match(source, at).end()
+            if at >= n:
+                return out, n, False
+            if source[at] == ">":
+                return out, at + 1, source[at - 1] == "/"
+            m = _ATTRIBUTE.match(source, at)
+            at, value = m.end(), ""
+            if m[2] and at < n:
+                end, quote = -1, source[at]
+                if quote in "\"'" and quote not in self.unquoted:
+                    end = source.find(quote, at + 1)
+                    if end < 0:
+                        self.unquoted.add(quote)  # nor is any later one
+                if end >= 0:
+                    value, at = source[at + 1 : end], end + 1
+                else:
+                    bare = _BARE.match(source, at)
+                    value, at = bare[0], bare.end()
+            if (name := m[1].lower()) in _NAMING:
+                out.append((name, value))
+
+    def __iter__(self) -> Iterator[tuple[int, int, bool, str, list[tuple[str, str]], bool]]:
+        """(start, end, whether it is an end tag, name or "" for comments and declarations, naming attributes, self-closed); send
+        a position to go on from there."""
+        source, at = self.source, 0
+        while m := _TAG.search(source, at):
+            named, closed = [], False
+            if m[1]:
+                end = source.find("-->", m.end())
+                at = len(source) if end < 0 else end + 3
+            elif m[3] is None:
+                end = source.find(">", m.end())
+                at = len(source) if end < 0 else end + 1
+            else:
+                named, at, closed = self.attributes(m.end())
+            further = yield m.start(), at, bool(m[2]), (m[3] or "").lower(), named, closed
+            if further is not None:
+                at = further
 
 
 def leaf_blocks(source: str) -> list[Block]:
-    """The blocks of a page in order: text, the open tags as (tag, names), and how many of its characters are in links."""
+    """The blocks of a page in order."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[tuple[str, tuple[str, ...]]] = []  # open tags, with the keys they add around what is in them
+    around: dict[str, int] = {}
+    outer: list[int] = []  # where in the stack block tags are
+    inline: list[dict[str, int]] = [{}]  # open inline tags: before the first block tag, and in each
+    open_tags: dict[str, int] = {}
     parts: list[str] = []
-    links = linked = 0
+    no_end: set[str] = set()
+    linked = 0
+
+    def add(keys: Iterable[str]) -> None:
+        for k in keys:
+            around[k] = around.get(k, 0) + 1
 
     def close_block() -> None:
         nonlocal linked
         if parts:
-            text = " ".join(html.unescape("".join(parts)).split())
+            text = " ".join("".join(parts).split())
             if text:
-                out.append(Block(text, tuple(stack), linked))
+                inner = stack[outer[-1]][0] if outer else ""
+                twice = ("twice=article",) if open_tags.get("article", 0) > 1 else ()
+                out.append(Block(text, (*around, *twice), inner, linked))
+                if inner in _HEADINGS and len(text) <= 60 and _SAID.search(text.lower()) and len(outer) > 1:
+                    tag, keys = stack[outer[-2]]  # what follows in the same container is under this heading
+                    stack[outer[-2]] = (tag, (*keys, "under=said"))
+                    add(("under=said",))
             parts.clear()
         linked = 0
 
     def pop_to(i: int) -> None:
-        nonlocal links
-        links -= sum(t == "a" for t, _ in stack[i:])
-        del stack[i:]
-
-    at = 0
-    while m := _TOKEN.search(source, at):
-        if m.start() > at:
-            parts.append(source[at : m.start()])
-            linked += (m.start() - at) * (links > 0)
-        at = m.end()
-        if m[2] is None:
-            continue
-        tag = m[2].lower()
-        if m[1]:
-            if tag not in _INLINE:
-                close_block()
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    if tag in _INLINE and any(t not in _INLINE for t, _ in stack[i:]):
-                        break  # an inline end does not close blocks
-                    pop_to(i)
-                    break
-            continue
-        if tag in _MUTE:
-            if tag == "svg":  # of foreign content a tag may close itself; one that nothing closes hides no text
-                end = None if m[0].endswith("/>") else _MUTE_END[tag].search(source, at)
-                at = end.end() if end else at
-                continue
-            end = _MUTE_END[tag].search(source, at)
-            at = end.end() if end else len(source)
-            close_block()
-            continue
-        if tag == "br":
-            parts.append(" ")
-        elif tag not in _INLINE:
-            close_block()
-        if tag in _VOID:
-            continue
-        if tag in _ENDS_P:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == "p":
-                    pop_to(i)
-                    break
-                if stack[i][0] not in _INLINE:
-                    break
-        elif tag in _CLOSES:
-            ends, stops = _CLOSES[tag]
+        while len(stack) > i:
+            tag, keys = stack.pop()
+            open_tags[tag] -= 1
+            for k in keys:
+                around[k] -= 1
+                if not around[k]:
+                    del around[k]
+            if tag in _INLINE:
+                inline[-1][tag] -= 1
+            else:
+                outer.pop()
+                inline.pop()
+
+    def find(tags: Iterable[str], stops: Iterable[str] = ()) -> int | None:
+        """Where the last open one of these tags is, if none of the others stands between."""
+        if any(open_tags.get(t) for t in tags):
             for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in ends.split():
-                    pop_to(i)
-                    break
+                if stack[i][0] in tags:
+                    return i
                 if stack[i][0] in stops:
-                    break
-        names = tuple(dict.fromkeys(w for x in _NAMED.findall(m[3]) for w in _TOKENS.findall("".join(x).lower()))) if m[3] else ()
-        stack.append((tag, names))
-        links += tag == "a"
+                    return None
+        return None
+
+    def say(text: str) -> None:
+        nonlocal linked
+        parts.append(html.unescape(text) if "&" in text else text)
+        linked += len(text) * (open_tags.get("a", 0) > 0)
+
+    tags, at = iter(Scanner(source)), 0
+    token = next(tags, None)
+    while token:
+        start, end, closing, tag, named, closed = token
+        if start > at:
+            say(source[at:start])
+        at = end
+        further = None
+        if not tag:
+            pass
+        elif closing:
+            if tag in _INLINE:  # an inline end does not close blocks
+                i = find((tag,)) if inline[-1].get(tag) else None
+            else:
+                close_block()
+                i = find((tag,))
+            if i is not None:
+                pop_to(i)
+        elif tag in _MUTE:
+            if tag != "svg":
+                close_block()
+            if not (tag == "svg" and closed):  # of foreign content a tag may close itself
+                stop = None if tag in no_end else _MUTE_END[tag].search(source, at)
+                if stop:
+                    at = further = stop.end()
+                elif tag == "svg":
+                    no_end.add(tag)  # one that nothing closes hides no text
+                else:
+                    at = further = len(source)
+        else:
+            if tag == "br":
+                parts.append(" ")
+            elif tag not in _INLINE:
+                close_block()
+            if tag not in _VOID:
+                if tag in _ENDS_P:
+                    if outer and stack[outer[-1]][0] == "p":
+                        pop_to(outer[-1])
+                elif tag in _CLOSES:
+                    ends, stops = _CLOSES[tag]
+                    i = find(ends.split(), stops)
+                    if i is not None:
+                        pop_to(i)
+                names = [w for _, value in named for w in _TOKENS.findall(value.lower())]
+                said = ["like=said"] if any(_SAID.search(value.lower()) for _, value in named) else []
+                keys = tuple(dict.fromkeys([f"in={tag}", *(f"named={w}" for w in names), *said]))
+                stack.append((tag, keys))
+                open_tags[tag] = open_tags.get(tag, 0) + 1
+                add(keys)
+                if tag in _INLINE:
+                    inline[-1][tag] = inline[-1].get(tag, 0) + 1
+                else:
+                    outer.append(len(stack) - 1)
+                    inline.append({})
+        try:
+            token = tags.send(further)
+        except StopIteration:
+            token = None
     if at < len(source):
-        parts.append(source[at:])
-        linked += (len(source) - at) * (links > 0)
+        say(source[at:])
     close_block()
     return out
 
 
 def block_features(b: Block) -> list[str]:
-    text = b.text
-    out = ["bias"]
-    for tag, names in b.around:
-        out.append(f"in={tag}")
-        out += [f"named={n}" for n in names]
-    out = list(dict.fromkeys(out))
-    blocks = [t for t, _ in b.around if t not in _INLINE]
-    out.append(f"tag={blocks[-1] if blocks else ''}")
-    n = len(text)
+    text, n = b.text, len(b.text)
+    out = ["bias", *b.around, f"tag={b.inner}"]
     out += [f"size={min(9, n.bit_length())}", f"linked={min(3, 4 * b.anchored // max(1, n))}", f"ends={text[-1] in '.!?'}", f"copyright={'©' in text}"]
+    if n <= 60 and b.inner in _HEADINGS and _SAID.search(text.lower()):
+        out.append("says=said")
     return out
 
 
@@ -175,25 +280,27 @@ class Model:
         return out[::-1]
 
 
-def fit(pages: list[tuple[list[list[str]], list[int]]]) -> Model:
-    """Full-batch training (adaptive steps) of the binary chain by forward-backward, all pages at once."""
-    names = sorted({f for rows, _ in pages for row in rows for f in row})
-    number = {f: i for i, f in enumerate(names)}
-    sizes = np.array([len(rows) for rows, _ in pages])
-    most, count = int(sizes.max()), len(pages)
-    where = np.concatenate([np.full(len(row), p * most + i) for p, (rows, _) in enumerate(pages) for i, row in enumerate(rows)])
-    ids = np.array([number[f] for rows, _ in pages for row in rows for f in row])
-    real = np.arange(most)[None, :] < sizes[:, None]
-    gold = np.zeros((count, most), int)
-    for p, (_, y) in enumerate(pages):
-        gold[p, : len(y)] = y
-    told = np.zeros((2, 2))
-    np.add.at(told, (gold[:, :-1][real[:, 1:]], gold[:, 1:][real[:, 1:]]), 1)
-    w, links = np.zeros(len(names)), np.zeros((2, 2))
-    history = [np.full(len(names), 1e-8), np.full((2, 2), 1e-8)]
-    for _ in range(ROUNDS):
+class Chains:
+    """Labelled pages as arrays, padded to the longest, and the gradient of their mean log likelihood a block."""
+
+    def __init__(self, pages: list[tuple[list[list[str]], list[int]]]):
+        self.names = sorted({f for rows, _ in pages for row in rows for f in row})
+        number = {f: i for i, f in enumerate(self.names)}
+        sizes = np.array([len(rows) for rows, _ in pages])
+        self.shape = count, most = len(pages), int(sizes.max())
+        self.where = np.concatenate([np.full(len(row), p * most + i) for p, (rows, _) in enumerate(pages) for i, row in enumerate(rows)])
+        self.ids = np.array([number[f] for rows, _ in pages for row in rows for f in row])
+        self.real = np.arange(most)[None, :] < sizes[:, None]
+        self.gold = np.zeros((count, most), int)
+        for p, (_, y) in enumerate(pages):
+            self.gold[p, : len(y)] = y
+        self.told = np.zeros((2, 2))
+        np.add.at(self.told, (self.gold[:, :-1][self.real[:, 1:]], self.gold[:, 1:][self.real[:, 1:]]), 1)
+
+    def gradient(self, w: np.ndarray, links: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        (count, most), real = self.shape, self.real
         unary = np.zeros((count, most, 2))
-        unary[:, :, 1] = np.bincount(where, w[ids], count * most).reshape(count, most)
+        unary[:, :, 1] = np.bincount(self.where, w[self.ids], count * most).reshape(count, most)
         a, b = np.zeros((count, most, 2)), np.zeros((count, most, 2))
         a[:, 0] = unary[:, 0]
         for t in range(1, most):
@@ -204,13 +311,27 @@ def fit(pages: list[tuple[list[list[str]], list[int]]]) -> Model:
         z = np.logaddexp(a[:, -1, 0], a[:, -1, 1])
         main = np.exp(a[:, :, 1] + b[:, :, 1] - z[:, None]) * real
         pair = np.exp(a[:, :-1, :, None] + links + (unary + b)[:, 1:, None, :] - z[:, None, None, None]) * real[:, 1:, None, None]
-        rest = ((gold - main) * real).ravel()
-        steps_ = (np.bincount(ids, rest[where], len(names)), told - pair.sum(axis=(0, 1)))
-        for p, g, h in zip((w, links), steps_, history, strict=True):
-            g = g / real.sum() - PENALTY * p
+        rest = ((self.gold - main) * real).ravel()
+        found = (np.bincount(self.ids, rest[self.where], len(self.names)), self.told - pair.sum(axis=(0, 1)))
+        return tuple(g / real.sum() - PENALTY * p for p, g in zip((w, links), found, strict=True))
+
+
+def gradient(pages: list[tuple[list[list[str]], list[int]]], model: Model) -> tuple[dict[str, float], np.ndarray]:
+    chains = Chains(pages)
+    w, links = chains.gradient(np.array([model.weights[f] for f in chains.names]), model.links)
+    return dict(zip(chains.names, w.tolist(), strict=True)), links
+
+
+def fit(pages: list[tuple[list[list[str]], list[int]]], rounds: int = ROUNDS) -> Model:
+    """Full-batch training (adaptive steps) of the binary chain by forward-backward, all pages at once."""
+    chains = Chains(pages)
+    parts = (np.zeros(len(chains.names)), np.zeros((2, 2)))
+    history = [np.full(p.shape, 1e-8) for p in parts]
+    for _ in range(rounds):
+        for p, g, h in zip(parts, chains.gradient(*parts), history, strict=True):
             h += g * g
             p += RATE * g / np.sqrt(h)
-    return Model(dict(zip(names, w.tolist(), strict=True)), links)
+    return Model(dict(zip(chains.names, parts[0].tolist(), strict=True)), parts[1])
 
 
 def labelled_pages(n: int, first_seed: int = 0) -> list[tuple[list[list[str]], list[int]]]:

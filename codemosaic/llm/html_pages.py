@@ -13,7 +13,8 @@ _MAIN = (("article", ""), ("main", ""), ("div", "content"), ("div", "post-body")
 _ASIDE = (("aside", ""), ("div", "sidebar"), ("div", "related"), ("section", "widget"))
 _ADS = (("div", "ad"), ("div", "ads banner"), ("aside", "sponsored"), ("div", "promo"), ("div", "advert"))
 _NOTICES = (("div", "cookie-notice"), ("div", "notice"), ("div", "alert"), ("section", "consent"), ("div", "newsletter"))
-_COMMENTS = (("section", "comments"), ("div", "comment-list"), ("div", "replies"), ("ol", "comments"))
+_COMMENTS = (("section", "comments"), ("div", "comment-list"), ("div", "replies"), ("ol", "comments"), ("div", "responses"), ("div", "discussion"), ("div", "user-comments"))
+_SAYINGS = ("Comments", "# comments", "Comments (#)", "# replies", "Responses", "Discussion", "Leave a comment", "Kommentare", "# Antworten", "Commentaires", "Comentarios")
 _HEADERS = (("header", ""), ("div", "header"), ("div", "masthead"), ("div", "topbar"))
 _FOOTERS = (("footer", ""), ("div", "footer"), ("div", "copyright"))
 _MENUS = (("nav", ""), ("div", "menu"), ("ul", "nav"), ("div", "breadcrumb"), ("div", "pagination"))
@@ -90,6 +91,40 @@ def _article(r: random.Random) -> list[tuple[str, str, bool]]:
             blocks += [(h, t, False) for h, t, _ in _boilerplate(r, _ADS)]
         else:
             blocks.append((f"<p>{_escaped(text)}</p>", text, True))
+    if len(blocks) > 3 and r.random() < 0.4:  # a part of the text in a container of any name
+        i = r.randint(1, len(blocks) - 2)
+        j = r.randint(i, len(blocks) - 1)
+        if all(not h.startswith("<li") for h, _, _ in blocks[i : j + 1]):
+            inner = r.choice(("div", "section"))
+            blocks[i] = (_open(inner, r.choice(("", _word(r), f"{_word(r)}-{_word(r)}"))) + blocks[i][0], *blocks[i][1:])
+            blocks[j] = (blocks[j][0] + f"</{inner}>", *blocks[j][1:])
+    if r.random() < 0.4:
+        blocks += _discussion(r, tag)
+    blocks[0] = (_open(tag, name) + blocks[0][0], *blocks[0][1:])
+    blocks[-1] = (blocks[-1][0] + f"</{tag}>", *blocks[-1][1:])
+    return blocks
+
+
+def _discussion(r: random.Random, main: str) -> list[tuple[str, str, bool]]:
+    """What readers said, inside the main container: under a name or a heading that says so, or as articles of their own."""
+    tag, name = r.choice(_COMMENTS)
+    sign = r.random()
+    if main != "article" and 0.3 <= sign < 0.5:
+        sign = 0.5
+    if sign < 0.5:  # no name that is known
+        tag, name = r.choice(("div", "section", "aside")), r.choice(("", _word(r), f"{_word(r)}-{_word(r)}"))
+    blocks: list[tuple[str, str, bool]] = []
+    if sign < 0.3 or r.random() < 0.3:
+        level = r.choice("2345")
+        text = r.choice(_SAYINGS).replace("#", str(r.randint(1, 99)))
+        blocks.append((f"<h{level}>{text}</h{level}>", text, False))
+    for _ in range(r.randint(1, 5)):
+        text = _text(r, 3)
+        inner = "article" if 0.3 <= sign < 0.5 else r.choice(("div", "p", "li"))
+        body = f"<p>{_escaped(text)}</p>" if inner == "article" or inner != "p" and r.random() < 0.5 else _escaped(text)
+        blocks.append((f"<{inner}>{body}</{inner}>", text, False))
+    if 0.3 <= sign < 0.5 and r.random() < 0.5:  # straight in the article
+        return blocks
     blocks[0] = (_open(tag, name) + blocks[0][0], *blocks[0][1:])
     blocks[-1] = (blocks[-1][0] + f"</{tag}>", *blocks[-1][1:])
     return blocks

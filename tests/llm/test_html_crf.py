@@ -1,5 +1,6 @@
 import itertools
 import random
+import time
 
 import numpy as np
 import pytest
@@ -48,6 +49,57 @@ def test_svg_hides_only_its_own_contents():
     assert texts("<p>one</p><svg><p>two</p>") == ["one", "two"]
 
 
+def test_quotes_and_references_of_broken_pages():
+    texts = lambda page: [b.text for b in html_crf.leaf_blocks(page)]
+    assert texts("<p class=a'b>Kept text.</p>") == ["Kept text."] and texts("<p class=\"a>Kept</p><p class='b'>too") == ["Kept", "too"]
+    assert texts("&am<b>p;</b> &amp;lt; &#60;p>") == ["&amp; &lt; <p>"] and texts("<p =x a = 'b>c' d/>y") == ["y"]
+    for page in ('<p class="x>word ', "<p a='", "<svg><b>", "</x><i><p><b></i>", "<!", "<p a=b'c "):
+        times = []
+        for n in (4000, 16000):
+            start = time.perf_counter()
+            html_crf.leaf_blocks(page * n)
+            times.append(time.perf_counter() - start)
+        assert times[1] < 10 * times[0] + 0.2, page
+
+
+def test_comments_inside_the_main_container(model):
+    text = "<h1>A title</h1><p>This is the first paragraph of the article, and it is long.</p><p>This is the second one, which ends here.</p>"
+    want = "A title\nThis is the first paragraph of the article, and it is long.\nThis is the second one, which ends here."
+    said = "<p>I liked this very much, thank you.</p><p>So did I, and more.</p>"
+    for main in ("main", "article"):
+        for inside in (f'<section class="comments">{said}</section>', f'<div id="user_comment_area">{said}</div>', f'<div class="xyzzy"><h3>3 replies</h3>{said}</div>', f'<div class="postDiscussion"><ul><li>{said}</li></ul></div>'):
+            assert html_crf.main_text(f"<body><{main}>{text}{inside}</{main}><footer>&copy; x</footer></body>", model) == want, inside
+    own = "<section class='part'><h2>A part</h2><p>With text of its own, which is of the article.</p></section>"
+    assert html_crf.main_text(f"<body><main>{text}{own}</main></body>", model) == want + "\nA part\nWith text of its own, which is of the article."
+    assert html_crf.main_text(f"<article>{text}<article><p>I liked this very much, thank you.</p></article></article>", model) == want
+
+
+def test_gradient_is_that_of_the_likelihood():
+    """One training step moves the weights as numeric differences of the log likelihood say."""
+    pages = [(rows, y) for rows, y in html_crf.labelled_pages(60) if len(rows) < 12][:2]
+    fitted = html_crf.fit(pages, rounds=40)
+    names = sorted({f for rows, _ in pages for row in rows for f in row})
+
+    def loss(weights, links):
+        m, total, n = html_crf.Model(weights, links), 0.0, 0
+        for rows, y in pages:
+            scores = m.scores(rows)
+            value = lambda l: sum(s for s, k in zip(scores, l, strict=True) if k) + sum(links[a, b] for a, b in zip(l, l[1:], strict=False))  # noqa: B023, E731
+            total += value(y) - np.logaddexp.reduce([value(l) for l in itertools.product((0, 1), repeat=len(y))])
+            n += len(y)
+        return total / n - html_crf.PENALTY / 2 * (sum(w * w for w in weights.values()) + (links**2).sum())
+
+    for f in names[:: max(1, len(names) // 8)]:
+        sides = []
+        for d in (1e-5, -1e-5):
+            sides.append(loss(fitted.weights | {f: fitted.weights[f] + d}, fitted.links))
+        assert abs((sides[0] - sides[1]) / 2e-5 - html_crf.gradient(pages, fitted)[0][f]) < 1e-6
+    for at in np.ndindex(2, 2):
+        step = np.zeros((2, 2))
+        step[at] = 1e-5
+        assert abs((loss(fitted.weights, fitted.links + step) - loss(fitted.weights, fitted.links - step)) / 2e-5 - html_crf.gradient(pages, fitted)[1][at]) < 1e-6
+
+
 def test_made_pages_are_cut_as_they_were_made():
     assert len(html_crf.labelled_pages(100)) > 80 and html_pages.page(5) == html_pages.page(5)
 
