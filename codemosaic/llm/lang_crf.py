@@ -10,14 +10,18 @@ Long texts cost no more than their length: the chain is cut into blocks of BLOCK
 multiplied for all blocks of a batch at once; messages then cross the blocks in order, and each block is finished
 from its two ends. The result is that of the plain recursion.
 
-Training takes a bounded sample, SAMPLE_ROWS documents with a language, the smallest by a hash of doc_id, whole texts of at most SAMPLE_CHARS characters, so what the driver gathers is bounded.
+Training takes a bounded sample: of each of the LANGUAGES commonest languages PER_LANGUAGE rows, the smallest by a hash of doc_id and
+text, as long as their characters are at most SAMPLE_CHARS in all (a longer text is passed over). To the texts, whose words all
+have the text's language, come texts put together from stretches of several, so that switching is learned as well as staying.
 
-Defined cases: text that is null or has no letter: ``und``, score 0; ties: the first language by name; without any training
-row every text is ``und``; repeated rows each give a row; other columns are not read.
+Defined cases: text that is null or has no letter (Unicode category L): ``und``, score 0; ties: the first language by name; without
+any training row every text is ``und``; repeated rows each give a row; an empty table gives an empty table; a very long text is one
+chain; other columns are not read.
 """
 
 from __future__ import annotations
 
+import random
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -25,19 +29,23 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import crc_mod, smallest_by_hash, steps, texts_of
+from .common import broadcast_if_few, crc_mod, steps, texts_of
 
-SAMPLE_ROWS, SAMPLE_CHARS, ROUNDS, RATE, PENALTY = 400, 200_000, 30, 0.3, 1e-4
+PER_LANGUAGE, LANGUAGES, SAMPLE_CHARS, ROUNDS, RATE, PENALTY = 100, 64, 500_000, 30, 0.3, 1e-4
 GRAMS, LEXICON, LEXICON_LEAST, BUCKETS, BLOCK = (2, 3, 4), 20_000, 5, 1 << 15, 32
 
 _WORD = re.compile(r"[^\W\d_]+")
 
 
 def words(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    """The runs of letters; numbers that are no decimal digits (fractions, Roman signs) are no letters."""
+    out = _WORD.findall(text.lower())
+    if all(map(str.isalpha, out)):
+        return out
+    return [x for w in out for x in "".join(c if c.isalpha() else " " for c in w).split()]
 
 
 def gram_ids(own: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -147,14 +155,67 @@ def marginals(scores: np.ndarray, sizes: np.ndarray, links: np.ndarray) -> tuple
     before = np.concatenate([enter[:, None], ahead[:, :-1]], axis=1)
     into = real.copy()
     into[head, 0] = False
-    joint = before[into][:, :, None] * move * (e * back)[into][:, None, :]
-    joint /= joint.sum(axis=(1, 2), keepdims=True)
+    ahead_of, seen = before[into], (e * back)[into]
+    total = ((ahead_of @ move) * seen).sum(axis=1, keepdims=True)
+    joint = move * ((ahead_of / total).T @ seen)
     value = float(logs.sum() + top.sum() + shift * into.sum() + len(sizes) * np.log(k))
-    return belief[block, place % BLOCK], joint.sum(axis=0), value
-
-
-def fit(texts: list[list[str]], labels: list[str]) -> Model:
-    """Full-batch training (adaptive steps) on texts whose words all have the text's language."""
+    return belief[block, place % BLOCK], joint, value
+
+
+def mixtures(texts: list[list[str]], labels: list[str], n: int, seed: int = 5) -> list[tuple[list[str], list[str]]]:
+    """Words and languages of texts put together from stretches of 3 to 20 words of others."""
+    r = random.Random(seed)
+    out = []
+    for _ in range(n if len({*labels}) > 1 else 0):
+        own: list[str] = []
+        said: list[str] = []
+        for _ in range(r.randint(2, 5)):
+            k = r.randrange(len(texts))
+            start = r.randrange(len(texts[k]))
+            part = texts[k][start : start + r.randint(3, 20)]
+            own += part
+            said += [labels[k]] * len(part)
+        out.append((own, said))
+    return out
+
+
+class Corpus:
+    """Texts whose words have languages, as arrays, and the gradient of their mean log likelihood a word."""
+
+    def __init__(self, model: Model, texts: list[tuple[list[str], list[str]]], count: Counter):
+        self.model, own = model, list(count)
+        number, k = {w: i for i, w in enumerate(own)}, len(model.languages)
+        language = {y: i for i, y in enumerate(model.languages)}
+        self.at = np.array([number[w] for t, _ in texts for w in t])
+        self.sizes = np.array([len(t) for t, _ in texts])
+        self.gold = np.array([language[y] for _, said in texts for y in said])
+        self.ids, self.starts = gram_ids(own)
+        self.gram_word = np.repeat(np.arange(len(own)), np.diff([*self.starts, len(self.ids)]))
+        self.entry = np.array([model.lexicon.get(w, -1) for w in own])
+        self.moves = np.zeros((k, k))
+        inner = np.ones(len(self.gold) - 1, bool)
+        inner[np.cumsum(self.sizes)[:-1] - 1] = False
+        np.add.at(self.moves, (self.gold[:-1][inner], self.gold[1:][inner]), 1)
+
+    def gradient(self) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], float]:
+        """By the n-grams, the lexicon and the transitions; and the log likelihood."""
+        model, k, n, known = self.model, len(self.model.languages), len(self.at), self.entry >= 0
+        scores = np.add.reduceat(model.grams[self.ids], self.starts, axis=0)
+        scores[known] += model.entries[self.entry[known]]
+        belief, moved, value = marginals(scores[self.at], self.sizes, model.links)
+        rest = -belief
+        rest[np.arange(n), self.gold] += 1
+        by_word = np.stack([np.bincount(self.at, rest[:, c], len(scores)) for c in range(k)], 1)
+        grams = np.stack([np.bincount(self.ids, by_word[self.gram_word, c], BUCKETS) for c in range(k)], 1)
+        entries = np.zeros_like(model.entries)
+        entries[self.entry[known]] = by_word[known]
+        said = scores[self.at, self.gold].sum() + (self.moves * model.links).sum() - value
+        parts = (model.grams, model.entries, model.links)
+        return tuple(g / n - PENALTY * p for p, g in zip(parts, (grams, entries, self.moves - moved), strict=True)), float(said) / n - PENALTY / 2 * sum((p**2).sum() for p in parts)
+
+
+def fit(texts: list[list[str]], labels: list[str], rounds: int = ROUNDS) -> Model:
+    """Full-batch training (adaptive steps) on texts whose words all have the text's language, and on mixtures of them."""
     pairs = [(w, y) for w, y in zip(texts, labels, strict=True) if w]
     languages = sorted({y for _, y in pairs})
     k = len(languages)
@@ -163,32 +224,12 @@ def fit(texts: list[list[str]], labels: list[str]) -> Model:
     model = Model(languages, np.zeros((BUCKETS, k)), lexicon, np.zeros((max(1, len(lexicon)), k)), np.zeros((k, k)))
     if not pairs or k == 1:
         return model
-    own = list(count)
-    number = {w: i for i, w in enumerate(own)}
-    at = np.array([number[w] for t, _ in pairs for w in t])
-    sizes = np.array([len(t) for t, _ in pairs])
-    gold = np.repeat([languages.index(y) for _, y in pairs], sizes)
-    ids, starts = gram_ids(own)
-    gram_word = np.repeat(np.arange(len(own)), np.diff([*starts, len(ids)]))
-    entry = np.array([lexicon.get(w, -1) for w in own])
-    gold_links = np.zeros((k, k))
-    for (t, y) in pairs:
-        gold_links[languages.index(y), languages.index(y)] += len(t) - 1
+    mixed = mixtures([w for w, _ in pairs], [y for _, y in pairs], len(pairs))
+    corpus = Corpus(model, [(t, [y] * len(t)) for t, y in pairs] + mixed, count)
     parts = (model.grams, model.entries, model.links)
     history = [np.full(p.shape, 1e-8) for p in parts]
-    n = len(at)
-    for _ in range(ROUNDS):
-        scores = np.add.reduceat(model.grams[ids], starts, axis=0)
-        scores[entry >= 0] += model.entries[entry[entry >= 0]]
-        belief, moved, _ = marginals(scores[at], sizes, model.links)
-        rest = -belief
-        rest[np.arange(n), gold] += 1
-        by_word = np.stack([np.bincount(at, rest[:, c], len(own)) for c in range(k)], 1)
-        g_grams = np.stack([np.bincount(ids, by_word[gram_word, c], BUCKETS) for c in range(k)], 1)
-        g_entries = np.zeros_like(model.entries)
-        g_entries[entry[entry >= 0]] = by_word[entry >= 0]
-        for p, g, h in zip(parts, (g_grams, g_entries, gold_links - moved), history, strict=True):
-            g = g / n - PENALTY * p
+    for _ in range(rounds):
+        for p, g, h in zip(parts, corpus.gradient()[0], history, strict=True):
             h += g * g
             p += RATE * g / np.sqrt(h)
     return model
@@ -202,9 +243,8 @@ class Tagger:
         self.number: dict[str, int] = {}
         self.scores = np.empty((0, len(model.languages)))
 
-    def shares(self, texts: list[str]) -> list[np.ndarray | None]:
-        """The expected share of words in each language; None for texts without words."""
-        split = [words(t) for t in texts]
+    def beliefs(self, split: list[list[str]]) -> list[np.ndarray | None]:
+        """The distribution of each word of each text; None for texts without words."""
         if len(self.number) > self.most:
             self.number, self.scores = {}, self.scores[:0]
         new = list(dict.fromkeys(w for t in split for w in t if w not in self.number))
@@ -212,23 +252,57 @@ class Tagger:
         self.scores = np.concatenate([self.scores, self.model.unary(new)])
         sizes = np.array([len(t) for t in split], np.int64)
         at = np.fromiter((self.number[w] for t in split for w in t), np.int64, int(sizes.sum()))
-        out: list[np.ndarray | None] = [None] * len(texts)
+        out: list[np.ndarray | None] = [None] * len(split)
         if not len(at) or not self.model.languages:
             return out
         belief = marginals(self.scores[at], sizes[sizes > 0], self.model.links)[0]
         ends = np.cumsum(sizes)
         for i in np.flatnonzero(sizes).tolist():
-            out[i] = belief[ends[i] - sizes[i] : ends[i]].mean(axis=0)
+            out[i] = belief[ends[i] - sizes[i] : ends[i]]
         return out
 
+    def shares(self, texts: list[str]) -> list[np.ndarray | None]:
+        """The expected share of words in each language; None for texts without words."""
+        return [None if b is None else b.mean(axis=0) for b in self.beliefs([words(t) for t in texts])]
+
 
-def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
-    """A model from documents whose crc32(doc_id) mod 4 is not 2."""
-    usable = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").where((crc_mod("doc_id", 4) != 2) & F.col("lang").isNotNull() & (F.char_length("text") <= SAMPLE_CHARS))
-    got = smallest_by_hash(usable, sample_rows, "doc_id", "lang", F.xxhash64("text")).collect()
+def sample(docs: DataFrame, per_language: int = PER_LANGUAGE, languages: int = LANGUAGES, chars: int = SAMPLE_CHARS) -> DataFrame:
+    """lang, text of the training sample: documents whose crc32(doc_id) mod 4 is not 2. Only rows below a hash that about four
+    times as many rows of a language are below are sorted, so what is dealt out is bounded by the sample, not by the corpus."""
+    key = F.xxhash64(F.col("doc_id").cast("long"), "text")
+    usable = docs.where((crc_mod("doc_id", 4) != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    usable = usable.select(F.col("lang").cast("string").alias("lang"), "text", key.alias("key"), F.char_length("text").cast("long").alias("n")).where(F.col("n") <= chars)
+    common = usable.groupBy("lang").agg(F.approx_count_distinct("key").alias("rows")).orderBy(F.desc("rows"), "lang").limit(languages)
+    common = common.select("lang", (4 * per_language / F.greatest("rows", F.lit(1)) * (1 << 30)).cast("long").alias("below"))
+    few = usable.join(broadcast_if_few(common, "languages"), "lang").where(F.pmod("key", F.lit(1 << 30)) < F.col("below"))
+    few = few.groupBy("lang", "key").agg(F.min("text").alias("text"), F.min("n").alias("n"))
+    order = Window.partitionBy("lang").orderBy(F.pmod("key", F.lit(1 << 30)), "key")
+    return few.select("lang", "key", "text", F.row_number().over(order).alias("place"), F.sum("n").over(order).alias("chars")).where((F.col("place") <= per_language) & (F.col("chars") <= chars)).select("lang", "key", "text")
+
+
+def train(docs: DataFrame) -> Model:
+    got = sorted(sample(docs).collect(), key=lambda r: (r.lang, r.key, r.text))
     return fit([words(r.text) for r in got], [r.lang for r in got])
 
 
+WORD_LABELS = "doc_id long, words array<struct<word:string,lang:string,share:double>>"
+
+
+def label_words(docs: DataFrame, model: Model | None = None) -> DataFrame:
+    """Per document: doc_id, and its words in order, each with its likeliest language and that one's share."""
+    shared = docs.sparkSession.sparkContext.broadcast(model or train(docs))  # of bounded size
+    kind = pa.list_(pa.struct([("word", pa.string()), ("lang", pa.string()), ("share", pa.float64())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tagger, languages = Tagger(shared.value), shared.value.languages
+        for b in steps(batches, "text", most=1 << 20):
+            split = [words(t) for t in texts_of(b.column("text"))]
+            rows = [[{"word": w, "lang": languages[int(x.argmax())], "share": float(x.max())} for w, x in zip(own, belief, strict=True)] if belief is not None else [] for own, belief in zip(split, tagger.beliefs(split), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(rows, kind)], ["doc_id", "words"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, WORD_LABELS)
+
+
 def identify(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, held_out, lang_pred, score."""
     shared = docs.sparkSession.sparkContext.broadcast(train(docs))  # of bounded size
