@@ -2,44 +2,57 @@
 
 Fixed masks over consecutive words ignore some positions, so a passage whose words were partly replaced still shares
 hashes with its benchmark item wherever the kept positions agree. Words are runs of letters, digits and underscores in
-lower case.
+lower case; of scripts that put no spaces between words every character is a word.
 
-Each block of benchmark items becomes a table of seed hashes (mask, words at its kept positions -> item, position). Documents
-are joined with it by hash; a hit fixes a diagonal of document and item, along which the words are compared one by one. A
+Each block of benchmark items becomes a table of seed hashes (mask, words at its kept positions -> place in the items). Documents
+are joined with it by hash; around every hit the words of document and item are compared one by one. A
 document is contaminated by an item if WINDOW consecutive words of the item (all of them, if it has fewer) stand
-on one diagonal with at least SHARE of them equal; of 8 to 10 words one may differ, of fewer none. The masks find every
+in a row with at least SHARE of them equal; of 8 to 10 words one may differ, of fewer none (``needed``). The masks find every
 such place: no choice of so many substitutions escapes all of them.
 
 The benchmark is a stated query set: its size is taken first, it is split into blocks of at most BLOCK_CHARS characters
-(one block in common cases), and each block alone is collected and broadcast. Documents pass the blocks one after the
-other without any shuffle, so no document, source or passage can be hot.
-
-Defined cases: null text counts as empty, and so never matches; items of under MIN_WORDS words are told from
-common speech by nothing and never match; equal items all count; other columns are kept as they are.
+(one block in common cases), and each block alone is collected and sent to the workers, which hold about 60 bytes a word of
+it, once each. One block is met in one pass over the documents without any shuffle, so no document, source or passage can be
+hot. Of several blocks each is a pass that gives the hits of its items by the hash of the text, and these are joined with the
+documents at the end. Hits are compared HITS at a time, however many items share a phrase.
+
+Defined cases: null text counts as empty, and so never matches; items of fewer than ``least_words`` words are told from
+common speech by nothing and do not match (5 by default; with less, such items match where all their words stand in a row); equal
+items all count; a very long document or item is one (an item longer than a block is a block of its own); repeated rows each
+get their result; an empty benchmark contaminates nothing, an empty table gives an empty table; other columns are kept as they are.
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+import uuid
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import steps, texts_of
+from .common import broadcast_if_few, steps, texts_of
 
 #: 1: the word counts. All have five ones; different spans and gaps, chosen for few common shifts.
 MASKS = ("11111", "1101011", "11010011", "1010011001")
-WINDOW, SHARE, MIN_WORDS, BLOCK_CHARS = 13, 0.8, 5, 8_000_000
-
-_WORD = re.compile(r"\w+")
-_FACTORS = np.random.default_rng(977).integers(1, 1 << 63, (len(MASKS), 5), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_OFFSETS = [[i for i, c in enumerate(m) if c == "1"] for m in MASKS]
+WINDOW, SHARE, MIN_WORDS, BLOCK_CHARS = 13, 0.8, 5, 4_000_000
+#: Hits that are compared at once.
+HITS = 20_000
+
+#: Characters that are words of their own: kana, Han, Thai, Lao, Burmese, Khmer.
+_ALONE = "\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff"
+_WORD = re.compile(rf"[^\W{_ALONE}]+|(?=\w)[{_ALONE}]")
+#: All masks: those above, and rows of 1 to 4 words for items that have no more.
+_MASKS = [*MASKS, *("1" * n for n in range(1, MIN_WORDS))]
+_FACTORS = np.random.default_rng(977).integers(1, 1 << 63, (len(_MASKS), 5), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_OFFSETS = [[i for i, c in enumerate(m) if c == "1"] for m in _MASKS]
+#: Places around a hit that a window over it can reach, and as many between texts.
+_AROUND = np.arange(1 - WINDOW, WINDOW)
+_GAP = [-1] * (2 * WINDOW)
 
 
 def needed(size: int) -> int:
@@ -53,7 +66,7 @@ def words(text: str) -> list[str]:
 
 def seed_hashes(ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions and hashes under mask k, of windows whose kept words all have an id (0 or more)."""
-    n = len(ids) - len(MASKS[k]) + 1
+    n = len(ids) - len(_MASKS[k]) + 1
     if n <= 0:
         return np.empty(0, np.int64), np.empty(0, np.uint64)
     known = ids >= 0
@@ -62,106 +75,157 @@ def seed_hashes(ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         here &= known[o : o + n]
     at = np.flatnonzero(here)
     h = np.zeros(len(at), np.uint64)
-    for o, f in zip(_OFFSETS[k], _FACTORS[k], strict=True):
+    for o, f in zip(_OFFSETS[k], _FACTORS[k], strict=False):
         x = (ids[at + o].astype(np.uint64) + np.uint64(1)) * f
         h += x ^ (x >> np.uint64(29))
     return at, h
 
 
 class SeedTable:
-    """The seeds of a block of items, and the comparison along diagonals."""
+    """The seeds of a block of items, in flat arrays, and the comparison around hits."""
 
-    def __init__(self, items: list[tuple[int, str]]):
-        self.items, self.words = [], []
-        self.vocabulary: dict[str, int] = {}
+    def __init__(self, items: list[tuple[int, str]], least_words: int = MIN_WORDS, most: int = 200_000):
+        kept, hashes, number = [], [], {}
         for item_id, text in items:
             w = words(text)
-            if len(w) >= MIN_WORDS:
-                self.items.append(item_id)
-                self.words.append(np.array([self.vocabulary.setdefault(x, len(self.vocabulary)) for x in w], np.int32))
-        self.seeds = []
-        for k in range(len(MASKS)):
-            found = [(h, np.full(len(p), i), p) for i, w in enumerate(self.words) for p, h in [seed_hashes(w, k)]]
-            h, item, p = (np.concatenate(x) if found else np.empty(0, t) for x, t in zip(zip(*found, strict=True) if found else ((), (), ()), (np.uint64, np.int64, np.int64), strict=True))
-            order = np.argsort(h, kind="stable")
-            self.seeds.append((h[order], item[order], p[order]))
-
-        self.matrix = np.full((len(self.words), max(map(len, self.words), default=0)), -2, np.int32)
-        for i, w in enumerate(self.words):
-            self.matrix[i, : len(w)] = w
-        self.sizes = np.array([len(w) for w in self.words], np.int64)
-        self.needed = np.array([needed(min(WINDOW, len(w))) for w in self.words], np.int64)
+            if len(w) >= max(1, least_words):
+                kept.append((item_id, len(w)))
+                hashes.append(np.array([number[x] if x in number else number.setdefault(x, xxhash.xxh3_64_intdigest(x)) for x in w], np.uint64))
+                if len(number) > most:
+                    number.clear()
+        self.items = np.array([i for i, _ in kept], np.int64)
+        self.sizes = np.array([n for _, n in kept], np.int64)
+        self.offsets = np.cumsum(self.sizes) - self.sizes
+        self.needed = np.array([needed(min(WINDOW, n)) for n in self.sizes.tolist()], np.int64)
+        self.vocabulary, flat = np.unique(np.concatenate(hashes), return_inverse=True) if kept else (np.empty(0, np.uint64), np.empty(0))
+        self.flat = flat.astype(np.int32)
+        self.seeds = [self._seeds(k) for k in range(len(_MASKS))]
+        self.known: dict[str, int] = {}  # words of documents seen before -> place in the vocabulary, or -1
+        self.most = most
+
+    def _seeds(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes under mask k, ascending, and where in the items they begin; not across items."""
+        span = len(_MASKS[k])
+        at, h = seed_hashes(self.flat, k)
+        item = np.searchsorted(self.offsets, at, "right") - 1
+        fits = at + span <= (self.offsets + self.sizes)[item]
+        fits &= (self.sizes[item] == span) if span < MIN_WORDS else (self.sizes[item] >= MIN_WORDS)
+        at, h = at[fits], h[fits]
+        order = np.argsort(h, kind="stable")
+        return h[order], at[order].astype(np.int32)
+
+    def _ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The words of all texts as places in the vocabulary (-1 for others), with gaps between, and where each text begins."""
+        split = [words(t) for t in texts]
+        if len(self.known) > self.most:
+            self.known.clear()
+        new = list({w for own in split for w in own if w not in self.known})
+        if new:
+            h = np.fromiter(map(xxhash.xxh3_64_intdigest, new), np.uint64, len(new))
+            at = np.minimum(np.searchsorted(self.vocabulary, h), len(self.vocabulary) - 1)
+            self.known.update(zip(new, np.where(self.vocabulary[at] == h, at, -1).tolist(), strict=True))
+        ids, starts = [*_GAP], []
+        for own in split:
+            starts.append(len(ids))
+            ids += map(self.known.__getitem__, own)
+            ids += _GAP
+        return np.array(ids, np.int32), np.array(starts)
 
     def overlaps(self, texts: list[str]) -> list[list[tuple[int, float]]]:
         """For each text, (item_id, best share of equal words in a window) of the items that contaminate it."""
-        out: list[list[tuple[int, float]]] = [[] for _ in texts]
-        width = self.matrix.shape[1]
-        if not width:
-            return out
-        gap = [-1] * max(width, *map(len, MASKS))  # between texts: no window, no diagonal reaches over it
-        get, none, ids, starts = self.vocabulary.get, repeat(-1), [*gap], []
-        for t in texts:
-            starts.append(len(ids))
-            ids += map(get, words(t), none)
-            ids += gap
-        ids = np.array(ids, np.int32)
-        found = []
-        for k, (h, item, p) in enumerate(self.seeds):
-            at, own = seed_hashes(ids, k)
-            lo = np.searchsorted(h, own)
-            hit = h[np.minimum(lo, len(h) - 1)] == own if len(h) else np.zeros(len(own), bool)
-            at, lo = at[hit], lo[hit]
-            n = np.searchsorted(h, own[hit], "right") - lo
-            seed = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            found.append((np.repeat(at, n) - p[seed]) * len(self.words) + item[seed])
-        diagonals = np.unique(np.concatenate(found))
-        for part in np.array_split(diagonals, len(diagonals) // 20_000 + 1):  # bounded memory
-            if not len(part):
-                continue
-            d, i = np.divmod(part, len(self.words))
-            equal = np.zeros((len(part), width + 1), np.int32)
-            np.cumsum(self.matrix[i] == ids[d[:, None] + np.arange(width)], axis=1, out=equal[:, 1:])
-            size = np.minimum(WINDOW, self.sizes[i])
-            most = (equal[:, WINDOW:] - equal[:, :-WINDOW]).max(axis=1, initial=0)
-            most = np.where(self.sizes[i] < WINDOW, equal[:, -1], most)
-            for x in np.flatnonzero(most >= self.needed[i]).tolist():
-                at = int(d[x]) + int(np.argmax(self.matrix[i[x]] == ids[d[x] : d[x] + width]))  # an equal word lies in the text
-                out[bisect_right(starts, at) - 1].append((self.items[i[x]], float(most[x] / size[x])))
-        return [sorted({i: max(s for j, s in x if j == i) for i, _ in x}.items()) for x in out]
-
-
-def _blocks(benchmark: DataFrame, block_chars: int) -> Iterator[list[tuple[int, str]]]:
-    """The items, in blocks of bounded size; each is collected by itself."""
+        out: list[dict[int, float]] = [{} for _ in texts]
+        if len(self.items):
+            ids, starts = self._ids(texts)
+            for k, (h, place) in enumerate(self.seeds):
+                if not len(h):
+                    continue
+                at, own = seed_hashes(ids, k)
+                lo = np.searchsorted(h, own)
+                hit = h[np.minimum(lo, len(h) - 1)] == own
+                at, lo = at[hit], lo[hit]
+                n = np.searchsorted(h, own[hit], "right") - lo
+                ends = np.cumsum(n)
+                for first in range(0, int(ends[-1]) if len(ends) else 0, HITS):
+                    i = np.arange(first, min(first + HITS, int(ends[-1])))
+                    of = np.searchsorted(ends, i, "right")
+                    self._compare(ids, starts, at[of], place[lo[of] + i - (ends - n)[of]].astype(np.int64), out)
+        return [sorted(x.items()) for x in out]
+
+    def _compare(self, ids: np.ndarray, starts: np.ndarray, at: np.ndarray, place: np.ndarray, out: list[dict[int, float]]) -> None:
+        """Put into out what the windows over these hits (in texts, in items) find. A window that reaches beyond its item is never
+        better than the one that ends with it."""
+        item = np.searchsorted(self.offsets, place, "right") - 1
+        around = place[:, None] + _AROUND
+        inside = (around >= self.offsets[item, None]) & (around < (self.offsets + self.sizes)[item, None])
+        equal = inside & (self.flat[np.clip(around, 0, len(self.flat) - 1)] == ids[at[:, None] + _AROUND])
+        sums = np.zeros((len(at), len(_AROUND) + 1), np.int64)
+        np.cumsum(equal, axis=1, out=sums[:, 1:])
+        size = self.sizes[item]
+        most = np.where(size < WINDOW, sums[:, -1], (sums[:, WINDOW:] - sums[:, :-WINDOW]).max(axis=1))
+        good = most >= self.needed[item]
+        text = np.searchsorted(starts, at[good], "right") - 1
+        pair, which = np.unique(text * len(self.items) + item[good], return_inverse=True)
+        best = np.zeros(len(pair))
+        np.maximum.at(best, which, most[good] / np.minimum(WINDOW, size[good]))
+        for x, share in zip(pair.tolist(), best.tolist(), strict=True):
+            t, i = divmod(x, len(self.items))
+            out[t][int(self.items[i])] = max(share, out[t].get(int(self.items[i]), 0.0))
+
+
+_tables: dict[str, SeedTable] = {}
+
+
+def _table(name: str, items: list[tuple[int, str]], least_words: int) -> SeedTable:
+    """The table of a block; a worker builds it once and keeps the last one."""
+    if name not in _tables:
+        _tables.clear()
+        _tables[name] = SeedTable(items, least_words)
+    return _tables[name]
+
+
+def _blocks(benchmark: DataFrame, block_chars: int) -> tuple[int, Iterator[list[tuple[int, str]]]]:
+    """How many blocks of bounded size the items make, and the blocks; each is collected by itself."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
     chars = items.agg(F.sum(F.char_length("text"))).first()[0] or 0
     n = -(-chars // block_chars)
-    for b in range(n):
-        block = items if n == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b)
-        yield [(r[0], r[1]) for r in block.orderBy("item_id", "text").collect()]
+    block = lambda b: items if n == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b)
+    return n, ([(r[0], r[1]) for r in block(b).orderBy("item_id", "text").collect()] for b in range(n))
+
+
+_FOUND = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.StructField("share", T.DoubleType())]))
 
 
-def find_overlaps(docs: DataFrame, benchmark: DataFrame, text_at: int, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def _with_hits(rows: DataFrame, text_at: int, items: list[tuple[int, str]], least_words: int) -> DataFrame:
+    """The rows with one more column, contaminated_by, for one block of items."""
+    schema = T.StructType([*rows.schema.fields, T.StructField("contaminated_by", _FOUND)])
+    kind = pa.list_(pa.struct([("item_id", pa.int64()), ("share", pa.float64())]))
+    shared, name = rows.sparkSession.sparkContext.broadcast(items), uuid.uuid4().hex
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = _table(name, shared.value, least_words)
+        for b in steps(batches, text_at, most=1 << 20):
+            found = [[{"item_id": i, "share": s} for i, s in x] for x in table.overlaps(texts_of(b.column(text_at)))]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, kind)], schema.names)
+
+    return rows.mapInArrow(run, schema)
+
+
+def find_overlaps(docs: DataFrame, benchmark: DataFrame, text_at: int, block_chars: int = BLOCK_CHARS, least_words: int = MIN_WORDS) -> DataFrame:
     """docs, its columns renamed c0, c1, ..., with one more, contaminated_by: array of (item_id, share), empty for
     clean documents. text_at: the place of the text column."""
-    width = len(docs.columns)
-    fields = [T.StructField(f"c{i}", f.dataType) for i, f in enumerate(docs.schema.fields)]
-    found_type = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.StructField("share", T.DoubleType())]))
-    schema = T.StructType([*fields, T.StructField("contaminated_by", found_type)])
-    kind = pa.list_(pa.struct([("item_id", pa.int64()), ("share", pa.float64())]))
-    out = docs.toDF(*[f.name for f in fields])
-    for items in _blocks(benchmark, block_chars):
-        shared = docs.sparkSession.sparkContext.broadcast(items)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            table = SeedTable(shared.value)
-            for b in steps(batches, text_at):
-                found = [[{"item_id": i, "share": s} for i, s in x] for x in table.overlaps(texts_of(b.column(text_at)))]
-                if b.num_columns > width:
-                    found = [x + y for x, y in zip(b.column(width).to_pylist(), found, strict=True)]
-                yield pa.RecordBatch.from_arrays([*b.columns[:width], pa.array(found, kind)], schema.names)
-
-        out = out.mapInArrow(run, schema)
-    return out if len(out.columns) > width else out.withColumn("contaminated_by", F.array().cast(found_type))
+    out = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    n, blocks = _blocks(benchmark, block_chars)
+    none = F.array().cast(_FOUND)
+    if n <= 1:
+        return _with_hits(out, text_at, next(blocks), least_words) if n else out.withColumn("contaminated_by", none)
+    node = F.unhex(F.md5(F.coalesce(F.col(f"c{text_at}"), F.lit("")).cast("binary"))).alias("node")
+    hits = None
+    for items in blocks:
+        found = _with_hits(out.select(node, F.col(f"c{text_at}").alias("text")), 1, items, least_words).select("node", F.explode("contaminated_by").alias("hit"))
+        hits = found if hits is None else hits.union(found)
+    best = hits.groupBy("node", "hit.item_id").agg(F.max("hit.share").alias("share"))
+    best = best.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("item_id", "share"))).alias("contaminated_by"))
+    return out.withColumn("node", node).join(broadcast_if_few(best, "hits"), "node", "left").drop("node").withColumn("contaminated_by", F.coalesce("contaminated_by", none))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

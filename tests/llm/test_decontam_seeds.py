@@ -1,5 +1,6 @@
 import itertools
 import random
+import tracemalloc
 
 import pytest
 
@@ -10,18 +11,18 @@ from .conftest import prose, row
 ITEMS = [(i, prose(900 + i, n)) for i, n in enumerate([30, 13, 9, 5, 3, 60, 25, 25])]
 
 
-def brute(items, text):
+def brute(items, text, least=seeds.MIN_WORDS):
     doc, out = seeds.words(text or ""), {}
     for item, t in items:
         w = seeds.words(t or "")
         size = min(seeds.WINDOW, len(w))
-        if len(w) < seeds.MIN_WORDS:
+        if len(w) < least:
             continue
         for d in range(-len(w) + 1, len(doc)):
             equal = [0 <= d + k < len(doc) and doc[d + k] == w[k] for k in range(len(w))]
             for s in range(len(w) - size + 1):
                 share = sum(equal[s : s + size]) / size
-                if sum(equal[s : s + size]) >= size - {5: 0, 9: 1, 13: 2}[size]:
+                if sum(equal[s : s + size]) >= size - {9: 1, 13: 2}.get(size, 0):
                     out[item] = max(out.get(item, 0), share)
     return sorted(out.items())
 
@@ -48,6 +49,40 @@ def test_equals_brute_force():
     assert sum(map(bool, found)) > 8
 
 
+def test_short_items_match_whole_where_asked():
+    items = [(1, "one"), (2, "two words"), (3, "three words here"), (4, "four words are here"), (5, "these words are just five")]
+    docs = ["one two words", "three words here four words are", "four words are here", "a b c", "these words are just five", "three words, here!"]
+    table = seeds.SeedTable(items, least_words=1)
+    assert table.overlaps(docs) == [brute(items, t, 1) for t in docs] and [len(x) for x in table.overlaps(docs)] == [2, 1, 1, 0, 1, 1]
+    assert [len(x) for x in seeds.SeedTable(items).overlaps(docs)] == [0, 0, 0, 0, 1, 0]
+
+
+def test_scripts_without_spaces():
+    item = "これは日本語で書かれた長い試験の文章です"
+    assert len(seeds.words(item)) == len(item) and seeds.words("Один two_3 日本 é") == ["один", "two_3", "日", "本", "é"]
+    table = seeds.SeedTable([(1, item)])
+    assert table.overlaps([f"前{item}後", item[:8], item.replace("長", "短")]) == [[(1, 1.0)], [], [(1, 12 / 13)]]
+
+
+def test_memory_is_bounded_by_words_not_by_the_longest_item():
+    r = random.Random(2)
+    long, short = " ".join(f"w{r.randrange(9000)}" for _ in range(20_000)), [" ".join(f"w{r.randrange(9000)}" for _ in range(25)) for _ in range(2000)]
+    tracemalloc.start()
+    table = seeds.SeedTable([(0, long), *enumerate(short, 1)])
+    docs = [long, " ".join(short[:500]), *short[:3]]
+    found = table.overlaps(docs)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 50e6 and (0, 1.0) in found[0] and {i for i, _ in found[1]} >= {*range(1, 501)} and [(k, 1.0) in found[1 + k] for k in (1, 2, 3)] == [True] * 3
+
+
+def test_a_phrase_that_many_items_share():
+    items = [(i, f"the same five words here {prose(i, 9)}") for i in range(300)]
+    docs = ["x the same five words here y " * 200, items[7][1]]
+    found = seeds.SeedTable(items).overlaps(docs)
+    assert found[0] == [] and found[1][0][0] == 7 and len(found[1]) == 1
+
+
 @pytest.mark.parametrize("block_chars", [seeds.BLOCK_CHARS, 200])
 def test_blocks_give_the_same(spark, block_chars):
     docs = spark.createDataFrame(list(enumerate(texts())), "doc_id long, text string")
