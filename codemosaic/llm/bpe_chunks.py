@@ -13,8 +13,9 @@ the ends of the stretch, it is widened border by border until they agree (at wor
 The vocabulary file is the tokenizers library's; in it every id is also the rank of its merge, so a rank-merging
 encoder over the same bytes gives the same ids several times faster (the tests hold both against each other).
 
-Defined cases: null text counts as empty; the empty text has no ids; repeated rows each give a row; other columns are
-not read, whatever they are called.
+Defined cases: null text counts as empty; the empty text has no ids; repeated rows each give a row; an empty table gives an empty
+table; a very long text is encoded whole, and is a step of its own; doc_id of any type that casts to long; other columns are not
+read, whatever they are called.
 """
 
 from __future__ import annotations
@@ -26,11 +27,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import steps, texts_of
 
-#: Chunk sizes in bytes: the least, and the most; MASK gives a cut every 2^10 bytes on average beyond the least.
-LEAST, MOST, MASK = 512, 16384, np.uint32((1 << 10) - 1)
+#: Chunk sizes in bytes: the least, and the most; MASK (high bits, which all 32 bytes reach) gives a cut every 2^7 bytes on average beyond the
+#: least, so that a passage of some 50 words holds whole chunks.
+LEAST, MOST, MASK = 64, 16384, np.uint32(((1 << 7) - 1) << 25)
 #: Bytes of ids and chunks that a worker keeps.
 STORE_BYTES = 48 << 20
 
@@ -157,7 +160,7 @@ class ChunkCodec:
         safe = np.concatenate([[0], np.flatnonzero(_VISIBLE[data[:-1]] & _SPACE[data[1:]]) + 1, [n]])
         starts = [0, *ends[:-1]]
         marks = [np.concatenate([[s], s + np.cumsum(self.length[x])]) for s, x in zip(starts, ids, strict=True)]
-        border = np.unique(np.concatenate(marks))
+        border = np.concatenate(marks)  # ascending
         windows: list[list[int]] = []
         for p in ends[:-1]:
             i = int(np.searchsorted(safe, p))
@@ -223,7 +226,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str) -> DataFrame:
             values = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), values], ["doc_id", "ids"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids array<int>")
 
 
 def decode_documents(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
@@ -235,7 +238,7 @@ def decode_documents(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
             texts = [own.decode_bytes(np.array(x or [], np.int64)).decode() for x in b.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(run, "doc_id long, text string")
 
 
 def round_trip_digests(docs: DataFrame, tokenizer_path: str) -> DataFrame:
@@ -254,4 +257,4 @@ def round_trip_digests(docs: DataFrame, tokenizer_path: str) -> DataFrame:
             ]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)

@@ -27,6 +27,20 @@ def test_digests_equal_the_library(spark, edge_docs, edge_rows, tokenizer):
     assert got == sorted(expected(tokenizer, r[1]) for r in edge_rows)
 
 
+def test_doc_id_of_another_type(spark, tokenizer):
+    docs = spark.createDataFrame([(7, "some text"), (None, "é")], "doc_id int, text string")
+    assert {r.doc_id: tuple(r)[1:] for r in bpe_chunks.round_trip_digests(docs, PATH).collect()} == {7: expected(tokenizer, "some text"), None: expected(tokenizer, "é")}
+    assert {r.doc_id for r in bpe_chunks.encode_documents(docs, PATH).collect()} == {7, None}
+
+
+def test_a_passage_within_other_texts_is_reused():
+    passage = " ".join(f"word{i * 7 % 400}" for i in range(150))
+    codec = bpe_chunks.ChunkCodec(PATH)
+    for k in range(12):
+        codec.encode([" ".join(f"own{k}x{i}" for i in range(60)) + " " + passage + " " + " ".join(f"end{k}x{i}" for i in range(60))])
+    assert codec.reused >= 11
+
+
 def test_empty_table(no_docs):
     assert bpe_chunks.round_trip_digests(no_docs, PATH).count() == 0
 
@@ -47,7 +61,7 @@ def test_shared_chunks_are_encoded_once_and_the_store_is_bounded():
     codec.encode([shared])
     first = codec.encoded
     codec.encode(["another beginning " + shared])
-    assert codec.encoded - first <= 3 and codec.reused > first / 2
+    assert codec.encoded - first <= 6 and codec.reused > first / 2
     codec.encode(["".join(f"w{i * k} " for i in range(9000)) for k in range(2, 8)])
     assert codec.held <= 200_000
 
