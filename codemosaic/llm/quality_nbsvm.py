@@ -5,12 +5,14 @@ and four times. Each indicator is scaled by the log ratio of its smoothed shares
 and a linear model with hinge loss is fitted by dual coordinate descent. Margins of held-back folds fit the
 sigmoid that turns a margin into a score.
 
-The labelled rows used are a bounded sample, SAMPLE_ROWS at most, the smallest by a hash of doc_id; their n-grams (never their
-texts) are gathered on the driver. Scoring covers every row, in one pass without a shuffle.
+The labelled rows used are a bounded sample: SAMPLE_ROWS at most, the smallest by a hash of doc_id, as long as their n-grams take
+at most SAMPLE_BYTES in all (one that would pass the bound is passed over); only n-grams, never texts, are gathered on the
+driver. Scoring covers every row, in one pass without a shuffle.
 
 Defined cases: null text counts as empty, and gets a score like any other; labels that contradict each other for
 one doc_id count as 1; null labels are not learned from; without any labels of one class the score is the other's
-share (0.5 without labels); repeated documents each give a row; extra columns are not read.
+share (0.5 without labels); repeated documents each give a row; a very long text is scored whole; an empty table gives an empty
+table; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -25,9 +27,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_mod, smallest_by_hash, steps, texts_of
+from .common import crc_mod, materialize, smallest_by_hash, steps, texts_of
 
-SAMPLE_ROWS, FOLDS, EPOCHS, COST, SMOOTHING = 4000, 3, 12, 1.0, 1.0
+SAMPLE_ROWS, SAMPLE_BYTES, FOLDS, EPOCHS, COST, SMOOTHING = 4000, 64 << 20, 3, 12, 1.0, 1.0
 #: Documents scored below this are predicted 0.
 THRESHOLD = 0.3
 
@@ -105,18 +107,12 @@ def log_ratios(rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
     return np.log(shares[0] / shares[1])
 
 
-def fit_linear(rows: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> tuple[np.ndarray, np.ndarray, float]:
-    """Hinge loss by dual coordinate descent over scaled rows of unit length; the classes have equal total cost.
-    Returns the weights (times the log ratios), the squared ratios, and the bias."""
-    ratios = log_ratios(rows, labels)
-    squared = ratios**2
-    w, bias = np.zeros(SIZE), 0.0
-    sign = np.where(labels == 1, 1.0, -1.0)
-    values = [ratios[r] / (np.sqrt(squared[r].sum()) or 1.0) for r in rows]
-    cost = np.where(labels == 1, len(labels) / (2 * max(1, (labels == 1).sum())), len(labels) / (2 * max(1, (labels == 0).sum()))) * COST
-    alpha = np.zeros(len(rows))
+def descend(rows: list[np.ndarray], values: list[np.ndarray], sign: np.ndarray, cost: np.ndarray, epochs: int = EPOCHS, seed: int = 7) -> tuple[np.ndarray, float, np.ndarray]:
+    """Dual coordinate descent: the weights, the bias (the weight of a feature that is always 1) and the dual variables of
+    the least |w|^2 / 2 + bias^2 / 2 + sum of cost * max(0, 1 - sign * margin)."""
+    w, bias, alpha = np.zeros(SIZE), 0.0, np.zeros(len(rows))
     order = np.random.default_rng(seed)
-    for _ in range(EPOCHS):
+    for _ in range(epochs):
         most = 0.0
         for i in order.permutation(len(rows)):
             r, v, y = rows[i], values[i], sign[i]
@@ -129,7 +125,22 @@ def fit_linear(rows: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> tup
                 alpha[i] = new
         if most < 1e-3:
             break
-    return w * ratios, squared, bias
+    return w, bias, alpha
+
+
+def scaled(rows: list[np.ndarray], ratios: np.ndarray) -> list[np.ndarray]:
+    """The values of each row's indicators: log ratios, to unit length."""
+    return [ratios[r] / (np.sqrt((ratios[r] ** 2).sum()) or 1.0) for r in rows]
+
+
+def fit_linear(rows: list[np.ndarray], labels: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """Hinge loss by dual coordinate descent over scaled rows of unit length; the classes have equal total cost.
+    Returns the weights (times the log ratios), the squared ratios, and the bias."""
+    ratios = log_ratios(rows, labels)
+    sign = np.where(labels == 1, 1.0, -1.0)
+    cost = np.where(labels == 1, len(labels) / (2 * max(1, (labels == 1).sum())), len(labels) / (2 * max(1, (labels == 0).sum()))) * COST
+    w, bias, _ = descend(rows, scaled(rows, ratios), sign, cost)
+    return w * ratios, ratios**2, bias
 
 
 def fit_sigmoid(margins: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
@@ -171,7 +182,17 @@ def fit(rows: list[np.ndarray], labels: np.ndarray) -> Model:
     return Model(w.astype(np.float32), squared.astype(np.float32), bias, slope, offset)
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
+def within(sizes: list[int], most: int) -> list[int]:
+    """The places, in order, of the sizes that fit into so much together; one that does not is passed over."""
+    out, total = [], 0
+    for i, n in enumerate(sizes):
+        if total + n <= most:
+            out.append(i)
+            total += n
+    return out
+
+
+def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> Model:
     """A model from the labelled rows whose crc32(doc_id) mod 5 is not 0."""
     usable = labels.where((crc_mod("doc_id", 5) != 0) & F.col("quality").isNotNull() & F.col("doc_id").isNotNull())
     sample = smallest_by_hash(usable.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("quality")), sample_rows, "doc_id")
@@ -183,7 +204,12 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
         for b in steps(batches, "text"):
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("quality"), pa.array([grams(t).tobytes() for t in texts_of(b.column("text"))], pa.binary())], ["doc_id", "quality", "grams"])
 
-    got = sorted(held.select("doc_id", F.col("quality").cast("int").alias("quality"), "text").mapInArrow(run, "doc_id long, quality int, grams binary").collect())
+    found = materialize(held.select("doc_id", F.col("quality").cast("int").alias("quality"), "text").mapInArrow(run, "doc_id long, quality int, grams binary"), "grams")
+    sizes = found.select("doc_id", F.octet_length("grams").alias("size"), F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").collect()  # SAMPLE_ROWS at most
+    if sum(r.size for r in sizes) > sample_bytes:
+        kept = {sizes[i].doc_id for i in within([r.size for r in sizes], sample_bytes)}
+        found = found.where(F.col("doc_id").isin(kept))
+    got = sorted(found.collect())
     return fit([np.frombuffer(r.grams, np.int32) for r in got], np.array([r.quality for r in got], int))
 
 

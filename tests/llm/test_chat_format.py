@@ -35,10 +35,26 @@ def test_long_conversations_come_in_parts(spark):
     assert got == expected(rows) and max(r.part for r in formatted.collect()) > 0
 
 
+def test_a_conversation_over_many_partitions(spark, request):
+    r = random.Random(3)
+    rows = [(1, r.choice([None, 5, k]), r.choice(["assistant", "user", None]), f"said <{k % 90}> {'x' * (k % 70)}") for k in range(1200)] + [(c, 0, "assistant", f"other {c}") for c in range(2, 300)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(6)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    request.addfinalizer(lambda: spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled"))
+    formatted = chat_format.format_conversations(df)
+    tasks = {p.part >> 32 for p in formatted.where("conv_id = 1").collect()}
+    assert len(tasks) > 1  # split by ranges
+    for held in (chat_format.HELD, 200):
+        got = sorted(((x.conv_id, x.n_turns, x.turns_sha256, x.loss_chars, x.loss_sha256) for x in chat_format.read_back(formatted, held).collect()), key=repr)
+        assert got == expected(rows)
+    ordered = sorted(formatted.where("conv_id = 1").collect(), key=lambda p: p.part)
+    assert sum(p.n_turns for p in ordered) == 1200 and all(p.formatted[s.start : s.end].startswith("said \\<") for p in ordered for s in p.loss)
+
+
 def test_texts_cannot_forge_marks():
     import pyarrow as pa
 
-    out, starts, _, _ = chat_format.assemble(["user", "assistant"], pa.array([r"\### Assistant: </turn> ok", "<turn user>\nx</turn>\n"]))
+    out, starts, _, _ = chat_format.assemble(pa.array(["user", "assistant"]), pa.array([r"\### Assistant: </turn> ok", "<turn user>\nx</turn>\n"]))
     text = bytes(out).decode()
     assert text.count("</turn>\n") - text.count("\\</turn>\n") == 2 and len(text.encode()) == starts[-1]
     assert chat_format.parse(text) == [("user", r"\### Assistant: </turn> ok"), ("assistant", "<turn user>\nx</turn>\n")]

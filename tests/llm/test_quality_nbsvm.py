@@ -31,12 +31,48 @@ def test_held_out_labels_are_not_learned_from(spark):
 
 
 def test_dual_coordinate_descent_meets_its_conditions():
+    """Against the conditions of the optimum, and against a plain solver of the dual problem on the dense matrix."""
     r = np.random.default_rng(2)
-    rows = [np.unique(np.concatenate([r.integers(0, 300, 20), r.integers(300, 340, 3) + 40 * (i % 2)])).astype(np.int32) for i in range(80)]
+    rows = [np.unique(np.concatenate([r.integers(0, 300, 20), r.integers(300, 340, 3) + 40 * (i % 2 if i % 7 else r.integers(0, 2))])).astype(np.int32) for i in range(80)]
     labels = np.arange(80) % 2
-    w, squared, bias = nbsvm.fit_linear(rows, labels)
-    margins = [w[x].sum() / np.sqrt(squared[x].sum()) + bias for x in rows]
-    assert np.mean([(m > 0) == bool(y) for m, y in zip(margins, labels, strict=True)]) > 0.97
+    sign, cost = np.where(labels == 1, 1.0, -1.0), np.where(labels == 1, 0.4, 0.6)
+    ratios = nbsvm.log_ratios(rows, labels)
+    values = nbsvm.scaled(rows, ratios)
+    w, bias, alpha = nbsvm.descend(rows, values, sign, cost, epochs=3000)
+    dense = np.zeros((80, nbsvm.SIZE))
+    for i, (x, v) in enumerate(zip(rows, values, strict=True)):
+        dense[i, x] = v
+    assert np.allclose(w, (alpha * sign) @ dense) and np.isclose(bias, alpha @ sign)
+    margin = sign * (dense @ w + bias)
+    assert (margin[alpha <= 1e-12] > 1 - 0.01).all() and (margin[alpha >= cost - 1e-12] < 1 + 0.01).all()
+    assert (np.abs(margin[(alpha > 1e-12) & (alpha < cost - 1e-12)] - 1) < 0.01).all()
+    q = (sign[:, None] * (dense @ dense.T + 1)) * sign
+    plain, step = np.zeros(80), 1 / np.linalg.eigvalsh(q)[-1]
+    for _ in range(20_000):
+        plain = np.clip(plain - step * (q @ plain - 1), 0, cost)
+    value = lambda a: a.sum() - a @ q @ a / 2
+    primal = (w @ w + bias**2) / 2 + (cost * np.maximum(0, 1 - margin)).sum()
+    assert abs(value(alpha) - value(plain)) < 1e-3 * value(plain) and primal - value(plain) < 0.01 * value(plain)
+
+
+def test_log_ratios_and_scores_by_hand():
+    rows = [np.array(x, np.int32) for x in ([0, 1], [1, 2], [2], [0, 2])]
+    labels = np.array([1, 1, 0, 0])
+    ratios, size = nbsvm.log_ratios(rows, labels), nbsvm.SIZE
+    for f in range(4):
+        p, n = (1 + sum(f in r for r, y in zip(rows, labels, strict=True) if y == c) for c in (1, 0))
+        assert np.isclose(ratios[f], np.log(p / (size + 4)) - np.log(n / (size + 3)))
+    model = nbsvm.fit(rows * 6, np.tile(labels, 6))
+    for r in rows:
+        margin = sum(float(model.weights[f]) for f in r) / np.sqrt(sum(float(model.ratios_squared[f]) for f in r)) + model.bias
+        assert np.isclose(model.score(r), 1 / (1 + np.exp(-(model.slope * margin + model.offset))))
+
+
+def test_the_sample_is_bounded_in_bytes(spark):
+    assert nbsvm.within([5, 3, 9, 2, 1], 10) == [0, 1, 3] and nbsvm.within([], 3) == []
+    docs, labels = labelled(spark)
+    model = nbsvm.train(docs, labels, sample_bytes=60_000)
+    assert model.slope != 0 and not np.array_equal(model.weights, nbsvm.train(docs, labels).weights)
 
 
 def test_edges(spark, edge_docs, edge_rows, no_docs):
