@@ -8,6 +8,7 @@ import tempfile
 import uuid
 import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  makes pa.compute available
@@ -52,15 +53,29 @@ def _drop_scratch() -> None:
             pass
 
 
+atexit.register(_drop_scratch)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path under the checkpoint folder, removed when the application ends."""
-    if not _scratch:
-        atexit.register(_drop_scratch)
     path = f"{checkpoint_root(spark)}/scratch-{uuid.uuid4().hex}/{name}"
     _scratch.append((spark, path.rpartition("/")[0]))
     return path
 
 
+@contextmanager
+def scratch_scope() -> Iterator[None]:
+    """Tables that are written to the shared folder within are removed at the end: what is to be kept has its path from before."""
+    before = len(_scratch)
+    try:
+        yield
+    finally:
+        own = _scratch[before:]
+        del _scratch[before:]
+        for spark, path in own:
+            delete_path(spark, path)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back: lineage is cut and a lost executor costs nothing twice."""
     spark = df.sparkSession
