@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from codemosaic.llm import bpe_chunks, decontam_seeds, line_winnow, probminhash, quality_nbsvm
-from codemosaic.llm.common import scratch_path, table
+from codemosaic.llm.common import delete_path, scratch_path, scratch_scope, table
 from codemosaic.llm.queries import tokenizer_path
 
 
@@ -47,9 +47,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """Each stage's rows are written and read again; what a stage wrote besides, and what it read, go once it is done."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for i, (_, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        out.write.parquet(path := scratch_path(spark, f"stage-{i}"))
+        path = scratch_path(spark, f"stage-{i}")
+        with scratch_scope():
+            out = stage(spark, docs, sf_dir)
+            out.write.parquet(path)
         docs = spark.read.schema(out.schema).parquet(path)
+        if before:
+            delete_path(spark, before)
+        before = path
     return docs
