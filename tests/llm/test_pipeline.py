@@ -41,6 +41,20 @@ def test_equals_a_brute_force_version(spark, tmp_path):
     assert got[200][0] == 0  # stands for all texts that line dedup emptied, and for those that were empty
 
 
+def test_repeated_rows_null_ids_and_clashing_columns(spark, tmp_path, edge_docs):
+    """Every stage, one after the other, on rows that repeat, have no doc_id, and carry columns the operators use themselves."""
+    tables(spark, str(tmp_path))
+    docs = edge_docs.unionByName(edge_docs)
+    for _, stage in corpus_pipeline.STAGES[1:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == edge_docs.columns
+        docs = spark.createDataFrame(out.collect(), out.schema)
+    rows = docs.collect()
+    assert len({r.text for r in rows}) == len(rows) and all(r.score == r.own == r.node == "x" for r in rows)
+    got = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
+    assert sorted(r.doc_id or 0 for r in got) == sorted(r.doc_id or 0 for r in rows)
+
+
 def test_stages_keep_the_columns(spark, tmp_path):
     tables(spark, str(tmp_path))
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
