@@ -29,13 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import steps, texts_of
+from .common import kept_in_worker, steps, texts_of
 
 #: Chunk sizes in bytes: the least, and the most; MASK (high bits, which all 32 bytes reach) gives a cut every 2^7 bytes on average beyond the
 #: least, so that a passage of some 50 words holds whole chunks.
 LEAST, MOST, MASK = 64, 16384, np.uint32(((1 << 7) - 1) << 25)
 #: Bytes of ids and chunks that a worker keeps.
-STORE_BYTES = 48 << 20
+STORE_BYTES = 32 << 20
 
 #: How the byte-level pre-tokenizer splits a text (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -105,8 +105,10 @@ class ChunkCodec:
         self.encoding = tiktoken.Encoding("chunks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
         self.length = np.array([len(b) for b in self.bytes_of], np.int64)
         self.dtype = np.uint16 if len(self.bytes_of) <= 1 << 16 else np.uint32
+        # Two generations: when the younger takes half of the room, it becomes the older, and the older goes.
         self.store: dict[bytes, np.ndarray] = {}
-        self.held, self.most = 0, store_bytes
+        self.older: dict[bytes, np.ndarray] = {}
+        self.held, self.most = 0, store_bytes // 2
         self.encoded = self.reused = 0
 
     def _raw(self, texts: list[str]) -> list[np.ndarray]:
@@ -114,17 +116,18 @@ class ChunkCodec:
 
     def _ids(self, chunks: list[bytes]) -> list[np.ndarray]:
         """Ids of each chunk by itself: those not in the store are encoded, each once."""
-        new = list(dict.fromkeys(c for c in chunks if c not in self.store))
-        got = dict(zip(new, self._raw([c.decode() for c in new]), strict=True))
+        own = {c: ids for c in chunks if (ids := self.store.get(c, self.older.get(c))) is not None}
+        new = list(dict.fromkeys(c for c in chunks if c not in own))
+        own.update(zip(new, self._raw([c.decode() for c in new]), strict=True))
         self.encoded += len(new)
         self.reused += len(chunks) - len(new)
-        out = [got[c] if c in got else self.store[c] for c in chunks]
-        for c, ids in got.items():
-            self.store[c] = ids
-            self.held += len(c) + ids.nbytes + 200
-        while self.held > self.most:  # the oldest go
-            c = next(iter(self.store))
-            self.held -= len(c) + self.store.pop(c).nbytes + 200
+        out = [own[c] for c in chunks]
+        for c, ids in own.items():
+            if c not in self.store and self.held <= self.most:
+                self.store[c] = ids
+                self.held += len(c) + ids.nbytes + 300
+        if self.held > self.most:
+            self.older, self.store, self.held = self.store, {}, 0
         return out
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
@@ -205,14 +208,9 @@ def _has(values: np.ndarray, x: int) -> bool:
     return i < len(values) and values[i] == x
 
 
-_codecs: dict[str, ChunkCodec] = {}
-
-
 def codec(tokenizer_path: str) -> ChunkCodec:
-    """This process's codec of a vocabulary; it lives as long as the Python worker, and its store with it."""
-    if tokenizer_path not in _codecs:
-        _codecs[tokenizer_path] = ChunkCodec(tokenizer_path)
-    return _codecs[tokenizer_path]
+    """This process's codec of a vocabulary, and its store with it."""
+    return kept_in_worker(f"codec {tokenizer_path}", lambda: ChunkCodec(tokenizer_path))
 
 
 def encode_documents(docs: DataFrame, tokenizer_path: str) -> DataFrame:

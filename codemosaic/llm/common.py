@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import re
 import tempfile
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from typing import TypeVar
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  makes pa.compute available
@@ -19,14 +21,24 @@ from pyspark.sql import types as T
 #: Bytes of text that one step of a Python operator holds at once (a longer text is a step of its own).
 STEP_BYTES = 4 << 20
 
+R = TypeVar("R")
+
 _scratch: list[tuple[SparkSession, str]] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the input folder; the path is opened by Spark alone, so any store that Spark reads will do."""
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches between the JVM and Python of STEP_BYTES at most (or one row), where the session has Spark's own default."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, "") in ("67108864b", "64MB", "64m"):
+        spark.conf.set(key, f"{STEP_BYTES}b")
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by spark.checkpoint.dir. Where that is unset, a folder of our own if this one machine is all
     there is; on a cluster, where executors would each write to their own disk, an error."""
@@ -58,6 +70,7 @@ atexit.register(_drop_scratch)
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path under the checkpoint folder, removed when the application ends."""
+    bound_batches(spark)
     path = f"{checkpoint_root(spark)}/scratch-{uuid.uuid4().hex}/{name}"
     _scratch.append((spark, path.rpartition("/")[0]))
     return path
@@ -144,3 +157,32 @@ def steps(batches: Iterator[pa.RecordBatch], column: str, most: int = STEP_BYTES
                 start, total = i, 0
             total += n
         yield batch.slice(start)
+    release()
+
+
+_kept: dict[str, object] = {}
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def release() -> None:
+    """Give memory that is free within this process back to the system: other workers and the JVM share the machine's."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
+def kept_in_worker(name: str, make: Callable[[], R]) -> R:
+    """This Python worker's own object of an operator. Workers serve one operator after another, so only the last one's is
+    kept."""
+    if name not in _kept:
+        _kept.clear()
+        release()
+        _kept[name] = make()
+    return _kept[name]
+
+
+def keep_nothing() -> None:
+    """What kept_in_worker keeps is not needed by the operator that now runs."""
+    if _kept:
+        _kept.clear()
+        release()

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import broadcast_if_few, steps, texts_of
+from .common import broadcast_if_few, kept_in_worker, steps, texts_of
 
 #: 1: the word counts. All have five ones; different spans and gaps, chosen for few common shifts.
 MASKS = ("11111", "1101011", "11010011", "1010011001")
@@ -45,6 +45,7 @@ HITS = 20_000
 
 #: Characters that are words of their own: kana, Han, Thai, Lao, Burmese, Khmer.
 _ALONE = "\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff"
+_PLAIN, _SPACELESS = re.compile(r"\w+"), re.compile(f"[{_ALONE}]")
 _WORD = re.compile(rf"[^\W{_ALONE}]+|(?=\w)[{_ALONE}]")
 #: All masks: those above, and rows of 1 to 4 words for items that have no more.
 _MASKS = [*MASKS, *("1" * n for n in range(1, MIN_WORDS))]
@@ -61,7 +62,8 @@ def needed(size: int) -> int:
 
 
 def words(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    text = text.lower()
+    return (_PLAIN if text.isascii() or not _SPACELESS.search(text) else _WORD).findall(text)
 
 
 def seed_hashes(ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -84,7 +86,7 @@ def seed_hashes(ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
 class SeedTable:
     """The seeds of a block of items, in flat arrays, and the comparison around hits."""
 
-    def __init__(self, items: list[tuple[int, str]], least_words: int = MIN_WORDS, most: int = 200_000):
+    def __init__(self, items: list[tuple[int, str]], least_words: int = MIN_WORDS, most: int = 100_000):
         kept, hashes, number = [], [], {}
         for item_id, text in items:
             w = words(text)
@@ -172,17 +174,6 @@ class SeedTable:
             out[t][int(self.items[i])] = max(share, out[t].get(int(self.items[i]), 0.0))
 
 
-_tables: dict[str, SeedTable] = {}
-
-
-def _table(name: str, items: list[tuple[int, str]], least_words: int) -> SeedTable:
-    """The table of a block; a worker builds it once and keeps the last one."""
-    if name not in _tables:
-        _tables.clear()
-        _tables[name] = SeedTable(items, least_words)
-    return _tables[name]
-
-
 def _blocks(benchmark: DataFrame, block_chars: int) -> tuple[int, Iterator[list[tuple[int, str]]]]:
     """How many blocks of bounded size the items make, and the blocks; each is collected by itself."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -202,7 +193,7 @@ def _with_hits(rows: DataFrame, text_at: int, items: list[tuple[int, str]], leas
     shared, name = rows.sparkSession.sparkContext.broadcast(items), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _table(name, shared.value, least_words)
+        table = kept_in_worker(name, lambda: SeedTable(shared.value, least_words))
         for b in steps(batches, text_at, most=1 << 20):
             found = [[{"item_id": i, "share": s} for i, s in x] for x in table.overlaps(texts_of(b.column(text_at)))]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, kind)], schema.names)

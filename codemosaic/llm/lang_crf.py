@@ -238,7 +238,7 @@ def fit(texts: list[list[str]], labels: list[str], rounds: int = ROUNDS) -> Mode
 class Tagger:
     """Labels texts with a model; keeps the scores of words seen before, up to a bound."""
 
-    def __init__(self, model: Model, most: int = 300_000):
+    def __init__(self, model: Model, most: int = 100_000):
         self.model, self.most = model, most
         self.number: dict[str, int] = {}
         self.scores = np.empty((0, len(model.languages)))

@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_few, materialize, steps, texts_of
+from .common import broadcast_if_few, keep_nothing, kept_in_worker, materialize, steps, texts_of
 from .components import components
 
 WORDS, SIMILARITY = 5, 0.8
@@ -69,7 +69,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 class Shingler:
     """Shingle hashes of texts; keeps the hashes of words seen before, up to a bound."""
 
-    def __init__(self, most: int = 200_000):
+    def __init__(self, most: int = 100_000):
         self.words: dict[str, int] = {}
         self.most = most
 
@@ -141,23 +141,11 @@ def sketches(sets: list[np.ndarray], counts: list[np.ndarray]) -> tuple[list[lis
     return keys, packed
 
 
-_shinglers: list[Shingler] = []
-
-
-def _free() -> None:
-    """Give back what making features has left in a worker that later stages use again."""
-    if _shinglers:
-        _shinglers.clear()
-        pa.default_memory_pool().release_unused()
-
-
 def features(docs: DataFrame) -> DataFrame:
     """FEATURES of docs(doc_id, text): node names the text, the rest is what candidates and verification need."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not _shinglers:
-            _shinglers.append(Shingler())
-        shingle = _shinglers[0]
+        shingle = kept_in_worker("shingler", Shingler)
         for b in steps(batches, "text", most=1 << 20):
             texts = texts_of(b.column("text"))
             sets, counts = zip(*map(shingle, texts), strict=True)
@@ -249,7 +237,7 @@ def links(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     side = lambda df, x: df.select(F.col("node").alias(x), *[F.col(c).alias(c[0] + x) for c in df.columns if c != "node"])
 
     def rough(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _free()
+        keep_nothing()
         for b in batches:
             if b.num_rows:
                 rows = [b.column(c).to_pylist() for c in ("ra", "rb")]
@@ -261,7 +249,7 @@ def links(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(keep)
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _free()
+        keep_nothing()
         for b in batches:
             rows = zip(*(b.column(c).to_pylist() for c in ("sa", "ca", "sb", "cb")), strict=True)
             keep = pa.array([similarity(*x) >= SIMILARITY for x in rows], pa.bool_())
@@ -316,7 +304,7 @@ def linked(x: list[tuple[bytes, bytes]], y: list[tuple[bytes, bytes]]) -> np.nda
 
 def _compare(t: pa.Table) -> pa.Table:
     """Links (a, b) of labels that two blocks, or one with itself, give; only as many as connect what they connect."""
-    _free()
+    keep_nothing()
     names = t.column("label").to_pylist()
     left = t.column("left").to_numpy()
     bags = list(zip(t.column("shingles").to_pylist(), t.column("counts").to_pylist(), strict=True))
@@ -402,6 +390,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     node = F.unhex(F.md5(F.coalesce(F.col("row.text"), F.lit("")).cast("binary")))
     whole = docs.select(F.struct("*").alias("row")).select("row", node.alias("node"), F.coalesce(F.col("row.doc_id").cast("long"), least).alias("own"))
     # Repeated rows are reduced where they are, before texts are dealt out.
-    whole = whole.groupBy("node", "own").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row"))
+    value = lambda f: F.to_json(F.struct(F.col("row")[f.name])) if "map<" in f.dataType.simpleString() else F.col("row")[f.name]
+    whole = whole.groupBy("node", "own").agg(F.min_by("row", F.xxhash64(*[x for f in docs.schema.fields for x in (value(f), value(f).isNull())])).alias("row"))
     kept = classes(docs)[1].where("kept_row IS NOT NULL").select("node", F.coalesce("class_id", least).alias("own"))
     return whole.join(kept, ["node", "own"]).select("row.*")

@@ -41,7 +41,7 @@ SIZE = _RUNS + 2
 class Grams:
     """The n-gram indicators of texts; keeps the hashes of words seen before, up to a bound."""
 
-    def __init__(self, most: int = 200_000):
+    def __init__(self, most: int = 100_000):
         self.known: dict[bytes, int] = {}
         self.most = most
         self.flags = np.zeros(SIZE, bool)
