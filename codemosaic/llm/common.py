@@ -35,7 +35,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def bound_batches(spark: SparkSession) -> None:
     """Arrow batches between the JVM and Python of STEP_BYTES at most (or one row), where the session has Spark's own default."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(key, "") in ("67108864b", "64MB", "64m"):
+    if spark.conf.get(key, None) in ("67108864b", "64MB", "64m"):
         spark.conf.set(key, f"{STEP_BYTES}b")
 
 
