@@ -12,15 +12,15 @@ from ..functions.hashing import content_hash
 
 DEFAULT_ENTRIES = 1024
 
-LOG = "cache_id string, seq long, op string, content_hash string, hit boolean, evicted string, n_entries int"
+LOG = "cache_id string, seq long, op string, content_hash string, hit boolean, evicted string, n_entries int, skeleton string, n_symbols int"
 
 
 class Lru:
-    """The entries of one cache, the least recently used first."""
+    """The entries of one cache and what each holds, the least recently used first."""
 
     def __init__(self, most: int):
         self.most = max(1, most)
-        self.entries: dict[str, None] = {}
+        self.entries: dict[str, object] = {}
 
     def get(self, key: str) -> bool:
         if key not in self.entries:
@@ -28,19 +28,20 @@ class Lru:
         self.entries[key] = self.entries.pop(key)
         return True
 
-    def insert(self, key: str) -> str | None:
-        """Put a key in; a full cache first loses its least recently used entry, even if the key is there already."""
+    def insert(self, key: str, value: object = None) -> str | None:
+        """Put a key with what it holds in; a full cache first loses its least recently used entry, even if the key is there already."""
         evicted = None
         if len(self.entries) >= self.most:
             evicted = next(iter(self.entries))
             del self.entries[evicted]
         self.entries.pop(key, None)
-        self.entries[key] = None
+        self.entries[key] = value
         return evicted
 
 
 def replay(ops: DataFrame, most: int = DEFAULT_ENTRIES) -> DataFrame:
-    """What each of ops(cache_id, seq, op, content) did (LOG), op being insert or get.
+    """What each of ops(cache_id, seq, op, content) did (LOG), op being insert or get. An insert stores the skeleton and the
+    number of symbols that its row has (null without such columns); a get that hits has them back.
 
     Rows are dealt out by cache and sorted; a task holds the entries of one cache at a time, at most ``most``, however long its
     log is.
@@ -50,16 +51,17 @@ def replay(ops: DataFrame, most: int = DEFAULT_ENTRIES) -> DataFrame:
         now, cache = object(), Lru(most)
         for b in batches:
             rows = []
-            for cache_id, seq, op, key in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for cache_id, seq, op, key, *value in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if cache_id != now:
                     now, cache = cache_id, Lru(most)
-                hit, evicted = (cache.get(key), None) if op == "get" else (None, cache.insert(key))
-                rows.append((cache_id, seq, op, key, hit, evicted, len(cache.entries)))
+                hit, evicted = (cache.get(key), None) if op == "get" else (None, cache.insert(key, value))
+                rows.append((cache_id, seq, op, key, hit, evicted, len(cache.entries), *(cache.entries[key] if hit else (None, None))))
             if rows:
-                kinds = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.string(), pa.int32())
+                kinds = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.string(), pa.int32(), pa.string(), pa.int32())
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], [c.split()[0] for c in LOG.split(", ")])
 
-    keyed = ops.select(F.col("cache_id").cast("string").alias("cache_id"), F.col("seq").cast("long").alias("seq"), "op", content_hash(F.col("content")).alias("content_hash"))
+    held = [(F.col(c) if c in ops.columns else F.lit(None)).cast(t).alias(c) for c, t in (("skeleton", "string"), ("n_symbols", "int"))]
+    keyed = ops.select(F.col("cache_id").cast("string").alias("cache_id"), F.col("seq").cast("long").alias("seq"), "op", content_hash(F.col("content")).alias("content_hash"), *held)
     return keyed.repartition("cache_id").sortWithinPartitions("cache_id", "seq").mapInArrow(run, LOG)
 
 

@@ -14,6 +14,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.batches import bounded
 from ..functions.strings import lines as text_lines
 from ..plans.session import cut_lineage
 from .symbols import extract_symbols, first_in_order, imports, is_exported, nodes_of, resolved
@@ -55,7 +56,7 @@ def code_lines(files: DataFrame) -> DataFrame:
     """LINES of all files but comment lines: tokens are the distinct words of a line, and ``$`` if it has one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in bounded(batches, "content"):
             rows = []
             for path, content in zip(*(x.to_pylist() for x in b.columns), strict=True):
                 at = 0
@@ -169,6 +170,16 @@ class CodeCorpus:
         node = self.nodes.where(F.col("name") == symbol).orderBy(F.when(own, 0).otherwise(1), F.when(own, "").otherwise(F.col("file")), "pattern_ord", "byte_start", "symbol_id").limit(1)
         return resolved(node, self.files)
 
+    def resolve_symbols(self, wanted: DataFrame) -> DataFrame:
+        """For each of wanted(name, from_file), from_file null or not: the nodes' columns of the symbol that is meant, null if there is
+        none. One join and an aggregate that keeps the first candidate, so a common name is reduced before it is dealt out."""
+        asked = wanted.select("name", F.replace("from_file", F.lit("\\"), F.lit("/")).alias("from_file")).distinct()
+        found = asked.withColumnRenamed("name", "asked").join(self.nodes, F.col("asked") == F.col("name"))
+        order = F.struct((~F.col("file").eqNullSafe(F.col("from_file"))).alias("other"), "file", "pattern_ord", "byte_start", "symbol_id")
+        first = found.groupBy("asked", F.col("from_file").alias("asked_from")).agg(F.min_by(F.struct(*self.nodes.columns), order).alias("node"))
+        same = (F.col("wanted") == F.col("asked")) & F.col("from_file").eqNullSafe(F.col("asked_from"))
+        return asked.withColumnRenamed("name", "wanted").join(first, same, "left").select("wanted", "from_file", "node.*")
+
     def impact_all(self, depth: int = 2, starts: DataFrame | None = None) -> DataFrame:
         """A report for each of starts(symbol, file, symbol_id): dependents in up to depth steps and references from other
         files. Without starts: for each name, from the symbol that has it."""
@@ -253,13 +264,13 @@ class CodeCorpus:
 
     def health(self) -> DataFrame:
         """One row: counts, cycles and orphans."""
-        count = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
         cycles = self.import_cycles().agg(F.sort_array(F.collect_list("cycle")).alias("circular_dependencies"))
         orphans = self.orphan_exports().agg(F.sort_array(F.collect_list("orphan")).alias("orphan_exports"))
-        out = cycles.join(orphans)
-        for df, name in ((self.files, "total_files"), (self.nodes, "total_symbols"), (self.edges, "total_edges")):
-            out = out.join(count(df, name))
-        return out
+        return self.spark.sql(
+            "SELECT (SELECT * FROM {cycles}) AS circular_dependencies, (SELECT * FROM {orphans}) AS orphan_exports,"
+            " (SELECT count(*) FROM {files}) AS total_files, (SELECT count(*) FROM {nodes}) AS total_symbols, (SELECT count(*) FROM {edges}) AS total_edges",
+            files=self.files, nodes=self.nodes, edges=self.edges, cycles=cycles, orphans=orphans,
+        )
 
 
 def first_nodes(nodes: DataFrame) -> DataFrame:

@@ -119,50 +119,80 @@ def inner_html(code: Column) -> Column:
     return F.when(_not_rust(code) & code.contains("dangerouslySetInnerHTML"), F.concat(F.lit("Raw `"), found, F.lit("` set as inner HTML without being sanitized")))
 
 
-SCAN_TYPE = T.StructType([T.StructField("balanced", T.BooleanType()), *(T.StructField(n, T.StringType()) for n in ("unwrap", "redos", "deref", "tags"))])
+SCANNED = ("balanced", "unwrap", "redos", "deref", "tags")
+
+
+def _scanner(name: str, text: str) -> str | None:
+    """The detail of a pass that needs a scanner, if it finds something. What a text must hold for that is looked for first."""
+    if name == "balanced":
+        return None if scanners.balanced(text) else "Braces, brackets or parentheses do not pair up"
+    if name == "unwrap":
+        at = scanners.first_unguarded_unwrap(text) if "unwrap" in text or "expect" in text else None
+        return None if at is None else f"Unguarded `.unwrap()` at byte {at}"
+    if name == "redos":
+        nested = scanners.first_nested_quantifier(text) if ("+" in text or "*" in text) and ("'" in text or '"' in text) else None
+        return nested and f"Nested repetition at byte {nested[0]}: `{nested[1]}`"
+    rust = any(m in text for m in RUST_MARKS)
+    if name == "deref":
+        deref = scanners.first_deep_access(text) if not rust and any(m in text for m in TYPED_MARKS) else None
+        return deref and f"Deep access at byte {deref[0]}: `{deref[1]}`; optional chaining is meant"
+    return None if rust or "use std::" in text or "<" not in text or ">" not in text else scanners.tag_mismatch(text)
+
+
+SCAN_TYPE = T.StructType([T.StructField("balanced", T.BooleanType()), *(T.StructField(n, T.StringType()) for n in SCANNED[1:])])
 
 
 @arrow_udf(SCAN_TYPE)
 def scan(code):
+    """What every scanner finds, whatever the others do."""
     import pyarrow as pa
 
     rows = []
     for text in code.to_pylist():
-        if text is None:
-            rows.append(None)
-            continue
-        at = scanners.first_unguarded_unwrap(text)
-        nested = scanners.first_nested_quantifier(text)
-        deref = scanners.first_deep_access(text) if not any(m in text for m in RUST_MARKS) and any(m in text for m in TYPED_MARKS) else None
-        rust = any(m in text for m in (*RUST_MARKS, "use std::"))
-        tags = None if rust or "<" not in text or ">" not in text else scanners.tag_mismatch(text)
-        rows.append(
-            {
-                "balanced": scanners.balanced(text),
-                "unwrap": None if at is None else f"Unguarded `.unwrap()` at byte {at}",
-                "redos": nested and f"Nested repetition at byte {nested[0]}: `{nested[1]}`",
-                "deref": deref and f"Deep access at byte {deref[0]}: `{deref[1]}`; optional chaining is meant",
-                "tags": tags,
-            }
-        )
-    return pa.array(rows, pa.struct([("balanced", pa.bool_()), ("unwrap", pa.string()), ("redos", pa.string()), ("deref", pa.string()), ("tags", pa.string())]))
-
-
-def passes(code: Column, scanned: Column) -> dict[str, Column]:
-    """Detail of each pass, null where it holds; in order."""
-    found = (
-        F.when(~scanned["balanced"], "Braces, brackets or parentheses do not pair up"), async_mutex(code), division(code), array_bounds(code), scanned["unwrap"], scanned["redos"],
-        scanned["deref"], conditional_hooks(code), client_secret(code), inner_html(code), scanned["tags"],
-    )
-    return dict(zip(CODES, found, strict=True))
+        found = None if text is None else {n: _scanner(n, text) for n in SCANNED}
+        rows.append(found and found | {"balanced": found["balanced"] is None})
+    return pa.array(rows, pa.struct([("balanced", pa.bool_()), *((n, pa.string()) for n in SCANNED[1:])]))
+
+
+_FIRST = T.StructType([T.StructField("code", T.StringType()), T.StructField("detail", T.StringType())])
+
+
+@arrow_udf(_FIRST)
+def first_scanned(code, before):
+    """The first finding among the passes that need a scanner, of those that come before a place in the order of all; no scanner
+    runs after the first finding."""
+    import pyarrow as pa
+
+    rows = []
+    for text, place in zip(code.to_pylist(), before.to_pylist(), strict=True):
+        found = None
+        if text is not None:
+            for k, name in _SCANNER_AT:
+                if k >= place:
+                    break
+                if (detail := _scanner(name, text)) is not None:
+                    found = {"code": CODES[k], "detail": detail}
+                    break
+        rows.append(found)
+    return pa.array(rows, pa.struct([("code", pa.string()), ("detail", pa.string())]))
+
+
+#: Passes in the order of CODES: scanners by name, the others as columns.
+_PASSES = ("balanced", async_mutex, division, array_bounds, "unwrap", "redos", "deref", conditional_hooks, client_secret, inner_html, "tags")
+_SCANNER_AT = [(k, p) for k, p in enumerate(_PASSES) if isinstance(p, str)]
 
 
 def verify(files: DataFrame, content: str = "content", prefix: str = "") -> DataFrame:
-    """files with passed, violation and detail (with a prefix, if given) of a column of code; null code passes."""
-    scanned = files.withColumn("__scan", scan(F.col(content)))
-    first = F.coalesce(*[F.when(d.isNotNull(), F.struct(F.lit(code).alias("code"), d.alias("detail"))) for code, d in passes(F.col(content), F.col("__scan")).items()])
-    out = scanned.withColumn("__first", first)
-    return out.withColumns({f"{prefix}passed": F.col("__first").isNull(), f"{prefix}violation": F.col("__first.code"), f"{prefix}detail": F.col("__first.detail")}).drop("__scan", "__first")
+    """files with passed, violation and detail (with a prefix, if given) of a column of code; null code passes.
+
+    The passes that are expressions run first; scanners, in Python, only for what comes before the first of their findings.
+    """
+    code = F.col(content)
+    plain = F.coalesce(*[F.when((d := p(code)).isNotNull(), F.struct(F.lit(k).alias("k"), F.lit(CODES[k]).alias("code"), d.alias("detail"))) for k, p in enumerate(_PASSES) if not isinstance(p, str)])
+    out = files.withColumn("__plain", plain)
+    out = out.withColumn("__scanned", first_scanned(code, F.coalesce("__plain.k", F.lit(len(_PASSES)))))
+    first = lambda field: F.coalesce(f"__scanned.{field}", f"__plain.{field}")
+    return out.withColumns({f"{prefix}passed": first("code").isNull(), f"{prefix}violation": first("code"), f"{prefix}detail": first("detail")}).drop("__plain", "__scanned")
 
 
 def violation_histogram(verified: DataFrame) -> DataFrame:

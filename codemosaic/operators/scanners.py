@@ -6,8 +6,11 @@ Each walks the tokens of one linear pattern, never single characters.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
+from ..functions.strings import lines
+
 # --- delimiters ---
 
 _DELIMITER = re.compile(
@@ -185,78 +188,149 @@ def first_deep_access(code: str) -> tuple[int, str] | None:
 _STRUCTURE = re.compile(r"[\"'`\n(){};]")
 
 
-def _outside_strings(text: str, start: int, end: int) -> Iterator[tuple[int, str]]:
-    """Places and kinds of parentheses, braces and semicolons outside of strings. Quotes end at their line (back quotes do not); a
-    single quote that begins a lifetime begins no string."""
-    quote = ""
-    for m in _STRUCTURE.finditer(text, start, end):
+def _structure(text: str, start: int) -> tuple[list[int], list[str], list[tuple[int, int]]]:
+    """Places and kinds of parentheses, braces and semicolons outside of strings, from a line start on, and where strings in back
+    quotes begin and end. Other quotes end at their line; a single quote that begins a lifetime begins no string."""
+    at, kinds, strings = [], [], []
+    quote, opened, end = "", 0, len(text)
+    for m in _STRUCTURE.finditer(text, start):
         i, c = m.start(), m[0]
         if c == "\n":
-            if quote in ("'", '"'):
+            if quote != "`":
+                quote = ""
+        elif c not in "\"'`":
+            if not quote:
+                at.append(i)
+                kinds.append(c)
+        elif text[i - 1 : i] == "\\" and i > start:
+            pass
+        elif quote:
+            if c == quote:
+                if c == "`":
+                    strings.append((opened, i))
                 quote = ""
-        elif c in "\"'`":
-            before = text[i - 1] if i > start else "\0"
-            if before == "\\":
-                if not quote:
-                    continue
-            elif quote:
-                quote = "" if c == quote else quote
-            elif c == "'" and before in "&<, (" and not (text[i + 2 : i + 3] == "'" and text[i + 1] != "\\" and i + 2 < end) and not (text[i + 1 : i + 2] == "\\" and text[i + 3 : i + 4] == "'" and i + 3 < end):
+        elif c != "'" or not _lifetime(text, start, i):
+            quote, opened = c, i
+    if quote == "`":
+        strings.append((opened, end))
+    return at, kinds, strings
+
+
+def _lifetime(text: str, start: int, i: int) -> bool:
+    """Whether the single quote here begins a lifetime: it stands where a type may, and no character literal ends soon after."""
+    if i == start or text[i - 1] not in "&<, (":
+        return False
+    plain = text[i + 2 : i + 3] == "'" and text[i + 1] != "\\"
+    return not plain and not (text[i + 1 : i + 2] == "\\" and text[i + 3 : i + 4] == "'")
+
+
+class _Run:
+    """The structural tokens from a line start on, read with no string open there, and where spans that begin among them end.
+
+    One pass over the tokens from last to first fills two tables: ``begins``, the first brace or semicolon outside of
+    parentheses from a token on, and ``closes``, the first brace from a token on that closes one opened before it.
+    """
+
+    def __init__(self, text: str, start: int):
+        self.start = start
+        self.at, self.kinds, self.strings = _structure(text, start)
+        n = len(self.at)
+        behind = [n] * n  # behind the parenthesis that matches this one
+        open_ones: list[int] = []
+        for t, c in enumerate(self.kinds):
+            if c == "(":
+                open_ones.append(t)
+            elif c == ")" and open_ones:
+                behind[open_ones.pop()] = t + 1
+        self.begins, self.closes = [n] * (n + 1), [n] * (n + 1)
+        for t in range(n - 1, -1, -1):
+            c = self.kinds[t]
+            if c == "(":
+                self.begins[t], self.closes[t] = self.begins[behind[t]], self.closes[behind[t]]
                 continue
+            self.begins[t] = t if c in "{;" else self.begins[t + 1]
+            if c == "}":
+                self.closes[t] = t
+            elif c == "{":
+                inner = self.closes[t + 1]
+                self.closes[t] = self.closes[inner + 1] if inner < n else n
             else:
-                quote = c
-        elif not quote:
-            yield i, c
-
-
-def closing_boundary(text: str, start: int) -> int:
-    """Where a braced declaration that starts here ends: behind its matching brace, or behind a semicolon before any brace; else the
-    end of the text. Braces and semicolons within parentheses do not count."""
-    depth = inner = 0
-    for i, c in _outside_strings(text, start, len(text)):
-        if c == "(":
-            inner += 1
-        elif c == ")":
-            inner = max(0, inner - 1)
-        elif inner:
-            continue
-        elif c == "{":
-            depth += 1
-        elif c == "}" and depth:
-            depth -= 1
-            if not depth:
-                return i + 1
-        elif c == ";" and not depth:
-            return i + 1
-    return len(text)
-
-
-def signature_end(text: str, start: int, end: int) -> int:
-    """The first brace or semicolon outside of parentheses and strings; else the end."""
-    inner = 0
-    for i, c in _outside_strings(text, start, end):
-        if c == "(":
-            inner += 1
-        elif c == ")":
-            inner = max(0, inner - 1)
-        elif not inner and c in "{;":
-            return i
-    return end
+                self.closes[t] = self.closes[t + 1]
+
+
+class Structure:
+    """Where declarations of a text begin and end, each found without reading the text again.
+
+    A declaration begins with no string open, whatever stands before it. Only back quotes keep a string open over lines, so a run
+    serves all later line starts that it finds outside of strings; for one that it does not, there is another run.
+    """
+
+    def __init__(self, text: str):
+        self.text = text
+        self.runs: list[_Run] = []
+
+    def _run(self, start: int) -> _Run:
+        for run in self.runs:
+            k = bisect_right(run.strings, (start, -1)) - 1
+            if run.start <= start and (k < 0 or run.strings[k][1] < start):
+                return run
+        self.runs.append(_Run(self.text, start))
+        return self.runs[-1]
+
+    def closing(self, start: int) -> int:
+        """Where a braced declaration that starts here ends: behind its matching brace, or behind a semicolon before any brace; else the
+        end of the text. Braces and semicolons within parentheses do not count."""
+        run = self._run(start)
+        n = len(run.at)
+        t = run.begins[bisect_left(run.at, start)]
+        if t < n and run.kinds[t] == "{":
+            t = run.closes[t + 1]
+        return run.at[t] + 1 if t < n else len(self.text)
+
+    def signature(self, start: int, end: int) -> int:
+        """The first brace or semicolon outside of parentheses and strings; else the end."""
+        run = self._run(start)
+        t = run.begins[bisect_left(run.at, start)]
+        return min(run.at[t], end) if t < len(run.at) else end
 
 
 def _indent(line: str) -> int:
     return len(line) - len(line.lstrip())
 
 
-def indented_boundary(text: str, start: int) -> int:
-    """Where an indented declaration that starts here ends: before the first later line, not blank and no comment, that is indented no
-    deeper than the line it starts on; else the end of the text. A carriage return before a line feed is not counted."""
-    from ..functions.strings import lines
-
-    first, *rest = lines(text[start:]) or [""]
-    base, at = _indent(first), start + len(first)
-    for line in rest:
-        if line.strip() and not line.lstrip().startswith("#") and _indent(line) <= base:
-            return at
-        at += len(line) + 1
-    return len(text)
+class Indents:
+    """Where indented declarations of a text end. Each line looks for the first later one, not blank and no comment, that is
+    indented no deeper; a stack of such lines from the end of the text on, ever more indented, answers all in one pass."""
+
+    def __init__(self, text: str):
+        self.size = len(text)
+        own = lines(text)
+        self.begins, self.sizes, before = [], [0], 0  # carriage returns before line feeds are in the places, not in the sizes
+        for raw in text.split("\n")[: len(own)]:
+            self.begins.append(before)
+            before += len(raw) + 1
+        self.lengths = [len(x) for x in own]
+        for n in self.lengths:
+            self.sizes.append(self.sizes[-1] + n + 1)
+        self.next = [len(own)] * len(own)
+        depths: list[int] = []
+        places: list[int] = []
+        for i in range(len(own) - 1, -1, -1):
+            depth = _indent(own[i])
+            if (k := bisect_right(depths, depth)) > 0:
+                self.next[i] = places[k - 1]
+            bare = own[i].lstrip()
+            if bare and not bare.startswith("#"):
+                while depths and depths[-1] >= depth:
+                    depths.pop()
+                    places.pop()
+                depths.append(depth)
+                places.append(i)
+
+    def closing(self, start: int) -> int:
+        """Where the declaration on the line that starts here ends: before that later line, else at the end of the text. A carriage
+        return before a line feed is not counted."""
+        i = bisect_left(self.begins, start)
+        if i >= len(self.next) or self.next[i] == len(self.next):
+            return self.size
+        return start + self.lengths[i] + self.sizes[self.next[i]] - self.sizes[i + 1]

@@ -12,7 +12,10 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.functions import arrow_udf
 
+from ..functions.batches import bounded
 from ..functions.hashing import fnv1a64
 from ..functions.languages import FRONTEND
 from ..functions.strings import ByteOffsets
@@ -50,25 +53,23 @@ _PATTERNS = {"rust": RUST, "python": PYTHON} | dict.fromkeys(FRONTEND, TYPESCRIP
 _COMPILED = {language: [(re.compile("(?m)" + p), kind) for p, kind in patterns] for language, patterns in _PATTERNS.items()}
 
 
-def declarations(path: str, language: str, content: str) -> list[tuple]:
-    """Rows of SYMBOLS of one file."""
+def declarations(path: str, language: str, content: str, with_text: bool = True) -> list[tuple]:
+    """Rows of SYMBOLS of one file; their texts only where wanted."""
     out = []
     offset = ByteOffsets(content)
+    structure = None  # read on the first declaration
     for order, (pattern, kind) in enumerate(_COMPILED.get(language, ())):
         for m in pattern.finditer(content):
             start = m.start()
-            if language == "python":
-                end = scanners.indented_boundary(content, start)
-                marks = ":"
-            else:
-                end = scanners.closing_boundary(content, start)
-                marks = "{;" if language == "rust" else ""
+            structure = structure or (scanners.Indents if language == "python" else scanners.Structure)(content)
+            end = structure.closing(start)
+            marks = ":" if language == "python" else "{;" if language == "rust" else ""
             if marks:
                 stop = next((i for c in marks if (i := content.find(c, start, end)) >= 0), None)
                 signature = m[0] if stop is None else content[start:stop].strip()
             else:
-                signature = content[start : scanners.signature_end(content, start, end)].strip()
-            out.append((fnv1a64(f"{path}:{m[1]}:{kind}".encode()), m[1], kind, path, offset(start), offset(end), signature, order, content[start:end]))
+                signature = content[start : structure.signature(start, end)].strip()
+            out.append((fnv1a64(f"{path}:{m[1]}:{kind}".encode()), m[1], kind, path, offset(start), offset(end), signature, order, content[start:end] if with_text else None))
     return out
 
 
@@ -79,12 +80,10 @@ def extract_symbols(files: DataFrame, with_text: bool = False) -> DataFrame:
     types = [kinds[c.split()[1]] for c in SYMBOLS.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = [r for p, lang, c in zip(*(x.to_pylist() for x in b.columns), strict=True) if c for r in declarations(p, lang, c)]
+        for b in bounded(batches, "content"):
+            rows = [r for p, lang, c in zip(*(x.to_pylist() for x in b.columns), strict=True) if c for r in declarations(p, lang, c, with_text)]
             for i in range(0, len(rows), 4096):
-                part = list(zip(*rows[i : i + 4096], strict=True))
-                if not with_text:
-                    part[-1] = [None] * len(part[0])
+                part = zip(*rows[i : i + 4096], strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(part, types, strict=True)], names)
 
     found = files.select(F.replace("path", F.lit("\\"), F.lit("/")).alias("path"), "language", "content").mapInArrow(run, SYMBOLS)
@@ -107,9 +106,10 @@ def is_exported(signature: Column) -> Column:
     return starts | signature.contains("export function") | signature.contains("export const")
 
 
-def _doc_comment(content: str, byte_start: int) -> str | None:
+def _doc_comment(before: list[str]) -> str | None:
+    """The comment lines that end these lines; blank lines between are passed over."""
     docs: list[str] = []
-    for line in reversed(content.encode()[:byte_start].decode(errors="ignore").split("\n")):
+    for line in reversed(before):
         text = line.strip()
         if text.startswith(("///", "//!", "*")):
             docs.append(text)
@@ -118,12 +118,22 @@ def _doc_comment(content: str, byte_start: int) -> str | None:
     return "\n".join(reversed(docs)) or None
 
 
+@arrow_udf(T.StringType())
+def doc_comments(content, byte_start):
+    """The doc comment before a place of each content."""
+    import pyarrow as pa
+
+    out = []
+    for text, at in zip(content.to_pylist(), byte_start.to_pylist(), strict=True):
+        out.append(None if text is None or at is None else _doc_comment(text.encode()[:at].decode(errors="ignore").split("\n")))
+    return pa.array(out, pa.string())
+
+
 def resolved(nodes: DataFrame, files: DataFrame) -> DataFrame:
     """Nodes with doc_comment and is_exported."""
-    doc = F.udf(_doc_comment, "string", useArrow=True)
     contents = files.select(F.replace("path", F.lit("\\"), F.lit("/")).alias("file"), "content")
     joined = nodes.join(contents, "file", "left")
-    return joined.select(*nodes.columns, doc("content", "byte_start").alias("doc_comment"), is_exported(F.col("signature")).alias("is_exported"))
+    return joined.select(*nodes.columns, doc_comments("content", "byte_start").alias("doc_comment"), is_exported(F.col("signature")).alias("is_exported"))
 
 
 # --- imports ---

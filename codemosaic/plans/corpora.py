@@ -71,7 +71,22 @@ SELECT concat('cards/c', CAST(c_custkey AS STRING), '.tsx') AS path, 'tsx' AS la
 FROM customer
 """
 
-_TABLES = {"svc_rust": (SVC_RUST, ["supplier"]), "poly": (POLY, ["supplier"]), "ring_ts": (RING_TS, ["nation"]), "guard_mix": (GUARD_MIX, ["part"]), "intents": (INTENTS, ["part"]), "tsx_cards": (TSX_CARDS, ["customer"])}
+#: Imports by relative paths and by ends of paths, doc comments, and a name that every Python file declares.
+LIB_MIX = f"""
+SELECT concat('lib/a', CAST(s_suppkey AS STRING), '.ts') AS path, 'typescript' AS language,
+  concat('import {{ x }} from "./b', CAST(s_suppkey AS STRING), '";', {NL}, 'export {{ y }} from "../c', CAST(s_suppkey AS STRING), '";', {NL}, 'export const v = () => 1;', {NL}) AS content FROM supplier
+UNION ALL
+SELECT concat('use/u', CAST(s_suppkey AS STRING), '.ts'), 'typescript',
+  concat('import {{ v }} from "a', CAST(s_suppkey AS STRING), '.ts";', {NL}, 'import {{ w }} from "far/lib/a', CAST(s_suppkey AS STRING), '.ts";', {NL}) FROM supplier
+UNION ALL
+SELECT concat('docs/d', CAST(s_suppkey AS STRING), '.rs'), 'rust',
+  concat('/// Reads ', CAST(s_suppkey AS STRING), '.', {NL}, '/// Twice.', {NL}, 'pub fn read', CAST(s_suppkey AS STRING), '() {{ 1 }}', {NL}, '//! Inner.', {NL}, 'struct Plain', CAST(s_suppkey AS STRING), ';', {NL}, 'enum Bare', CAST(s_suppkey AS STRING), ' {{ A }}', {NL}) FROM supplier
+UNION ALL
+SELECT concat('py/p', CAST(s_suppkey AS STRING), '.py'), 'python',
+  concat('import os', {NL}, 'from pkg.mod', CAST(s_suppkey AS STRING), ' import name', {NL}, 'class Box', CAST(s_suppkey AS STRING), ':', {NL}, '    def open(self):', {NL}, '        return 1', {NL}) FROM supplier
+"""
+
+_TABLES = {"svc_rust": (SVC_RUST, ["supplier"]), "poly": (POLY, ["supplier"]), "ring_ts": (RING_TS, ["nation"]), "guard_mix": (GUARD_MIX, ["part"]), "intents": (INTENTS, ["part"]), "lib_mix": (LIB_MIX, ["supplier"]), "tsx_cards": (TSX_CARDS, ["customer"])}
 
 
 def corpus(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

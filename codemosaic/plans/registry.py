@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.hashing import fnv1a64_column
+from ..functions.languages import is_frontend, language_of
 from ..operators import cache, contracts, guard, rewrite
 from ..operators.graph import CodeCorpus
 from ..operators.symbols import display_kind, extract_symbols, imports, nodes_of, resolved, rollup_by_kind
@@ -114,36 +115,97 @@ def _symbols(language: str):
 
 
 _K = "CAST(s_suppkey AS STRING)"
-_POLY_ONE = f"(SELECT s_suppkey, path, content FROM (SELECT *, CAST(regexp_extract(path, '_([0-9]+)', 1) AS BIGINT) AS s_suppkey FROM ({POLY}) WHERE language = 'LANG'))"
-
-
-def _declared(language: str, rows: list[tuple[str, str, str, str, str]]) -> str:
-    """rows: (name prefix, kind, display, first text of its line, text behind which the span ends)."""
-    parts = []
-    for prefix, kind, display, begins, ends in rows:
-        start = f"(instr(content, '{begins}') - 1)"
-        stop = f"(instr(substr(content, {start} + 1), {ends}) - 1)" if ends else f"(length(content) - {start})"
-        parts.append((prefix, kind, display, start, stop))
-    return " UNION ALL ".join(
-        f"SELECT concat('{p}', {_K}) AS name, '{k}' AS kind, '{d}' AS display, path AS file, CAST({a} AS BIGINT) AS byte_start, CAST({a} + {z} AS BIGINT) AS byte_end, SIG{i} AS signature FROM {_POLY_ONE.replace('LANG', language)}"
-        for i, (p, k, d, a, z) in enumerate(parts)
-    )
-
-
-_RS = _declared("rust", [("Item", "Struct", "struct", "pub struct Item", "'}') + 1 - 0 * (1"), ("Kind", "Enum", "enum", "pub enum", "'}') + 1 - 0 * (1"), ("load", "Function", "fn", "pub async", "'}') + 1 - 0 * (1")])
-for _i, _sig in enumerate((f"concat('pub struct Item', {_K})", f"concat('pub enum Kind', {_K})", f"concat('pub async fn load', {_K}, '(k: Kind', {_K}, ')')")):
-    _RS = _RS.replace(f"SIG{_i}", _sig)
-_TS = _declared("typescript", [("Row", "Trait", "trait", "export interface", "'}') + 1 - 0 * (1"), ("fetch", "Function", "fn", "export function", "'}') + 1 - 0 * (1"), ("pick", "Function", "fn", "export const", "';') + 1 - 0 * (1")])
-for _i, _sig in enumerate((f"concat('export interface Row', {_K})", f"concat('export function fetch', {_K}, '(r: Row', {_K}, ')')", f"concat('export const pick', {_K}, ' = (x) => x')")):
-    _TS = _TS.replace(f"SIG{_i}", _sig)
-_PY = _declared("python", [("Box", "Struct", "struct", "class Box", "concat(chr(10), 'def open')) + 0 * (1"), ("open", "Function", "fn", "def open", "")])
-for _i, _sig in enumerate((f"concat('class Box', {_K})", f"concat('def open', {_K}, '(b)')")):
-    _PY = _PY.replace(f"SIG{_i}", _sig)
+
+#: Of each declaration of the poly corpus: name, kind, how that is shown, where its text begins, behind which text it ends (null: with
+#: the file), signature.
+_DECLARED = """
+SELECT {name} AS name, {kind} AS kind, {display} AS display, path AS file, CAST(instr(content, {begins}) - 1 AS BIGINT) AS byte_start,
+  CAST(coalesce(instr(content, {begins}) - 1 + instr(substr(content, instr(content, {begins})), {ends}) - 1 + {kept}, length(content)) AS BIGINT) AS byte_end, {signature} AS signature
+FROM (SELECT regexp_extract(path, '_([0-9]+)', 1) AS k, path, content FROM ({corpus}) WHERE language = {language})
+"""
+
+
+def _declared(language: str, *rows: tuple[str, str, str, str, str, int, str]) -> str:
+    names = ("name", "kind", "display", "begins", "ends", "kept", "signature")
+    return " UNION ALL ".join(_DECLARED.format(corpus=POLY, language=f"'{language}'", **dict(zip(names, row, strict=True))) for row in rows)
+
+
+_RS = _declared(
+    "rust",
+    ("concat('Item', k)", "'Struct'", "'struct'", "'pub struct'", "'}'", 1, "concat('pub struct Item', k)"),
+    ("concat('Kind', k)", "'Enum'", "'enum'", "'pub enum'", "'}'", 1, "concat('pub enum Kind', k)"),
+    ("concat('load', k)", "'Function'", "'fn'", "'pub async'", "'}'", 1, "concat('pub async fn load', k, '(k: Kind', k, ')')"),
+)
+_TS = _declared(
+    "typescript",
+    ("concat('Row', k)", "'Trait'", "'trait'", "'export interface'", "'}'", 1, "concat('export interface Row', k)"),
+    ("concat('fetch', k)", "'Function'", "'fn'", "'export function'", "'}'", 1, "concat('export function fetch', k, '(r: Row', k, ')')"),
+    ("concat('pick', k)", "'Function'", "'fn'", "'export const'", "';'", 1, "concat('export const pick', k, ' = (x) => x')"),
+)
+_PY = _declared(
+    "python",
+    ("concat('Box', k)", "'Struct'", "'struct'", "'class Box'", "concat(chr(10), 'def open')", 0, "concat('class Box', k)"),
+    ("concat('open', k)", "'Function'", "'fn'", "'def open'", "NULL", 0, "concat('def open', k, '(b)')"),
+)
 for _name, _language, _text in (("symbols_rust", "rust", _RS), ("symbols_ts", "typescript", _TS), ("symbols_py", "python", _PY)):
     _QUERIES[_name] = _symbols(_language)
     _SQL[_name] = _text
 
 
+@_query(
+    f"""SELECT concat('lib/a', {_K}, '.ts') AS file, CAST(0 AS INT) AS ord, concat('lib/./b', {_K}) AS target FROM supplier UNION ALL SELECT concat('lib/a', {_K}, '.ts'), 1, concat('lib/../c', {_K}) FROM supplier
+    UNION ALL SELECT concat('use/u', {_K}, '.ts'), 0, concat('a', {_K}, '.ts') FROM supplier UNION ALL SELECT concat('use/u', {_K}, '.ts'), 1, concat('far/lib/a', {_K}, '.ts') FROM supplier
+    UNION ALL SELECT concat('py/p', {_K}, '.py'), 0, 'os' FROM supplier UNION ALL SELECT concat('py/p', {_K}, '.py'), 1, concat('pkg.mod', {_K}) FROM supplier"""
+)
+def import_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imports(corpus(spark, sf_dir, "lib_mix"))
+
+
+@_query(f"SELECT concat('use/u', {_K}, '.ts') AS file, CAST(i AS INT) AS ord, concat('lib/a', {_K}, '.ts') AS target_file FROM supplier, (SELECT unnest([0, 1]) AS i)")
+def suffix_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return CodeCorpus(corpus(spark, sf_dir, "lib_mix")).import_links().select("file", "ord", "target_file")
+
+
+@_query(
+    f"""SELECT concat('read', {_K}) AS name, true AS is_exported, concat('/// Reads ', {_K}, '.', chr(10), '/// Twice.') AS doc_comment FROM supplier
+    UNION ALL SELECT concat('Plain', {_K}), false, '//! Inner.' FROM supplier UNION ALL SELECT concat('Bare', {_K}), false, NULL FROM supplier"""
+)
+def doc_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = corpus(spark, sf_dir, "lib_mix").where("language = 'rust'")
+    return resolved(nodes_of(extract_symbols(files)), files).select("name", "is_exported", "doc_comment")
+
+
+@_query(f"SELECT concat('py/p', {_K}, '.py') AS path, concat('class Box', {_K}, ':', chr(10), '    ...', chr(10), 'def open(self):', chr(10), '    ...', chr(10)) AS skeleton FROM supplier")
+def skeleton_py(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = corpus(spark, sf_dir, "lib_mix").where("language = 'python'")
+    return files.select("path", rewrite.skeleton_column(F.col("content"), F.col("language")).alias("skeleton"))
+
+
+@_query(
+    f"""SELECT 'open' AS wanted, concat('py/p', {_K}, '.py') AS from_file, concat('py/p', {_K}, '.py') AS file, 'def open(self)' AS signature FROM supplier
+    UNION ALL SELECT 'open', NULL, (SELECT min(concat('py/p', {_K}, '.py')) FROM supplier), 'def open(self)'
+    UNION ALL SELECT concat('read', {_K}), 'elsewhere.rs', concat('docs/d', {_K}, '.rs'), concat('pub fn read', {_K}, '()') FROM supplier UNION ALL SELECT 'nothing', NULL, NULL, NULL"""
+)
+def resolve_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A name that every file declares, asked for from each file and from nowhere; names of one file; one that nothing has."""
+    files = corpus(spark, sf_dir, "lib_mix")
+    own = files.where("language = 'python'").select(F.lit("open").alias("name"), F.col("path").alias("from_file"))
+    one = files.where("language = 'rust'").select(F.concat(F.lit("read"), F.regexp_extract("path", "([0-9]+)", 1)), F.lit("elsewhere.rs"))
+    rest = spark.sql("SELECT stack(2, 'open', CAST(NULL AS STRING), 'nothing', CAST(NULL AS STRING)) AS (name, from_file)")
+    return CodeCorpus(files).resolve_symbols(own.union(one).union(rest)).select("wanted", "from_file", "file", "signature")
+
+
+@_query(
+    """SELECT n_nationkey, CASE n_nationkey % 7 WHEN 0 THEN 'rust' WHEN 1 THEN 'tsx' WHEN 2 THEN 'javascript' WHEN 3 THEN 'python' WHEN 4 THEN 'vue' ELSE 'unknown' END AS language,
+    n_nationkey % 7 IN (1, 2, 4) AS frontend FROM nation"""
+)
+def languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("n_nationkey") % 7
+    extension = F.when(k == 0, "rs").when(k == 1, " React-TSX ").when(k == 2, "mjs").when(k == 3, "PY").when(k == 4, "vue").when(k == 5, F.col("n_name"))
+    named = _read(spark, sf_dir, "nation").select("n_nationkey", language_of(extension).alias("language"))
+    return named.withColumn("frontend", is_frontend(F.col("language")))
+
+
 @_query(f"SELECT path AS file, CAST(0 AS INT) AS ord, regexp_extract(content, 'use crate::(\\w+)', 1) AS target FROM ({SVC_RUST}) UNION ALL SELECT path, 0, regexp_extract(content, 'from ''([^'']+)''', 1) FROM ({RING_TS})")
 def import_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imports(corpus(spark, sf_dir, "svc_rust").unionByName(corpus(spark, sf_dir, "ring_ts")))
@@ -177,6 +239,14 @@ def symbol_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _svc(spark, sf_dir).references.select("symbol", "file", "line")
 
 
+@_query(
+    f"""SELECT r.symbol, r.file, CAST(r.line AS BIGINT) AS line, CAST(CASE r.line WHEN 1 THEN 0 ELSE list_sum(list_transform(list_slice(string_split(s.content, chr(10)), 1, r.line - 1), lambda x: length(x) + 1)) END AS BIGINT) AS byte_offset,
+    string_split(s.content, chr(10))[r.line] AS context_snippet FROM ({_REFS}) r JOIN ({SVC_RUST}) s ON s.path = r.file"""
+)
+def reference_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _svc(spark, sf_dir).references
+
+
 @_query(f"SELECT symbol, count(*) AS n_references FROM ({_REFS}) GROUP BY 1")
 def reference_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _svc(spark, sf_dir).references.groupBy("symbol").agg(F.count(F.lit(1)).alias("n_references"))
@@ -270,9 +340,14 @@ def slice_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.select("path", rewrite.slice_column(F.col("content"), F.col("symbol"), F.lit(2), F.col("language")).getField("sliced_code").alias("sliced_code"))
 
 
-@_query()
+@_query(
+    """SELECT 'Service_0' AS target_symbol, CAST(2 AS INT) AS depth, 'Service_0; run_service_0' AS included_symbols,
+      concat('// Corpus slice for ''Service_0'' (symbols: 2, depth 2)', chr(10), chr(10), '// File: src/service_0.rs', chr(10), '// [Target]', chr(10), 'pub struct Service_0', chr(10), chr(10),
+        '// [Signature: Function]', chr(10), 'pub fn run_service_0(s: Service_0) -> u64;') AS sliced_code, CAST(85.0 AS DOUBLE) AS token_reduction_percent"""
+)
 def slice_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rewrite.slice_corpus(_svc(spark, sf_dir), "Service_0", 2)
+    found = rewrite.slice_corpus(_svc(spark, sf_dir), "Service_0", 2)
+    return found.withColumn("included_symbols", F.array_join("included_symbols", "; "))
 
 
 # --- contracts ---
@@ -304,6 +379,20 @@ def contract_verification(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contracts.verify_contracts(made.withColumn("generated_code", code)).select("p_partkey", "passed", F.size("missing_symbols").alias("n_missing"))
 
 
+@_query(
+    f"""WITH w AS (SELECT p_partkey, language, intent, list_filter(regexp_split_to_array(intent, '[^a-z0-9_]+'), lambda x: x <> '' AND x <> 'for') AS ws FROM ({INTENTS})),
+    r AS (SELECT *, concat(upper(ws[1][1]), substr(ws[1], 2), upper(ws[2][1]), substr(ws[2], 2)) AS root, concat(ws[1], '_', ws[2]) AS snake, concat(chr(10), chr(10)) AS gap FROM w)
+    SELECT p_partkey, CASE language
+      WHEN 'rust' THEN concat('// ', intent, gap, '#[derive(Clone, Debug)]', chr(10), 'pub struct ', root, 'Request;', gap, '#[derive(Clone, Debug)]', chr(10), 'pub struct ', root, 'Response;', gap,
+        '#[derive(Debug)]', chr(10), 'pub struct ', root, 'Error(pub String);', gap, 'pub async fn ', snake, '(given: ', root, 'Request) -> Result<', root, 'Response, ', root, 'Error> {{', chr(10), '    todo!()', chr(10), '}}', chr(10))
+      WHEN 'tsx' THEN concat('// ', intent, gap, 'export interface ', root, 'Props {{}}', gap, 'export interface ', root, 'State {{}}', gap, 'export declare const ', root, ': (given: ', root, 'Props) => JSX.Element;', chr(10))
+      ELSE concat('# ', intent, gap, 'class ', root, 'Input(dict):', chr(10), '    pass', gap, 'class ', root, 'Output(dict):', chr(10), '    pass', gap, 'class ', root, 'Exception(Exception):', chr(10), '    pass', gap,
+        'async def ', snake, '(given: ', root, 'Input) -> ', root, 'Output:', chr(10), '    raise NotImplementedError', chr(10)) END AS type_scaffolding FROM r"""
+)
+def contract_scaffolding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contracts.synthesize(corpus(spark, sf_dir, "intents")).select("p_partkey", "type_scaffolding")
+
+
 # --- hashes, cache ---
 
 
@@ -328,3 +417,18 @@ def cache_lru(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = _read(spark, sf_dir, "events")
     ops = events.select((F.col("user_id") % 16).cast("string").alias("cache_id"), F.col("event_id").alias("seq"), F.when(F.col("event_id") % 3 == 0, "get").otherwise("insert").alias("op"), F.concat("event_type", F.col("user_id").cast("string")).alias("content"))
     return cache.replay(ops, 32).groupBy("cache_id").agg(F.count_if(F.col("hit")).alias("hits"), F.count("evicted").alias("evictions"), F.max("n_entries").alias("most_entries"))
+
+
+@_query(
+    """WITH ops AS (SELECT CAST(user_id % 16 AS STRING) AS cache_id, event_id AS seq, concat(event_type, CAST(user_id AS STRING)) AS content, event_id % 3 = 0 AS is_get FROM events),
+    last AS (SELECT g.cache_id, g.seq, max(i.seq) AS inserted FROM ops g LEFT JOIN ops i ON i.cache_id = g.cache_id AND i.content = g.content AND i.seq < g.seq AND NOT i.is_get WHERE g.is_get GROUP BY 1, 2)
+    SELECT cache_id, seq, inserted IS NOT NULL AS hit, CASE WHEN inserted IS NOT NULL THEN concat('of ', CAST(inserted AS STRING)) END AS skeleton, CAST(inserted % 100 AS INT) AS n_symbols FROM last"""
+)
+def cache_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What gets have back from caches so large that nothing is evicted: what the last insert of the content put in."""
+    seq = F.col("event_id")
+    ops = _read(spark, sf_dir, "events").select(
+        (F.col("user_id") % 16).cast("string").alias("cache_id"), seq.alias("seq"), F.when(seq % 3 == 0, "get").otherwise("insert").alias("op"), F.concat("event_type", F.col("user_id").cast("string")).alias("content"),
+        F.concat(F.lit("of "), seq.cast("string")).alias("skeleton"), (seq % 100).alias("n_symbols"),
+    )
+    return cache.replay(ops, 1 << 20).where("op = 'get'").select("cache_id", "seq", "hit", "skeleton", "n_symbols")

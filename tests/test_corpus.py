@@ -219,7 +219,7 @@ def test_contracts(spark):
     r = verify_contracts(one.withColumn("generated_code", F.lit(good))).first()
     assert r.passed and r.missing_symbols == []
     r = verify_contracts(one.withColumn("generated_code", F.lit("fn other(a: u8, b: u8) -> u8 { a / b }"))).first()
-    assert not r.passed and len(r.missing_symbols) == 4 and r.safety_violation == "DIV_BY_ZERO" and r.detail.count(" | ") == 2
+    assert not r.passed and len(r.missing_symbols) == 4 and r.safety_violation == "DIV_BY_ZERO" and r.detail.count("; ") == 2
 
 
 # --- cache ---
