@@ -24,15 +24,18 @@ component meet only the others, so a group that the first pass has joined costs
 unlinked nodes (a long passage that many share) costs its square. Classes are the components of both passes' links, so of
 nodes that share a band none that are linked stay apart, whatever SMALL, LEADERS and FINE are.
 
+The documents are read up to four times (features, bags of both passes, the rows that stay), so they should be a table or what costs no
+more than one to make.
+
 Defined cases: null text counts as empty; all empty texts are equal, so one class; a text of fewer than WORDS words is
 one shingle; repeated rows are copies, of which one stands for the class; the class id is the smallest doc_id of the class
-(null only if all are null); an empty table gives an empty table; other columns are kept by the stage and not read otherwise.
+(null only if all are null); an empty table gives an empty table; a very long text is a step of its own; other columns are kept by the stage and not read otherwise.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -53,7 +56,9 @@ LEAST_AGREED = 0.617
 BLOCK_NODES, BLOCK_BYTES = 256, 1 << 20
 
 #: bands: BANDS by counts, then (null where equal) BANDS by weights of 1; registers: M of two bytes by counts, then by weights of 1.
-FEATURES = "doc_id long, node binary, bands array<long>, registers binary, shingles binary, counts binary, size long"
+FEATURES = "doc_id long, node binary, bands array<long>, registers binary, size long"
+#: Shingle hashes ascending, eight bytes each, and their counts, four bytes each (none if all are 1).
+BAGS = "node binary, shingles binary, counts binary"
 
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15))
 _PLACE = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -155,8 +160,6 @@ def features(docs: DataFrame) -> DataFrame:
                 pa.array([hashlib.md5(t.encode(), usedforsecurity=False).digest() for t in texts], pa.binary()),
                 pa.array(bands, pa.list_(pa.int64())),
                 pa.array(packed, pa.binary()),
-                pa.array([x.tobytes() for x in sets], pa.binary()),
-                pa.array([b"" if c.max(initial=1) == 1 else c.astype(np.uint32).tobytes() for c in counts], pa.binary()),
                 pa.array([8 * len(x) for x in sets], pa.int64()),
             ]
             yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in FEATURES.split(", ")])
@@ -164,6 +167,34 @@ def features(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, FEATURES)
 
 
+def _node(text: str) -> Column:
+    return F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))).alias("node")
+
+
+def packed_bag(text: str, shingle: Shingler) -> tuple[bytes, bytes]:
+    """The shingles and counts of BAGS."""
+    ids, counts = shingle(text)
+    return ids.tobytes(), b"" if counts.max(initial=1) == 1 else counts.astype(np.uint32).tobytes()
+
+
+def wanted_bags(docs: DataFrame, copies: DataFrame, wanted: DataFrame) -> DataFrame:
+    """BAGS of each wanted node, one row each, written, made anew from the text of the node's first document: most documents are
+    like no other, so their shingles are never stored. Only wanted rows leave their place, and joins with the outcome are of
+    plain shuffles, whose hot keys adaptive execution splits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingle = kept_in_worker("shingler", Shingler)
+        for b in steps(batches, "text", most=1 << 20):
+            found = [packed_bag(t, shingle) for t in texts_of(b.column("text"))]
+            yield pa.RecordBatch.from_arrays([b.column("node"), *(pa.array(x, pa.binary()) for x in zip(*found, strict=True))], [c.split()[0] for c in BAGS.split(", ")])
+
+    own = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(-(1 << 63))).alias("own")
+    first = copies.join(broadcast_if_few(wanted.select("node").distinct(), "wanted"), "node", "left_semi").select("node", own("low.doc_id"))
+    named = docs.select(_node("text"), own("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    made = named.join(broadcast_if_few(first, "first"), ["node", "own"], "left_semi").select("node", "text").mapInArrow(run, BAGS)
+    return materialize(made.groupBy("node").agg(F.first("shingles").alias("shingles"), F.first("counts").alias("counts")), "bags")
+
+
 def similarity(a: bytes, a_counts: bytes, b: bytes, b_counts: bytes) -> float:
     """The larger of plain and probability Jaccard similarity of two shingle bags."""
     x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
@@ -223,15 +254,8 @@ def candidates(buckets: DataFrame) -> DataFrame:
     return first.union(second).distinct()
 
 
-def _one_each(nodes: DataFrame, wanted: DataFrame, *columns: str) -> DataFrame:
-    """These columns of FEATURES rows, one row for each wanted node, written: joins with it are of plain shuffles, whose
-    hot keys adaptive execution splits. Only wanted rows leave their place."""
-    held = nodes.join(broadcast_if_few(wanted.select("node").distinct(), "wanted"), "node", "left_semi")
-    return materialize(held.groupBy("node").agg(*[F.first(c).alias(c) for c in columns]), "one_each")
-
-
-def links(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of nodes of FEATURES rows that hold when verified."""
+def links(nodes: DataFrame, pairs: DataFrame, bags_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The pairs (a, b) of nodes of FEATURES rows that hold when verified on their bags."""
     pairs = materialize(pairs, "pairs")
     ends = lambda df: df.select(F.col("a").alias("node")).union(df.select(F.col("b").alias("node")))
     side = lambda df, x: df.select(F.col("node").alias(x), *[F.col(c).alias(c[0] + x) for c in df.columns if c != "node"])
@@ -255,10 +279,11 @@ def links(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
             keep = pa.array([similarity(*x) >= SIMILARITY for x in rows], pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(keep)
 
-    one = _one_each(nodes, ends(pairs), "registers")
+    held = nodes.join(broadcast_if_few(ends(pairs).distinct(), "paired"), "node", "left_semi")
+    one = materialize(held.groupBy("node").agg(F.first("registers").alias("registers")), "registers")
     likely = materialize(pairs.join(side(one, "a"), "a").join(side(one, "b"), "b").select("a", "b", "ra", "rb").mapInArrow(rough, "a binary, b binary"), "likely")
-    bags = _one_each(nodes, ends(likely), "shingles", "counts")
-    return likely.join(side(bags, "a"), "a").join(side(bags, "b"), "b").select("a", "b", "sa", "ca", "sb", "cb").mapInArrow(exact, "a binary, b binary")
+    own = bags_of(ends(likely))
+    return likely.join(side(own, "a"), "a").join(side(own, "b"), "b").select("a", "b", "sa", "ca", "sb", "cb").mapInArrow(exact, "a binary, b binary")
 
 
 def _shared(x: list[np.ndarray], y: list[np.ndarray], weights: list[np.ndarray] | None = None) -> np.ndarray:
@@ -330,7 +355,7 @@ def _compare(t: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array([a for a, _ in out], pa.binary()), "b": pa.array([b for _, b in out], pa.binary())})
 
 
-def crossing(nodes: DataFrame, buckets: DataFrame, labels: DataFrame) -> DataFrame:
+def crossing(buckets: DataFrame, labels: DataFrame, bags_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """The second pass: links (a, b) of labels, from all pairs of nodes of one larger bucket that have different labels."""
     named = buckets.where(F.col("n") > SMALL).select("key", "node", "size").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     named = materialize(named, "named")
@@ -345,16 +370,15 @@ def crossing(nodes: DataFrame, buckets: DataFrame, labels: DataFrame) -> DataFra
     back = "transform(sequence(0, n_odd - 1), k -> struct(true AS cross, k AS i, own AS j, false AS left))"
     dealt = mixed.select("key", "node", "label", F.expr(f"inline(if(odd, concat({among}, {across}), {back}))"))
     dealt = materialize(dealt, "dealt")
-    bags = _one_each(nodes, dealt, "shingles", "counts")
-    return dealt.join(bags, "node").drop("node").groupBy("key", "cross", "i", "j").applyInArrow(_compare, "a binary, b binary")
+    return dealt.join(bags_of(dealt), "node").drop("node").groupBy("key", "cross", "i", "j").applyInArrow(_compare, "a binary, b binary")
 
 
-def components_of(found: DataFrame) -> DataFrame:
+def components_of(found: DataFrame, bags_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(node, label) of the nodes of FEATURES rows that are linked to others."""
     nodes = found.where(F.size("bands") > 0)
     buckets = buckets_of(nodes.groupBy("node").agg(F.first("bands").alias("bands"), F.first("size").alias("size")))
-    labels = components(links(nodes, candidates(buckets)))
-    more = materialize(crossing(nodes, buckets, labels), "crossing")
+    labels = components(links(nodes, candidates(buckets), bags_of))
+    more = materialize(crossing(buckets, labels, bags_of), "crossing")
     if more.isEmpty():
         return labels
     tops = components(more)
@@ -370,7 +394,7 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = found.select("doc_id", "node", "row")
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
     copies = materialize(rows.groupBy("node").agg(F.min(first).alias("low"), F.count(F.lit(1)).alias("n_copies")), "copies")
-    labelled = materialize(copies.join(components_of(found), "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")
+    labelled = materialize(copies.join(components_of(found, lambda wanted: wanted_bags(docs, copies, wanted)), "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")
     of = materialize(labelled.groupBy("label").agg(F.min(F.struct("low.none", "low.doc_id", "node", "low.row")).alias("first"), F.sum("n_copies").alias("class_size")), "of_class")
     kept = F.when(F.col("node") == F.col("first.node"), F.col("first.row")).alias("kept_row")
     return rows, labelled.join(of, "label").select("node", F.col("first.doc_id").alias("class_id"), "class_size", F.col("low.doc_id").alias("low"), kept)
@@ -387,8 +411,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """The documents, with all their columns, that stand for their class: one row of each. Of rows equal in doc_id and text
     but not in other columns the one with the smallest hash of all its columns stays."""
     least = F.lit(-(1 << 63))  # for null
-    node = F.unhex(F.md5(F.coalesce(F.col("row.text"), F.lit("")).cast("binary")))
-    whole = docs.select(F.struct("*").alias("row")).select("row", node.alias("node"), F.coalesce(F.col("row.doc_id").cast("long"), least).alias("own"))
+    whole = docs.select(F.struct("*").alias("row")).select("row", _node("row.text"), F.coalesce(F.col("row.doc_id").cast("long"), least).alias("own"))
     # Repeated rows are reduced where they are, before texts are dealt out.
     value = lambda f: F.to_json(F.struct(F.col("row")[f.name])) if "map<" in f.dataType.simpleString() else F.col("row")[f.name]
     whole = whole.groupBy("node", "own").agg(F.min_by("row", F.xxhash64(*[x for f in docs.schema.fields for x in (value(f), value(f).isNull())])).alias("row"))
