@@ -21,7 +21,7 @@ from .symbols import extract_symbols, first_in_order, imports, is_exported, node
 
 #: A name that stands within a signature stands within one run of name characters, and from some place of the run on. Both sides
 #: of the edge join are keyed by so many first characters of what may be the name.
-KEY = 8
+KEY = 16
 
 _RUN = re.compile(r"[A-Za-z0-9_$]+")
 _TOKEN = re.compile(r"\w+")
@@ -36,16 +36,22 @@ def names(nodes: DataFrame) -> DataFrame:
 def edges(nodes: DataFrame) -> DataFrame:
     """from_id, to_id, edge_type: a symbol uses every other whose name stands anywhere in its signature.
 
-    An equi-join where a nested loop would be the obvious plan: each place of a signature where a name could begin gives the
-    keys of 1 to KEY characters from there; a name's key is its first KEY characters (all of a shorter one). Rows grow with
-    the signatures' length, and the rest of the name is compared after the join.
+    An equi-join where a nested loop would be the obvious plan: each place of a signature where a name could begin gives a key
+    from there for each length that keys of names have, KEY at most; a name's key is its first KEY characters (all of a
+    shorter one). So most names are found by themselves, not by a beginning that many share. Rows grow with the signatures'
+    length, and the rest of a longer name is compared after the join.
     """
+    right = names(nodes).withColumn("key", F.substring("name", 1, KEY))
+    sizes = sorted(r[0] for r in right.select(F.length("key")).distinct().collect())  # KEY at most
+    if not sizes:
+        return nodes.sparkSession.createDataFrame([], "from_id string, to_id string, edge_type string")
     runs = F.array_distinct(F.regexp_extract_all("signature", F.lit(_RUN.pattern), F.lit(0)))
     places = F.flatten(F.transform(runs, lambda r: F.transform(F.sequence(F.lit(1), F.length(r)), lambda i: F.struct(r.alias("run"), i.alias("at")))))
-    keys = F.flatten(F.transform(places, lambda p: F.transform(F.sequence(F.lit(1), F.least(F.lit(KEY), F.length(p["run"]) - p["at"] + 1)), lambda n: p["run"].substr(p["at"], n))))
-    left = nodes.select(F.col("symbol_id").alias("from_id"), "signature", F.explode(F.array_distinct(keys)).alias("key"))
-    right = names(nodes).withColumn("key", F.substring("name", 1, KEY))
-    found = left.join(right, "key").where(F.contains("signature", "name") & (F.col("from_id") != F.col("to_id")))
+    keys = F.flatten(F.transform(places, lambda p: F.transform(F.filter(F.array(*map(F.lit, sizes)), lambda n: n <= F.length(p["run"]) - p["at"] + 1), lambda n: p["run"].substr(p["at"], n))))
+    left = nodes.select(F.col("symbol_id").alias("from_id"), F.explode(F.array_distinct(keys)).alias("key"))
+    found = left.join(right, "key").where("from_id <> to_id").select("from_id", "to_id", "name")
+    # Keys are dealt out without their signature; what has met meets it again.
+    found = found.join(nodes.select(F.col("symbol_id").alias("from_id"), "signature"), "from_id").where(F.contains("signature", "name"))
     return found.select("from_id", "to_id", F.lit("Uses").alias("edge_type")).distinct()
 
 
