@@ -6,7 +6,7 @@ bitwise operations on the stored bits and never touch the text again.
 
 Words are runs of ``[^\\x20\\x09-\\x0D]``; lines are split at line feeds.
 
-Defined cases: null text has no words and no lines, so it fails ``few_words``; repeated rows each give a row; an empty
+Defined cases: null text has no words and no lines, so it fails ``few_words``; a very long text is measured whole; repeated rows each give a row; an empty
 table gives an empty ledger; other columns are not read.
 """
 
