@@ -95,6 +95,7 @@ def references(files: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def risk(n_references: Column, n_files: Column) -> Column:
+    # Limits of each grade (fixed values).
     return (
         F.when((n_references > 15) | (n_files > 5), "CRITICAL").when((n_references >= 6) | (n_files >= 3), "HIGH")
         .when((n_references >= 2) | (n_files >= 1), "MEDIUM").otherwise("LOW")

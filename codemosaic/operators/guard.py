@@ -61,6 +61,7 @@ def before_tests(code: Column) -> Column:
 
 def async_mutex(code: Column) -> Column:
     """A standard mutex and an await on lines of the same file."""
+    # Lines that begin so do not count (fixed values).
     skip = ("//", "*", '"', "static", "Regex::new")
 
     def live(line: Column) -> Column:

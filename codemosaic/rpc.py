@@ -95,6 +95,7 @@ class Tools:
         if isinstance(given, dict) and {"intent", "language", "primary_symbol", "required_symbols"} <= given.keys():
             contract = given | {"language": language_named(str(given["language"]))}
         elif isinstance(given, dict):
+            # What is meant where nothing says so (fixed value).
             contract = self.engine.synthesize_contract(str(given.get("intent", "general implementation")), None, language)
         elif "intent" in a:
             contract = self.engine.synthesize_contract(a["intent"], None, language)
