@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_chunks, chat_format, decontam_seeds, html_crf, lang_crf, line_winnow, probminhash, quality_nbsvm, rule_ledger, token_rollups
+from . import bpe_chunks, chat_format, decontam_seeds, html_crf, lang_crf, line_winnow, periodic_runs, probminhash, quality_nbsvm, rule_ledger, token_rollups
 from .common import materialize, scratch_path, table
 
 
@@ -91,8 +91,35 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.read_back(chat_format.format_conversations(turns.unionByName(forged)))
 
 
+#: What counts as a word where a contract says so.
+WORD = r"([^\x20\x09-\x0D]+)"
+
+
+def damaged_by_periods(docs: DataFrame) -> DataFrame:
+    """doc_id and text; of the documents whose id's crc32 is a multiple of ten the words from one on repeat with a period."""
+    hashed = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    words = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), hashed.alias("h"), F.expr("h div 10").alias("g"))
+    words = words.withColumn("w", F.when(F.col("h") % 10 == 0, F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(WORD)))).withColumn("n", F.size("w"))
+    words = words.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n"))).withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)"))
+    repeated = F.expr("array_join(transform(sequence(0, n - 1), i -> w[int(if(i < a, i, a + (i - a) % p))]), ' ')")
+    return words.select("doc_id", F.when(F.col("a").isNotNull(), repeated).otherwise(F.col("text")).alias("text"))
+
+
+def run_digests(found: DataFrame) -> DataFrame:
+    """Per document: how many runs, the one with the most periods, and digests of all runs and of the words that stay."""
+    best = F.expr("reduce(runs, cast(null AS struct<start:bigint,length:bigint,period:bigint>), (b, r) -> if(b IS NULL OR r.length * b.period > b.length * r.period, r, b))")
+    listed = F.expr("array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n')), '')")
+    digests = F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256")
+    rows = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), *digests)
+    return rows.select("doc_id", "n_runs", "best.start", "best.length", "best.period", F.expr("1000 * best.length div best.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_digests(periodic_runs.find_runs(damaged_by_periods(table(spark, sf_dir, "documents"))))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_nbsvm_quality, op2_bpe_codec, op3_rule_ledger, op4_token_rollups, op5_line_dedup, op6_lang_crf, op7_html_crf, op8_chat_format, op9_decontamination, op10_probminhash, rollups_by_words)}
+    return {f.__name__: f for f in (op1_nbsvm_quality, op2_bpe_codec, op3_rule_ledger, op4_token_rollups, op5_line_dedup, op6_lang_crf, op7_html_crf, op8_chat_format, op9_decontamination, op10_probminhash, op11_periodic_runs, rollups_by_words)}
 
 
 RULE_LEDGER_SQL = r"""
