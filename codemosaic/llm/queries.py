@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_chunks, chat_format, decontam_seeds, html_crf, lang_crf, line_winnow, periodic_runs, probminhash, quality_nbsvm, rule_ledger, token_rollups
+from . import bpe_chunks, chat_format, decontam_seeds, html_crf, lang_crf, line_winnow, periodic_runs, probminhash, quality_nbsvm, rule_ledger, suffix_family, token_rollups
 from .common import materialize, scratch_path, table
 
 
@@ -118,8 +118,18 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_digests(periodic_runs.find_runs(damaged_by_periods(table(spark, sf_dir, "documents"))))
 
 
+def removal_digests(kept: DataFrame) -> DataFrame:
+    """Per document: its bytes, how many go in how many spans, and a digest of those that stay."""
+    gone = (F.col("n_bytes") - F.length("kept")).alias("n_removed")
+    return kept.select("doc_id", "n_bytes", gone, F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op12_suffix_family(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return removal_digests(suffix_family.remove_repeats(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_nbsvm_quality, op2_bpe_codec, op3_rule_ledger, op4_token_rollups, op5_line_dedup, op6_lang_crf, op7_html_crf, op8_chat_format, op9_decontamination, op10_probminhash, op11_periodic_runs, rollups_by_words)}
+    return {f.__name__: f for f in (op1_nbsvm_quality, op2_bpe_codec, op3_rule_ledger, op4_token_rollups, op5_line_dedup, op6_lang_crf, op7_html_crf, op8_chat_format, op9_decontamination, op10_probminhash, op11_periodic_runs, op12_suffix_family, rollups_by_words)}
 
 
 RULE_LEDGER_SQL = r"""
