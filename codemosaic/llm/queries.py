@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_chunks, chat_format, decontam_seeds, html_crf, lang_crf, line_winnow, periodic_runs, probminhash, quality_nbsvm, rule_ledger, suffix_family, token_rollups
+from . import bpe_chunks, chat_format, decontam_seeds, html_crf, lang_crf, line_winnow, periodic_runs, probminhash, quality_nbsvm, rule_ledger, suffix_family, token_rollups, turn_repair
 from .common import materialize, scratch_path, table
 
 
@@ -128,8 +128,33 @@ def op12_suffix_family(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removal_digests(suffix_family.remove_repeats(table(spark, sf_dir, "documents")))
 
 
+def damaged_turns(conversations: DataFrame) -> DataFrame:
+    """conv_id, turn, role, text and n: how often the turn stands after damage (0: dropped, 2: repeated)."""
+    key = F.concat(F.coalesce(F.col("conv_id").cast("string"), F.lit(" ")), F.lit(":"), F.coalesce(F.col("turn").cast("string"), F.lit(" ")))
+    rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), *[F.coalesce(F.col(c).cast("string"), F.lit(" ")).alias(c) for c in ("role", "text")], (F.crc32(key.cast("binary")) % 20).alias("k"))
+    role = F.when(F.col("k") == 4, "user").otherwise(F.col("role"))
+    text = F.when(F.col("k") == 1, "").when(F.col("k") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    return rows.select("conv_id", "turn", role.alias("role"), text.alias("text"), F.when(F.col("k") == 0, 0).when(F.col("k") == 3, 2).otherwise(1).alias("n"))
+
+
+def repair_report(damaged: DataFrame) -> DataFrame:
+    """One row for each conversation, those without turns after damage too."""
+    turn = F.when(F.col("n") > 0, F.col("turn"))
+    gaps = F.coalesce(F.max(turn) - F.min(turn) + 1 - F.count_distinct(turn), F.lit(0)).alias("gaps")
+    every = damaged.groupBy("conv_id").agg(gaps)
+    turns = damaged.where("n > 0").select("conv_id", "turn", "role", "text", F.explode(F.sequence(F.lit(1), F.col("n")))).drop("col")
+    found = turn_repair.digests(turn_repair.repair(turns)).withColumnRenamed("conv_id", "c")
+    counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("blank", "duplicate", "truncated", "illegal", "cost")]
+    texts = [F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256")]
+    return every.join(found, F.col("conv_id").eqNullSafe(F.col("c")), "left").select("conv_id", "gaps", *counts, *texts)
+
+
+def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_report(damaged_turns(table(spark, sf_dir, "conversations")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_nbsvm_quality, op2_bpe_codec, op3_rule_ledger, op4_token_rollups, op5_line_dedup, op6_lang_crf, op7_html_crf, op8_chat_format, op9_decontamination, op10_probminhash, op11_periodic_runs, op12_suffix_family, rollups_by_words)}
+    return {f.__name__: f for f in (op1_nbsvm_quality, op2_bpe_codec, op3_rule_ledger, op4_token_rollups, op5_line_dedup, op6_lang_crf, op7_html_crf, op8_chat_format, op9_decontamination, op10_probminhash, op11_periodic_runs, op12_suffix_family, op13_turn_repair, rollups_by_words)}
 
 
 RULE_LEDGER_SQL = r"""
@@ -176,5 +201,55 @@ WHERE n_docs <> 0 OR n_tokens <> 0
 """
 
 
+def _way(state: str, cost: str, edit: str, turn: str = "''") -> str:
+    """A way from a state's best (c cost, a audit, t turns), null where there is none."""
+    return f"CASE WHEN {state} IS NOT NULL THEN {{'c': {state}.c + {cost}, 'a': {state}.a || '{edit}', 't': {state}.t || {turn}}} END"
+
+
+def _best(*ways: str) -> str:
+    return f"list_min([{', '.join(ways)}])"
+
+
+def _repair_sql() -> str:
+    """The pattern's four states as columns s0 .. s3, folded over the turns of a conversation."""
+    line = chr(10)
+    w2 = _best("s2", *[_way(s, "5", "I", f"'{line}user:'") for s in ("s0", "s1", "s3")])
+    inserted = f"SELECT *, {_best('s3', _way('w2', '5', 'I', f"'{line}assistant:'"))} AS w3 FROM (SELECT *, {w2} AS w2 FROM %s)"
+    kept, user, assistant = (f"'{line}' || {role} || ':' || text" for role in ("role", "'user'", "'assistant'"))
+    free, more = "NOT goes", "5 * truncated::INT"
+    when = lambda test, way: f"CASE WHEN {free} AND {test} THEN {way} END"
+    states = {
+        "s0": [_way("s0", "2", "D")],
+        "s1": [_way("s1", "2", "D"), when("initial = 's'", _way("s0", more, "K", kept))],
+        "s2": [_way("w2", "2", "D"), *[when("initial = 'u'", _way(s, more, "K", kept)) for s in ("s0", "s1", "w3")], *[when("true", _way(s, f"1 + {more}", "R", user)) for s in ("s0", "s1", "w3")]],
+        "s3": [_way("w3", "2", "D"), when("initial = 'a'", _way("w2", more, "K", kept)), when("true", _way("w2", f"1 + {more}", "R", assistant))],
+    }
+    after = ", ".join(f"{_best(*ways)} AS {s}" for s, ways in states.items())
+    nothing = "NULL::STRUCT(c BIGINT, a VARCHAR, t VARCHAR)"
+    crc = "xor(list_reduce([4294967295] || list_transform(string_split(key, ''), lambda x: ascii(x)::BIGINT), lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"
+    blank = "NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]')"
+    return f"""
+WITH RECURSIVE keyed AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations),
+hit AS (SELECT *, {crc} % 20 AS k FROM keyed),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role, CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN k = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM hit WHERE k <> 0),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i, left(role, 1) AS initial FROM damaged),
+marked AS (SELECT *, {blank} AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS seen, NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*$') AS open_end, lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial AS pair FROM numbered),
+turns AS (SELECT *, blank OR seen AS goes, NOT blank AND NOT seen AND open_end AS truncated FROM marked),
+folded AS (
+  SELECT conv_id, 0::BIGINT AS i, {{'c': 0::BIGINT, 'a': '', 't': ''}} AS s0, {nothing} AS s1, {nothing} AS s2, {nothing} AS s3 FROM (SELECT DISTINCT conv_id FROM turns)
+  UNION ALL
+  SELECT conv_id, i, {after} FROM ({inserted % "(SELECT f.conv_id, t.i, s0, s1, s2, s3, role, text, initial, goes, truncated FROM folded f JOIN turns t ON t.conv_id IS NOT DISTINCT FROM f.conv_id AND t.i = f.i + 1)"})),
+ended AS (SELECT conv_id, {_best("s0", "w3")} AS best FROM ({inserted % "(SELECT conv_id, s0, s1, s2, s3 FROM folded QUALIFY i = max(i) OVER (PARTITION BY conv_id))"})),
+counted AS (
+  SELECT conv_id, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps, count_if(blank) AS blank, count_if(NOT blank AND seen) AS duplicate, count_if(truncated) AS truncated,
+    count_if(pair NOT IN ('su', 'ua', 'au')) AS illegal FROM turns GROUP BY conv_id)
+SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal,
+  coalesce(best.c, 0)::BIGINT AS cost, coalesce(best.a, '') AS audit, sha256(coalesce(substr(best.t, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN ended e ON e.conv_id IS NOT DISTINCT FROM o.conv_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"rollups_by_words": ROLLUPS_SQL, "op3_rule_ledger": RULE_LEDGER_SQL, "op5_line_dedup": LINE_DEDUP_SQL}
+    return {"op13_turn_repair": _repair_sql(), "rollups_by_words": ROLLUPS_SQL, "op3_rule_ledger": RULE_LEDGER_SQL, "op5_line_dedup": LINE_DEDUP_SQL}
