@@ -76,3 +76,23 @@ def test_tables_round_trip(spark):
     docs = spark.createDataFrame([(1, "some text, é"), (2, ""), (3, None)], "doc_id long, text string")
     back = bpe_chunks.decode_documents(bpe_chunks.encode_documents(docs, PATH), PATH)
     assert {r.doc_id: r.text for r in back.collect()} == {1: "some text, é", 2: "", 3: ""}
+
+
+@pytest.mark.parametrize("one", [" ", "\n", "　", "a", "."])
+def test_runs_of_one_character(tokenizer, one):
+    """Runs of a million and five million characters, by themselves and within a text."""
+    codec = bpe_chunks.ChunkCodec(PATH)
+    for text in (one * (5_000_000 if one in " a" else 1_000_000), f"a{one * 1_000_000}b", f"é {one * 1_200_000}<|endoftext|>{one * 200_000} end{one * 3}"):
+        ids = codec.encode([text])[0]
+        assert np.array_equal(ids, np.array(tokenizer.encode(text, add_special_tokens=False).ids))
+        assert codec.decode_bytes(ids) == text.encode()
+
+
+def test_taking_runs_out_changes_nothing(tokenizer, monkeypatch):
+    monkeypatch.setattr(bpe_chunks, "LONG_RUN", 3)
+    r = random.Random(11)
+    alphabet = ["a", "the ", " ", "   ", "\n\n", "\t", "\x1c", "\x85", "\xa0", " ", "é", "'s", "12", "<|endoftext|>", "!!", " \n ", "　"]
+    codec = bpe_chunks.ChunkCodec(PATH)
+    for _ in range(400):
+        text = "".join(r.choice(alphabet) for _ in range(r.randint(0, 60)))
+        assert codec.encode([text])[0].tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
