@@ -145,7 +145,7 @@ class CodeCorpus:
 
     @property
     def symbols(self) -> DataFrame:
-        return self._kept("symbols", lambda: extract_symbols(self.files))
+        return self._kept("symbols", lambda: extract_symbols(self.files, with_docs=True))
 
     @property
     def nodes(self) -> DataFrame:
@@ -175,7 +175,7 @@ class CodeCorpus:
         """The symbol of a name, from_file's own before others; no row if there is none."""
         own = F.col("file") == F.lit((from_file or "").replace("\\", "/"))
         node = self.nodes.where(F.col("name") == symbol).orderBy(F.when(own, 0).otherwise(1), F.when(own, "").otherwise(F.col("file")), "pattern_ord", "byte_start", "symbol_id").limit(1)
-        return resolved(node, self.files)
+        return resolved(node)
 
     def resolve_symbols(self, wanted: DataFrame) -> DataFrame:
         """For each of wanted(name, from_file), from_file null or not: the nodes' columns of the symbol that is meant, null if there is

@@ -22,9 +22,11 @@ CODES = (
 )
 
 # Patterns (fixed values).
-DIVISION = r"[a-zA-Z_][a-zA-Z0-9_]*\s*/\s*[a-zA-Z_][a-zA-Z0-9_]*"
+# A name begins behind digits at most, so a long run of name characters is entered once.
+_NAME = r"(?<![a-zA-Z0-9_])([0-9]*+)([a-zA-Z_][a-zA-Z0-9_]*+"
+DIVISION = _NAME + r"\s*+/\s*+[a-zA-Z_][a-zA-Z0-9_]*+)"
 LITERAL_DIVISOR = r"/\s*[0-9]+(?:\.[0-9]+)?"
-ARRAY_INDEX = r"[a-zA-Z_][a-zA-Z0-9_]*\s*\[\s*[a-zA-Z_][a-zA-Z0-9_]*\s*\]"
+ARRAY_INDEX = _NAME + r"\s*+\[\s*+[a-zA-Z_][a-zA-Z0-9_]*+\s*+\])"
 BOUND_CHECK = r"\.len\(\)|\.get\s*\(|\.is_empty\(\)|assert!\s*\("
 SYNC_MUTEX = r"std\s*::\s*sync\s*::\s*Mutex|sync::Mutex"
 AWAIT = r"\.await"
@@ -75,13 +77,20 @@ def async_mutex(code: Column) -> Column:
     return F.when(code.contains(".await") & code.contains("Mutex") & both, "Blocking sync mutex in a file that awaits; an async mutex is meant")
 
 
+def _place(code: Column, pattern: str) -> tuple[Column, Column]:
+    """The byte and the text of the first match of a pattern that begins with a name."""
+    return match_start(code, UNICODE + pattern) + F.octet_length(F.regexp_extract(code, UNICODE + pattern, 1)), F.regexp_extract(code, UNICODE + pattern, 2)
+
+
 def division(code: Column) -> Column:
-    at = F.concat(F.lit("Division at byte "), match_start(code, UNICODE + DIVISION), F.lit(": `"), F.regexp_extract(code, UNICODE + DIVISION, 0), F.lit("`; the divisor may be zero"))
+    byte, text = _place(code, DIVISION)
+    at = F.concat(F.lit("Division at byte "), byte, F.lit(": `"), text, F.lit("`; the divisor may be zero"))
     return F.when(_has(code, DIVISION) & ~_has(code, LITERAL_DIVISOR) & ~_any(code, ("!= 0", "assert!")), at)
 
 
 def array_bounds(code: Column) -> Column:
-    at = F.concat(F.lit("Index at byte "), match_start(code, UNICODE + ARRAY_INDEX), F.lit(": `"), F.regexp_extract(code, UNICODE + ARRAY_INDEX, 0), F.lit("`; no bound is checked"))
+    byte, text = _place(code, ARRAY_INDEX)
+    at = F.concat(F.lit("Index at byte "), byte, F.lit(": `"), text, F.lit("`; no bound is checked"))
     return F.when(_has(code, ARRAY_INDEX) & ~_has(code, BOUND_CHECK), at)
 
 

@@ -86,6 +86,7 @@ def tag_mismatch(code: str) -> str | None:
 # --- unwraps ---
 
 TEST_MARK = "#[cfg(test)]"
+_RAW_MARK = re.compile(r'(?=(r\#")|("\#))')  # they may overlap
 _UNWRAP = re.compile(r"\.(?:unwrap|expect)\s*\(")
 
 
@@ -93,16 +94,20 @@ def first_unguarded_unwrap(code: str) -> int | None:
     """The byte of the first unwrap or expect call that no guard on its line covers. Calls behind a test mark or inside a raw
     string do not count."""
     end = min((i for mark in (TEST_MARK, "#[test]") if (i := code.find(mark)) >= 0), default=len(code))
-    for m in _UNWRAP.finditer(code):
+    raw = 0  # raw strings that begin, less those that end, before a place
+    marks = _RAW_MARK.finditer(code)
+    mark = next(marks, None)
+    for m in _UNWRAP.finditer(code, 0):
         if m.start() < end:
+            while mark and mark.start() + len(mark[1] or mark[2]) <= m.start():
+                raw += 1 if mark[1] else -1
+                mark = next(marks, None)
             before = code[code.rfind("\n", 0, m.start()) + 1 : m.start()]
             head = before.lstrip()
             if head.startswith(("//", "*", '"')) or any(x in before for x in ("LazyLock", "Regex::new", "is_some()", "is_ok()", "if let")):
                 continue
-            prefix = code[: m.start()]
-            if prefix.count('r#"') > prefix.count('"#'):
-                continue
-            return len(prefix.encode())
+            if raw <= 0:
+                return len(code[: m.start()].encode())
     return None
 
 

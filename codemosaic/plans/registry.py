@@ -172,7 +172,7 @@ def suffix_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def doc_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = corpus(spark, sf_dir, "lib_mix").where("language = 'rust'")
-    return resolved(nodes_of(extract_symbols(files)), files).select("name", "is_exported", "doc_comment")
+    return resolved(nodes_of(extract_symbols(files, with_docs=True))).select("name", "is_exported", "doc_comment")
 
 
 @_query(f"SELECT concat('py/p', {_K}, '.py') AS path, concat('class Box', {_K}, ':', chr(10), '    ...', chr(10), 'def open(self):', chr(10), '    ...', chr(10)) AS skeleton FROM supplier")
@@ -298,7 +298,7 @@ def architectural_health(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(f"SELECT name, file, kind, signature, true AS is_exported, CAST(NULL AS STRING) AS doc_comment FROM ({_NODES})")
 def resolved_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _svc(spark, sf_dir)
-    return resolved(c.nodes, c.files).select("name", "file", "kind", "signature", "is_exported", "doc_comment")
+    return resolved(c.nodes).select("name", "file", "kind", "signature", "is_exported", "doc_comment")
 
 
 # --- rewrites ---

@@ -51,7 +51,7 @@ def test_rust_symbols(spark):
     }
     assert all(code.encode()[r.byte_start : r.byte_end].decode() == r.text for r in rows.values())
     assert rows["run"].text.endswith("{ 1 }\n}") and rows["A"].symbol_id == fnv1a64(b"m.rs:A:Struct")
-    docs = {r.name: (r.doc_comment, r.is_exported) for r in resolved(nodes_of(extract_symbols(files(spark, [("m.rs", "rust", code)]))), files(spark, [("m.rs", "rust", code)])).collect()}
+    docs = {r.name: (r.doc_comment, r.is_exported) for r in resolved(nodes_of(extract_symbols(files(spark, [("m.rs", "rust", code)]), with_docs=True))).collect()}
     assert docs["A"] == ("/// Says so.\n/// Twice.", True) and docs["B"] == (None, False) and docs["run"] == (None, True)
 
 
