@@ -17,8 +17,12 @@ from pyspark.sql import functions as F
 from ..functions.batches import bounded
 from ..functions.strings import lines as text_lines
 from ..plans.session import cut_lineage
+from .components import links_within, ring_orders, strong_components
 from .symbols import extract_symbols, first_in_order, imports, is_exported, nodes_of, resolved
 
+#: Links beyond those of a ring that a component may have and still give all its elementary cycles (2 to this power at most, and one).
+CHOICES = 12
+
 #: A name that stands within a signature stands within one run of name characters, and from some place of the run on. Both sides
 #: of the edge join are keyed by so many first characters of what may be the name.
 KEY = 16
@@ -234,34 +238,74 @@ class CodeCorpus:
         loose = rest.join(ends, "target").select("file", "ord", "target", "target_file").union(began.join(keys, "target_file").select("file", "ord", "target", "target_file"))
         return exact.union(loose.groupBy("file", "ord", "target").agg(F.min("target_file").alias("target_file")))
 
-    def import_cycles(self, most: int | None = None) -> DataFrame:
-        """cycle: array of files, the first again at the end, each elementary cycle once, from its smallest file on. most: the
-        longest cycle looked for (all, if not given).
+    def import_components(self) -> DataFrame:
+        """node, component: the files that lie on a cycle of imports, and the smallest file of those they share cycles with."""
+        return self._kept("components", lambda: strong_components(self._links()))
+
+    def _links(self) -> DataFrame:
+        return self._kept("links", lambda: self.import_links().select(F.col("file").alias("a"), F.col("target_file").alias("b")).distinct())
+
+    def cyclic_components(self) -> DataFrame:
+        """component, n_files, n_links, kind: ring (each file imports one other), self, or mesh (several cycles share files)."""
+        inside = links_within(self._links(), self.import_components())
+        sizes = inside.groupBy("component").agg(F.count(F.lit(1)).alias("n_links"), F.count_distinct("a").alias("n_files"))
+        kind = F.when(F.col("n_links") > F.col("n_files"), "mesh").when(F.col("n_files") == 1, "self").otherwise("ring")
+        return sizes.select("component", "n_files", "n_links", kind.alias("kind"))
+
+    def import_cycles(self, most: int | None = None, choices: int = CHOICES) -> DataFrame:
+        """cycle: array of files, the first again at the end, from its smallest file on.
 
-        First all files that no cycle can hold go (those nothing imports, or that import nothing, again and again); then
-        paths grow from each start over files larger than it, until they close.
+        Rings come whole, by pointer doubling. In a mesh each elementary cycle comes once, grown from each start over larger
+        files of its component; their number can double with each link beyond a ring, so a mesh of more than ``choices``
+        such links gives instead, for each of its links, the shortest cycle through it (of equally short ones the least), once.
+        most: the most links of a cycle that is looked for (with it, every mesh gives all its elementary cycles up to there).
         """
-        links = cut_lineage(self.import_links().select(F.col("file").alias("a"), F.col("target_file").alias("b")).distinct())
-        while True:
-            before = links.count()
-            links = links.join(links.select(F.col("b").alias("a")).distinct(), "a", "left_semi").join(links.select(F.col("a").alias("b")).distinct(), "b", "left_semi").select("a", "b")
-            links = cut_lineage(links)
-            if (after := links.count()) == before:
-                break
+        sizes = self.cyclic_components()
+        inside = cut_lineage(links_within(self._links(), self.import_components()).join(sizes, "component"))
+        links = inside.select("component", "a", "b", "kind", (F.col("n_links") - F.col("n_files") > choices).alias("dense"))
         closed = links.where("a = b").select(F.array("a", "b").alias("cycle"))
+        rings = links.where("kind = 'ring'").select("component", "a", "b")
+        if most is None:
+            closed = closed.union(ring_orders(rings).select("cycle"))
+        meshes = links.where("a <> b" if most is not None else "a <> b AND kind = 'mesh' AND NOT dense").select("component", "a", "b")
+        closed = closed.union(self._grown(meshes, most))
+        dense = links.where("a <> b AND kind = 'mesh' AND dense").select("component", "a", "b")
+        return closed if most is not None else closed.union(self._shortest(dense))
+
+    def _grown(self, links: DataFrame, most: int | None) -> DataFrame:
+        """All elementary cycles within links(component, a, b)."""
         paths = links.where("a < b").select(F.col("a").alias("start"), F.col("b").alias("at"), F.array("a", "b").alias("path"))
-        size = 2
-        while after and (most is None or size <= most):
+        closed, size = links.limit(0).select(F.array("a").alias("cycle")), 2
+        while most is None or size <= most:
             paths = cut_lineage(paths)
             if paths.isEmpty():
                 break
             grown = paths.join(links, F.col("at") == F.col("a"))
-            found = grown.where("b = start").select(F.concat("path", F.array("b")).alias("cycle"))
-            closed = closed.union(found)
+            closed = closed.union(grown.where("b = start").select(F.concat("path", F.array("b")).alias("cycle")))
             paths = grown.where((F.col("b") > F.col("start")) & ~F.array_contains("path", F.col("b"))).select("start", F.col("b").alias("at"), F.concat("path", F.array("b")).alias("path"))
             size += 1
         return closed
 
+    def _shortest(self, links: DataFrame) -> DataFrame:
+        """For each of links(component, a, b) the shortest cycle through it: from its end, all files one step on, until its begin is met.
+        Each file is entered once for a link, on the least of the shortest ways, so rows are bounded by links times files."""
+        frontier = seen = cut_lineage(links.select(F.col("a").alias("start"), F.col("b").alias("via"), F.col("b").alias("at"), F.array("a", "b").alias("path")))
+        closed = links.limit(0).select(F.array("a").alias("cycle"))
+        while not frontier.isEmpty():
+            step = frontier.join(links, F.col("at") == F.col("a")).select("start", "via", F.col("b").alias("at"), F.concat("path", F.array("b")).alias("path"))
+            step = step.groupBy("start", "via", "at").agg(F.min("path").alias("path"))
+            met = cut_lineage(step.join(seen.select("start", "via", "at"), ["start", "via", "at"], "left_anti"))
+            done = met.where("at = start")
+            closed = closed.union(done.select(F.col("path").alias("cycle")))
+            frontier = cut_lineage(met.join(done.select("start", "via"), ["start", "via"], "left_anti"))
+            seen = cut_lineage(seen.select("start", "via", "at").union(frontier.select("start", "via", "at")))
+        # From the smallest file on, each once.
+        ring = F.slice("cycle", 1, F.size("cycle") - 1)
+        at = F.array_position(ring, F.array_min(ring)).cast("int")
+        turned = F.concat(F.slice(ring, at, F.size(ring) - at + 1), F.slice(ring, F.lit(1), at - 1))
+        return closed.select(F.concat(turned, F.array(F.array_min(ring))).alias("cycle")).distinct()
+
+
     def orphan_exports(self) -> DataFrame:
         """orphan: exported symbols that no other file names."""
         exported = self.nodes.where(is_exported(F.col("signature")) & ~F.col("name").isin("main", "default")).alias("n")

@@ -86,7 +86,21 @@ SELECT concat('py/p', CAST(s_suppkey AS STRING), '.py'), 'python',
   concat('import os', {NL}, 'from pkg.mod', CAST(s_suppkey AS STRING), ' import name', {NL}, 'class Box', CAST(s_suppkey AS STRING), ':', {NL}, '    def open(self):', {NL}, '        return 1', {NL}) FROM supplier
 """
 
-_TABLES = {"svc_rust": (SVC_RUST, ["supplier"]), "poly": (POLY, ["supplier"]), "ring_ts": (RING_TS, ["nation"]), "guard_mix": (GUARD_MIX, ["part"]), "intents": (INTENTS, ["part"]), "lib_mix": (LIB_MIX, ["supplier"]), "tsx_cards": (TSX_CARDS, ["customer"])}
+#: Files in chains of ten: some close to rings, two rings share a file, some import themselves, some also what lies two on.
+MESH_TS = f"""
+SELECT concat('n', lpad(CAST(s_suppkey AS STRING), 9, '0'), '.ts') AS path, 'typescript' AS language,
+  concat(
+    CASE WHEN s_suppkey % 10 <> 9 THEN concat('import {{ a }} from "n', lpad(CAST(s_suppkey + 1 AS STRING), 9, '0'), '.ts";', {NL}) ELSE '' END,
+    CASE WHEN s_suppkey % 20 = 9 THEN concat('import {{ b }} from "n', lpad(CAST(s_suppkey - 9 AS STRING), 9, '0'), '.ts";', {NL}) ELSE '' END,
+    CASE WHEN s_suppkey % 40 = 5 THEN concat('import {{ c }} from "n', lpad(CAST(s_suppkey + 5 AS STRING), 9, '0'), '.ts";', {NL}) ELSE '' END,
+    CASE WHEN s_suppkey % 40 = 14 THEN concat('export {{ d }} from "n', lpad(CAST(s_suppkey - 9 AS STRING), 9, '0'), '.ts";', {NL}) ELSE '' END,
+    CASE WHEN s_suppkey % 50 = 37 THEN concat('import {{ e }} from "n', lpad(CAST(s_suppkey AS STRING), 9, '0'), '.ts";', {NL}) ELSE '' END,
+    CASE WHEN s_suppkey % 60 BETWEEN 40 AND 46 THEN concat('import {{ f }} from "n', lpad(CAST(s_suppkey + 2 AS STRING), 9, '0'), '.ts";', {NL}) ELSE '' END,
+    'export const x = 1;', {NL}) AS content
+FROM supplier
+"""
+
+_TABLES = {"mesh_ts": (MESH_TS, ["supplier"]), "svc_rust": (SVC_RUST, ["supplier"]), "poly": (POLY, ["supplier"]), "ring_ts": (RING_TS, ["nation"]), "guard_mix": (GUARD_MIX, ["part"]), "intents": (INTENTS, ["part"]), "lib_mix": (LIB_MIX, ["supplier"]), "tsx_cards": (TSX_CARDS, ["customer"])}
 
 
 def corpus(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

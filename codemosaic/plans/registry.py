@@ -284,6 +284,41 @@ def risk_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _svc(spark, sf_dir).impact_all(3).groupBy("risk_score").agg(F.count(F.lit(1)).alias("n_symbols"))
 
 
+#: The links of the mesh corpus, and what reaches what over them.
+_MESH = """links AS (
+  SELECT a, 'n' || lpad(CAST(b AS VARCHAR), 9, '0') || '.ts' AS b FROM (
+    SELECT 'n' || lpad(CAST(s_suppkey AS VARCHAR), 9, '0') || '.ts' AS a, unnest([
+      CASE WHEN s_suppkey % 10 <> 9 THEN s_suppkey + 1 END, CASE WHEN s_suppkey % 20 = 9 THEN s_suppkey - 9 END, CASE WHEN s_suppkey % 40 = 5 THEN s_suppkey + 5 END,
+      CASE WHEN s_suppkey % 40 = 14 THEN s_suppkey - 9 END, CASE WHEN s_suppkey % 50 = 37 THEN s_suppkey END, CASE WHEN s_suppkey % 60 BETWEEN 40 AND 46 THEN s_suppkey + 2 END]) AS b FROM supplier)
+  WHERE b IN (SELECT s_suppkey FROM supplier)),
+reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+placed AS (SELECT x.a, min(x.b) AS component FROM reach x JOIN reach y ON x.a = y.b AND x.b = y.a GROUP BY x.a)"""
+
+
+@_query(f"WITH RECURSIVE {_MESH} SELECT a AS file, component FROM placed")
+def import_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return CodeCorpus(corpus(spark, sf_dir, "mesh_ts")).import_components().select(F.col("node").alias("file"), "component")
+
+
+@_query(
+    f"""WITH RECURSIVE {_MESH}, paths AS (
+  SELECT a AS origin, b AS here, [a, b] AS path FROM links WHERE a < b
+  UNION ALL
+  SELECT origin, l.b, list_append(path, l.b) FROM paths p JOIN links l ON p.here = l.a WHERE p.here <> origin AND (l.b = origin OR (l.b > origin AND NOT list_contains(path, l.b))))
+SELECT array_to_string(path, ',') AS cycle FROM paths WHERE here = origin UNION ALL SELECT a || ',' || b FROM links WHERE a = b"""
+)
+def mesh_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return CodeCorpus(corpus(spark, sf_dir, "mesh_ts")).import_cycles().select(F.array_join("cycle", ",").alias("cycle"))
+
+
+@_query(
+    f"""WITH RECURSIVE {_MESH}, inside AS (SELECT x.component, l.a, l.b FROM links l JOIN placed x ON l.a = x.a JOIN placed y ON l.b = y.a AND x.component = y.component)
+SELECT component, count(DISTINCT a) AS n_files, count(*) AS n_links, CASE WHEN count(*) > count(DISTINCT a) THEN 'mesh' WHEN count(DISTINCT a) = 1 THEN 'self' ELSE 'ring' END AS kind FROM inside GROUP BY component"""
+)
+def cyclic_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return CodeCorpus(corpus(spark, sf_dir, "mesh_ts")).cyclic_components()
+
+
 @_query("SELECT concat('m', string_agg(CAST(n_nationkey AS STRING), '.ts,m' ORDER BY concat(CASE n_nationkey WHEN 0 THEN 'a' ELSE 'b' END, lpad(CAST(n_nationkey AS STRING), 3, '0'))), '.ts,m0.ts') AS cycle FROM nation")
 def import_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return CodeCorpus(corpus(spark, sf_dir, "ring_ts")).import_cycles().select(F.array_join("cycle", ",").alias("cycle"))
