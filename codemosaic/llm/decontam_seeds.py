@@ -16,8 +16,8 @@ it, once each. One block is met in one pass over the documents without any shuff
 hot. Of several blocks each is a pass that gives the hits of its items by the hash of the text, and these are joined with the
 documents at the end. Hits are compared HITS at a time, however many items share a phrase.
 
-Defined cases: null text counts as empty, and so never matches; items of fewer than ``least_words`` words are told from
-common speech by nothing and do not match (5 by default; with less, such items match where all their words stand in a row); equal
+Defined cases: null text counts as empty, and so never matches; every item of one word or more counts, short ones where all
+their words stand in a row (items of fewer than ``least_words`` words are passed over where that is asked for); equal
 items all count; a very long document or item is one (an item longer than a block is a block of its own); repeated rows each
 get their result; an empty benchmark contaminates nothing, an empty table gives an empty table; other columns are kept as they are.
 """
@@ -40,6 +40,8 @@ from .common import broadcast_if_few, kept_in_worker, steps, texts_of
 #: 1: the word counts. All have five ones; different spans and gaps, chosen for few common shifts.
 MASKS = ("11111", "1101011", "11010011", "1010011001")
 WINDOW, SHARE, MIN_WORDS, BLOCK_CHARS = 13, 0.8, 5, 4_000_000
+#: Words that an item has at least; every item counts unless more are asked for.
+LEAST_WORDS = 1
 #: Hits that are compared at once.
 HITS = 20_000
 
@@ -86,7 +88,7 @@ def seed_hashes(ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
 class SeedTable:
     """The seeds of a block of items, in flat arrays, and the comparison around hits."""
 
-    def __init__(self, items: list[tuple[int, str]], least_words: int = MIN_WORDS, most: int = 100_000):
+    def __init__(self, items: list[tuple[int, str]], least_words: int = LEAST_WORDS, most: int = 100_000):
         kept, hashes, number = [], [], {}
         for item_id, text in items:
             w = words(text)
@@ -201,7 +203,7 @@ def _with_hits(rows: DataFrame, text_at: int, items: list[tuple[int, str]], leas
     return rows.mapInArrow(run, schema)
 
 
-def find_overlaps(docs: DataFrame, benchmark: DataFrame, text_at: int, block_chars: int = BLOCK_CHARS, least_words: int = MIN_WORDS) -> DataFrame:
+def find_overlaps(docs: DataFrame, benchmark: DataFrame, text_at: int, block_chars: int = BLOCK_CHARS, least_words: int = LEAST_WORDS) -> DataFrame:
     """docs, its columns renamed c0, c1, ..., with one more, contaminated_by: array of (item_id, share), empty for
     clean documents. text_at: the place of the text column."""
     out = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])

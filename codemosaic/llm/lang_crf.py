@@ -10,8 +10,9 @@ Long texts cost no more than their length: the chain is cut into blocks of BLOCK
 multiplied for all blocks of a batch at once; messages then cross the blocks in order, and each block is finished
 from its two ends. The result is that of the plain recursion.
 
-Training takes a bounded sample: of each of the LANGUAGES commonest languages PER_LANGUAGE rows, the smallest by a hash of doc_id and
-text, as long as their characters are at most SAMPLE_CHARS in all (a longer text is passed over). To the texts, whose words all
+Every language is learned, from a bounded sample: PER_LANGUAGE rows of each, or of more than LANGUAGES languages a share of as many
+rows in all (one at least), the smallest by a hash of doc_id and text, texts of up to TEXT_CHARS characters before
+longer ones, as long as their characters are at most SAMPLE_CHARS a language. To the texts, whose words all
 have the text's language, come texts put together from stretches of several, so that switching is learned as well as staying.
 
 Defined cases: text that is null or has no letter (Unicode category L): ``und``, score 0; ties: the first language by name; without
@@ -32,9 +33,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_few, crc_mod, steps, texts_of
+from .common import broadcast_if_few, crc_mod, materialize, steps, texts_of
 
-PER_LANGUAGE, LANGUAGES, SAMPLE_CHARS, ROUNDS, RATE, PENALTY = 100, 64, 500_000, 30, 0.3, 1e-4
+PER_LANGUAGE, LANGUAGES, SAMPLE_CHARS, TEXT_CHARS, ROUNDS, RATE, PENALTY = 100, 64, 500_000, 50_000, 30, 0.3, 1e-4
 GRAMS, LEXICON, LEXICON_LEAST, BUCKETS, BLOCK = (2, 3, 4), 20_000, 5, 1 << 15, 32
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -272,12 +273,14 @@ def sample(docs: DataFrame, per_language: int = PER_LANGUAGE, languages: int = L
     key = F.xxhash64(F.col("doc_id").cast("long"), "text")
     usable = docs.where((crc_mod("doc_id", 4) != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     usable = usable.select(F.col("lang").cast("string").alias("lang"), "text", key.alias("key"), F.char_length("text").cast("long").alias("n")).where(F.col("n") <= chars)
-    common = usable.groupBy("lang").agg(F.approx_count_distinct("key").alias("rows")).orderBy(F.desc("rows"), "lang").limit(languages)
-    common = common.select("lang", (4 * per_language / F.greatest("rows", F.lit(1)) * (1 << 30)).cast("long").alias("below"))
-    few = usable.join(broadcast_if_few(common, "languages"), "lang").where(F.pmod("key", F.lit(1 << 30)) < F.col("below"))
+    rows = materialize(usable.groupBy("lang").agg(F.approx_count_distinct("key").alias("rows")), "languages")
+    share = languages / max(languages, rows.count())
+    each = max(1, int(per_language * share))
+    common = rows.select("lang", (4 * each / F.greatest("rows", F.lit(1)) * (1 << 30)).cast("long").alias("below"))
+    few = usable.join(broadcast_if_few(common, "below"), "lang").where(F.pmod("key", F.lit(1 << 30)) < F.col("below"))
     few = few.groupBy("lang", "key").agg(F.min("text").alias("text"), F.min("n").alias("n"))
-    order = Window.partitionBy("lang").orderBy(F.pmod("key", F.lit(1 << 30)), "key")
-    return few.select("lang", "key", "text", F.row_number().over(order).alias("place"), F.sum("n").over(order).alias("chars")).where((F.col("place") <= per_language) & (F.col("chars") <= chars)).select("lang", "key", "text")
+    order = Window.partitionBy("lang").orderBy(F.col("n") > TEXT_CHARS, F.pmod("key", F.lit(1 << 30)), "key")
+    return few.select("lang", "key", "text", F.row_number().over(order).alias("place"), F.sum("n").over(order).alias("chars")).where((F.col("place") <= each) & (F.col("chars") <= max(1, int(chars * share)))).select("lang", "key", "text")
 
 
 def train(docs: DataFrame) -> Model:

@@ -101,3 +101,13 @@ def test_without_training_rows(spark, edge_docs):
     from pyspark.sql import functions as F
 
     assert {r.lang_pred for r in lang_crf.identify(edge_docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
+
+
+def test_every_language_is_learned(spark):
+    """Seventy languages, more than have a full sample each, and one whose first text by hash is huge."""
+    rows = [row(i, " ".join(f"{chr(97 + k % 26)}{chr(97 + k // 26)}{w}x" for w in ("qa", "we", "ri")) + f" n{chr(97 + i % 26)}", f"l{k:02}") for i, k in enumerate(k for k in range(70) for _ in range(6))]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    assert len({r.lang for r in lang_crf.sample(docs).collect()}) == 70
+    assert set(lang_crf.train(docs).languages) == {f"l{k:02}" for k in range(70)}
+    huge = [row(i, "word " * (90_000 if i % 3 == 0 else 5), "en") for i in range(40)]
+    assert lang_crf.sample(spark.createDataFrame(huge, SCHEMA)).count() >= 15
