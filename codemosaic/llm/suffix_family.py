@@ -20,7 +20,7 @@ and ``whole`` of all bytes that they cover. Equal strings lie in entries of equa
   ones are told apart more finely, by arrays of the next kind: entries, then blocks of BLOCK strings (whose core is nearly
   the string), then strings. An older document whose entry stood alone until now is read once more for this.
 
-Cores and wholes are different 64-bit hashes, so contents are told apart by 128 bits. No two copies of a passage are ever
+Cores are 64-bit hashes and wholes other ones of WHOLE bits, so contents are told apart by 104 bits. No two copies of a passage are ever
 paired, and rows are keyed by content: before a shuffle, those of one key become one row a task.
 
 What goes back to the texts (keys that are met again, spans) is broadcast as long as it is few in bytes, and joined by a shuffle
@@ -48,6 +48,8 @@ from .common import BROADCAST_BYTES, broadcast_if_few, delete_path, keep_nothing
 RUN, SEED, BLOCK = 100, 32, 8
 #: Batches that a table is dealt into.
 BATCHES = 4
+#: Bits of the hash of a whole; those of strings, whose core is the string itself, need fewer. What is shuffled is mostly hashes.
+WHOLE, WHOLE_OF_STRING = 40, 24
 #: Bytes of text in a step, and of a block that numpy looks at together (places within it take 23 bits).
 STEP_BYTES, PIECE = 1 << 20, 1 << 22
 
@@ -113,9 +115,9 @@ class Pieces:
         self.first, self.count, self.place, self.core = _picked(np.frombuffer(self.bytes, np.uint8), self.starts, self.ends)
         self.document = np.searchsorted(self.ends, self.first, "right")
 
-    def _rows(self, document: np.ndarray, core: np.ndarray, first: np.ndarray, n: np.ndarray, root: np.ndarray) -> tuple[np.ndarray, ...]:
-        data = self.bytes
-        whole = np.array([xxhash.xxh3_64_intdigest(data[a:z]) for a, z in zip(first.tolist(), (first + n - 1 + RUN).tolist(), strict=True)], np.uint64).view(np.int64)
+    def _rows(self, document: np.ndarray, core: np.ndarray, first: np.ndarray, n: np.ndarray, root: np.ndarray, bits: int = WHOLE) -> tuple[np.ndarray, ...]:
+        data, digest, drop = self.bytes, xxhash.xxh3_64_intdigest, 64 - bits
+        whole = np.array([digest(data[a:z]) >> drop for a, z in zip(first.tolist(), (first + n - 1 + RUN).tolist(), strict=True)], np.int64)
         return document, core, whole, first - self.starts[document], n, root
 
     def entries(self) -> tuple[np.ndarray, ...]:
@@ -139,17 +141,17 @@ class Pieces:
                 if not strings:
                     rows.append((d, block, s, stop - s, root))
                 elif block - (block >> 63 << 64) in wanted[d][root]:
-                    rows += [(d, xxhash.xxh3_64_intdigest(data[x : x + RUN], 1 << 32), x, 1, root) for x in range(s, stop)]
+                    rows += [(d, xxhash.xxh3_64_intdigest(data[x : x + RUN], 1 << 32), x, 1, 0) for x in range(s, stop)]
                 s = stop
         document, core, first, n, root = zip(*rows, strict=True) if rows else [()] * 5
-        return self._rows(*(np.array(x, t).view(np.int64) for x, t in ((document, np.int64), (core, np.uint64), (first, np.int64), (n, np.int64), (root, np.int64))))
+        return self._rows(*(np.array(x, t).view(np.int64) for x, t in ((document, np.int64), (core, np.uint64), (first, np.int64), (n, np.int64), (root, np.int64))), WHOLE_OF_STRING if strings else WHOLE)
 
 
-def _again(document: np.ndarray, core: np.ndarray) -> np.ndarray:
-    """Whether a core was in the same document before."""
-    order = np.lexsort((core, document))  # stable: rows of a core stay in their order
-    out = np.zeros(len(core), bool)
-    out[order[1:]] = (core[order[1:]] == core[order[:-1]]) & (document[order[1:]] == document[order[:-1]])
+def _again(*of: np.ndarray) -> np.ndarray:
+    """Whether a row's values (document, core, whole) were there before."""
+    order = np.lexsort(of)  # stable: equal rows stay in their order
+    out = np.zeros(len(order), bool)
+    out[order[1:]] = np.logical_and.reduce([x[order[1:]] == x[order[:-1]] for x in of])
     return out
 
 
@@ -177,7 +179,7 @@ def _pieces(texts: DataFrame, kind: int) -> DataFrame:
             document, core, whole, at, n, root = rows
             if len(core):
                 own_id, tie = (b.column(c).to_numpy()[document] for c in ("own_id", "tie"))
-                columns = core, whole, own_id, tie, at.astype(np.int32), n.astype(np.int32), _again(document, core), root
+                columns = core, whole, own_id, tie, at.astype(np.int32), n.astype(np.int32), _again(document, core, whole), root
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names)
 
     return texts.mapInArrow(run, ENTRIES)
@@ -347,7 +349,23 @@ def repeated_spans(docs: DataFrame, batches: int = BATCHES) -> tuple[DataFrame,
     spans = family.spans[0]
     for more in family.spans[1:]:
         spans = spans.union(more)
-    return texts, broadcast_if_few(spans.groupBy("own_id", "tie").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("found")), "found")
+    listed = spans.groupBy("own_id", "tie").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("found"))
+    return texts, broadcast_if_few(listed.mapInArrow(_merged, "own_id long, tie long, found binary"), "found")
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The spans of each text as maximal ones: starts and stops as 32-bit numbers."""
+    for b in batches:
+        found = []
+        for own in b.column("found").to_pylist():
+            gone: list[int] = []
+            for s in own:
+                if gone and s["start"] <= gone[-1]:
+                    gone[-1] = max(gone[-1], s["stop"])
+                else:
+                    gone += [s["start"], s["stop"]]
+            found.append(np.array(gone, np.int32).tobytes())
+        yield pa.RecordBatch.from_arrays([b.column("own_id"), b.column("tie"), pa.array(found, pa.binary())], ["own_id", "tie", "found"])
 
 
 KEPT = "doc_id long, n_bytes long, spans array<struct<start:int,stop:int>>, kept binary"
@@ -361,16 +379,11 @@ def remove_repeats(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
         for b in steps(rows, "text"):
             ids, cut, kept, sizes = [], [], [], []
             for own_id, text, found in zip(b.column("own_id").to_pylist(), b.column("text").cast(pa.binary()).to_pylist(), b.column("found").to_pylist(), strict=True):
-                gone: list[list[int]] = []
-                for s in found or ():
-                    if gone and s["start"] <= gone[-1][1]:
-                        gone[-1][1] = max(gone[-1][1], s["stop"])
-                    else:
-                        gone.append([s["start"], s["stop"]])
-                edges = [0, *(x for span in gone for x in span), len(text)]
+                gone = np.frombuffer(found or b"", np.int32).tolist()
+                edges = [0, *gone, len(text)]
                 ids.append(None if own_id == -(1 << 63) else own_id)
                 sizes.append(len(text))
-                cut.append([{"start": a, "stop": z} for a, z in gone])
+                cut.append([{"start": a, "stop": z} for a, z in zip(gone[::2], gone[1::2], strict=True)])
                 kept.append(b"".join(text[edges[i] : edges[i + 1]] for i in range(0, len(edges), 2)))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(cut, pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "spans", "kept"])
 
