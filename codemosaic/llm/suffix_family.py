@@ -51,7 +51,7 @@ BATCHES = 4
 #: Bits of the hash of a whole; those of strings, whose core is the string itself, need fewer. What is shuffled is mostly hashes.
 WHOLE, WHOLE_OF_STRING = 40, 24
 #: Bytes of text in a step, and of a block that numpy looks at together (places within it take 23 bits).
-STEP_BYTES, PIECE = 1 << 20, 1 << 22
+STEP_BYTES, PIECE = 1 << 19, 1 << 22
 
 ENTRIES = "core long, whole long, own_id long, tie long, at int, n int, again boolean, root long"
 _BASE, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -115,8 +115,8 @@ class Pieces:
         self.first, self.count, self.place, self.core = _picked(np.frombuffer(self.bytes, np.uint8), self.starts, self.ends)
         self.document = np.searchsorted(self.ends, self.first, "right")
 
-    def _rows(self, document: np.ndarray, core: np.ndarray, first: np.ndarray, n: np.ndarray, root: np.ndarray, bits: int = WHOLE) -> tuple[np.ndarray, ...]:
-        data, digest, drop = self.bytes, xxhash.xxh3_64_intdigest, 64 - bits
+    def _rows(self, document: np.ndarray, core: np.ndarray, first: np.ndarray, n: np.ndarray, root: np.ndarray) -> tuple[np.ndarray, ...]:
+        data, digest, drop = self.bytes, xxhash.xxh3_64_intdigest, 64 - WHOLE
         whole = np.array([digest(data[a:z]) >> drop for a, z in zip(first.tolist(), (first + n - 1 + RUN).tolist(), strict=True)], np.int64)
         return document, core, whole, first - self.starts[document], n, root
 
@@ -141,10 +141,20 @@ class Pieces:
                 if not strings:
                     rows.append((d, block, s, stop - s, root))
                 elif block - (block >> 63 << 64) in wanted[d][root]:
-                    rows += [(d, xxhash.xxh3_64_intdigest(data[x : x + RUN], 1 << 32), x, 1, 0) for x in range(s, stop)]
+                    rows.append((d, s, stop - s))
                 s = stop
+        if strings:
+            return self._strings(*np.array(rows, np.int64).reshape(-1, 3).T)
         document, core, first, n, root = zip(*rows, strict=True) if rows else [()] * 5
-        return self._rows(*(np.array(x, t).view(np.int64) for x, t in ((document, np.int64), (core, np.uint64), (first, np.int64), (n, np.int64), (root, np.int64))), WHOLE_OF_STRING if strings else WHOLE)
+        return self._rows(*(np.array(x, t).view(np.int64) for x, t in ((document, np.int64), (core, np.uint64), (first, np.int64), (n, np.int64), (root, np.int64))))
+
+    def _strings(self, document: np.ndarray, first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The strings of blocks; both hashes of each are parts of one."""
+        at = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+        document, data, digest = np.repeat(document, n), self.bytes, xxhash.xxh3_128_digest
+        halves = np.frombuffer(b"".join([digest(data[x : x + RUN]) for x in at.tolist()]), ">u8").reshape(-1, 2).astype(np.uint64)
+        whole = (halves[:, 0] >> np.uint64(64 - WHOLE_OF_STRING)).astype(np.int64)
+        return document, np.ascontiguousarray(halves[:, 1]).view(np.int64), whole, at - self.starts[document], np.ones_like(at), np.zeros_like(at)
 
 
 def _again(*of: np.ndarray) -> np.ndarray:
@@ -244,7 +254,7 @@ class Levels:
 
 
 def _few(rows: DataFrame, row_bytes: int) -> DataFrame:
-    """Rows of fixed size, broadcast if they are few in bytes."""
+    """Rows of fixed size (8 bytes a column, and 24 in the table they are looked up in), broadcast if they are few in bytes."""
     return F.broadcast(rows) if rows.count() * row_bytes <= BROADCAST_BYTES else rows
 
 
@@ -286,7 +296,7 @@ class Family:
             entries = materialize(_pieces(texts, kind), "entries")
             scanned = self.kinds[kind].scan(entries)
             met = scanned.where("n > 1 OR known").select("core", F.col("own_id").alias("first_id"), "known", "several")
-            found = entries.join(_few(met, 80), "core")
+            found = entries.join(_few(met, 56), "core")
             repeats = [self._repeats(found.where("NOT several"), "core")]
             if kind == 2:
                 self.spans.append(materialize(repeats[0], "spans"))
@@ -295,7 +305,7 @@ class Family:
             older = scanned.where("old_id IS NOT NULL").selectExpr("core", "old_whole AS whole", "old_id AS own_id", "0L AS tie", "cast(null AS int) AS at", "0 AS n", "false AS again", "root")
             rows = materialize(mixed.union(older).withColumn("content", F.xxhash64("core", "whole")), "mixed")
             told = self.contents[kind].scan(rows.select(F.col("content").alias("core"), F.col("content").alias("whole"), "own_id", "root"))
-            judged = rows.join(_few(told.select(F.col("core").alias("content"), F.col("own_id").alias("first_id"), "known"), 72), "content")
+            judged = rows.join(_few(told.select(F.col("core").alias("content"), F.col("own_id").alias("first_id"), "known"), 48), "content")
             repeats.append(self._repeats(judged, "content"))
             self.spans.append(materialize(repeats[0].union(repeats[1]), "spans"))
             # The first of each content, and older entries that stood alone until now, are told apart more finely.
