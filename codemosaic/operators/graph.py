@@ -23,11 +23,9 @@ from .symbols import extract_symbols, first_in_order, imports, is_exported, node
 #: Links beyond those of a ring that a component may have and still give all its elementary cycles (2 to this power at most, and one).
 CHOICES = 12
 
-#: A name that stands within a signature stands within one run of name characters, and from some place of the run on. Both sides
-#: of the edge join are keyed by so many first characters of what may be the name.
-KEY = 16
+#: Bytes of names that one automaton is made of; more names are looked for in several passes over the signatures.
+NAME_BYTES = 8 << 20
 
-_RUN = re.compile(r"[A-Za-z0-9_$]+")
 _TOKEN = re.compile(r"\w+")
 
 
@@ -37,26 +35,62 @@ def names(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("name").agg(F.min_by("symbol_id", order).alias("to_id"))
 
 
-def edges(nodes: DataFrame) -> DataFrame:
-    """from_id, to_id, edge_type: a symbol uses every other whose name stands anywhere in its signature.
+def _automaton(wanted: list[str]):
+    import ahocorasick
 
-    An equi-join where a nested loop would be the obvious plan: each place of a signature where a name could begin gives a key
-    from there for each length that keys of names have, KEY at most; a name's key is its first KEY characters (all of a
-    shorter one). So most names are found by themselves, not by a beginning that many share. Rows grow with the signatures'
-    length, and the rest of a longer name is compared after the join.
+    found = ahocorasick.Automaton()
+    for name in wanted:
+        found.add_word(name, name)
+    if wanted:
+        found.make_automaton()
+    return found
+
+
+def _shards(wanted: DataFrame, most: int) -> Iterator[list[str]]:
+    """The names of wanted(name), in lists of at most about so many bytes (of one name, if that has more)."""
+    size = wanted.agg(F.sum(F.octet_length("name") + 16)).first()[0] or 0
+    n = -(-size // most)
+    for i in range(n):
+        yield sorted(r.name for r in wanted.where(F.pmod(F.xxhash64("name"), F.lit(n)) == i).collect())
+
+
+def names_within(nodes: DataFrame, wanted: DataFrame, most: int = NAME_BYTES) -> DataFrame:
+    """from_id, name: which of the distinct, non-empty names of wanted(name) stand anywhere in each node's signature.
+
+    An automaton of many patterns (Aho-Corasick) walks each signature once and gives what matches, so there are as many rows as
+    matches. A list of names of bounded bytes is sent to the workers; more names are several lists, each a pass.
     """
-    right = names(nodes).withColumn("key", F.substring("name", 1, KEY))
-    sizes = sorted(r[0] for r in right.select(F.length("key")).distinct().collect())  # KEY at most
-    if not sizes:
-        return nodes.sparkSession.createDataFrame([], "from_id string, to_id string, edge_type string")
-    runs = F.array_distinct(F.regexp_extract_all("signature", F.lit(_RUN.pattern), F.lit(0)))
-    places = F.flatten(F.transform(runs, lambda r: F.transform(F.sequence(F.lit(1), F.length(r)), lambda i: F.struct(r.alias("run"), i.alias("at")))))
-    keys = F.flatten(F.transform(places, lambda p: F.transform(F.filter(F.array(*map(F.lit, sizes)), lambda n: n <= F.length(p["run"]) - p["at"] + 1), lambda n: p["run"].substr(p["at"], n))))
-    left = nodes.select(F.col("symbol_id").alias("from_id"), F.explode(F.array_distinct(keys)).alias("key"))
-    found = left.join(right, "key").where("from_id <> to_id").select("from_id", "to_id", "name")
-    # Keys are dealt out without their signature; what has met meets it again.
-    found = found.join(nodes.select(F.col("symbol_id").alias("from_id"), "signature"), "from_id").where(F.contains("signature", "name"))
-    return found.select("from_id", "to_id", F.lit("Uses").alias("edge_type")).distinct()
+    context = nodes.sparkSession.sparkContext
+    asked = nodes.select(F.col("symbol_id").alias("from_id"), "signature")
+    out = None
+    for shard in _shards(wanted.where("name <> ''"), most):
+        sent = context.broadcast(shard)
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            automaton = _automaton(sent.value)
+            for b in batches:
+                ids, hits = [], []
+                for from_id, signature in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                    own = {name for _, name in automaton.iter(signature)} if signature else ()
+                    ids += [from_id] * len(own)
+                    hits += sorted(own)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(hits, pa.string())], ["from_id", "name"])
+
+        found = asked.mapInArrow(run, "from_id string, name string")
+        out = found if out is None else out.union(found)
+    return nodes.sparkSession.createDataFrame([], "from_id string, name string") if out is None else out
+
+
+def edges_between(within: DataFrame, owners: DataFrame) -> DataFrame:
+    """from_id, to_id, edge_type of names within signatures and the symbols (names()) that have them."""
+    found = within.join(owners, "name").where("from_id <> to_id")
+    return found.select("from_id", "to_id", F.lit("Uses").alias("edge_type"))
+
+
+def edges(nodes: DataFrame, name_bytes: int = NAME_BYTES) -> DataFrame:
+    """from_id, to_id, edge_type: a symbol uses every other whose name stands anywhere in its signature."""
+    owners = names(nodes)
+    return edges_between(names_within(nodes, owners.select("name"), name_bytes), owners)
 
 
 LINES = "file string, line long, byte_offset long, context string, tokens array<string>"
@@ -84,15 +118,24 @@ def code_lines(files: DataFrame) -> DataFrame:
 
 
 def references(files: DataFrame, nodes: DataFrame) -> DataFrame:
-    """symbol, file, line (from 1), byte_offset (of the line), context_snippet of every line that has a symbol's name as a word.
+    """symbol, file, line (from 1), byte_offset (of the line), context_snippet of every line that has a symbol's name as a word."""
+    return references_in(words_of(files), nodes.select("name").distinct())
+
+
+def words_of(files: DataFrame) -> DataFrame:
+    """file, line, byte_offset, context, key: each distinct word of each line of code."""
+    return code_lines(files).select("file", "line", "byte_offset", "context", F.explode("tokens").alias("key"))
+
+
+def references_in(words: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The lines of words (words_of) that have one of the distinct names of wanted(name) as a word.
 
     A hash join of words with names. A name with ``$`` is no single word: it is joined by its first word (or ``$``, if it has
     none) and then looked for in the line.
     """
     word = F.regexp_extract("name", r"[A-Za-z0-9_]+", 0)
-    wanted = nodes.select("name").distinct().withColumns({"plain": ~F.contains("name", F.lit("$")), "key": F.when(word == "", "$").otherwise(word)})
-    at = code_lines(files).select("file", "line", "byte_offset", "context", F.explode("tokens").alias("key"))
-    found = at.join(wanted, "key")
+    wanted = wanted.withColumns({"plain": ~F.contains("name", F.lit("$")), "key": F.when(word == "", "$").otherwise(word)})
+    found = words.join(wanted, "key")
     pattern = F.concat(F.lit(r"(?<![\p{IsAlphabetic}\p{N}_])\Q"), F.col("name"), F.lit(r"\E(?![\p{IsAlphabetic}\p{N}_])"))
     found = found.where(F.col("plain") | F.when(~F.col("plain"), F.rlike("context", pattern)))
     return found.select(F.col("name").alias("symbol"), "file", "line", "byte_offset", F.col("context").alias("context_snippet"))
@@ -120,6 +163,16 @@ def reach(starts: DataFrame, links: DataFrame, depth: int) -> DataFrame:
     return seen.where("depth > 0")
 
 
+def _told(text: Column) -> Column:
+    """What stands for a path in a join: two hashes and its length."""
+    return F.struct(F.xxhash64(text).alias("x"), F.hash(text).alias("m"), F.length(text).alias("n"))
+
+
+def _endings(c: str) -> Column:
+    """A row for each ending of a path, of fixed size."""
+    return F.explode(F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: _told(F.col(c).substr(i, F.length(c))))).alias("told")
+
+
 class CodeCorpus:
     """Files and the tables made from them; each is made on first use and kept for the next."""
 
@@ -226,17 +279,20 @@ class CodeCorpus:
     def import_links(self) -> DataFrame:
         """file, ord, target_file: imports of files of the corpus, by exact path or else by suffix either way (smallest path).
 
-        Suffixes meet in two equi-joins: one on each suffix of the files' paths, one on each suffix of the targets.
+        Two equi-joins on endings, by their hashes: targets with the endings of paths, of which only the smallest path each is
+        kept before anything moves, and paths with the endings of distinct targets. So rows grow with the paths' characters, and
+        neither a common file name nor a target that many files import makes a large group.
         """
-        keys = self.files.select(F.col("path").alias("target_file"))
-        imported = self.imports
+        keys = self.files.select(F.col("path").alias("target_file")).where("target_file <> ''")
+        imported = self.imports.where("target <> ''")
         exact = imported.join(keys, imported["target"] == keys["target_file"]).select("file", "ord", "target", "target_file")
-        rest = imported.join(keys, imported["target"] == keys["target_file"], "left_anti").where("target <> ''")
-        suffixes = lambda c: F.explode(F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.col(c).substr(i, F.length(c))))
-        ends = keys.where("target_file <> ''").select("target_file", suffixes("target_file").alias("target"))
-        began = rest.select("file", "ord", "target", suffixes("target").alias("target_file"))
-        loose = rest.join(ends, "target").select("file", "ord", "target", "target_file").union(began.join(keys, "target_file").select("file", "ord", "target", "target_file"))
-        return exact.union(loose.groupBy("file", "ord", "target").agg(F.min("target_file").alias("target_file")))
+        rest = imported.join(keys, imported["target"] == keys["target_file"], "left_anti")
+        asked = rest.select("target").distinct()
+        ends = keys.select("target_file", _endings("target_file")).groupBy("told").agg(F.min("target_file").alias("target_file"))
+        longer = asked.select("target", _told(F.col("target")).alias("told")).join(ends, "told").select("target", "target_file")
+        shorter = asked.select("target", _endings("target")).join(keys.select("target_file", _told(F.col("target_file")).alias("told")), "told").select("target", "target_file")
+        least = longer.union(shorter).groupBy("target").agg(F.min("target_file").alias("target_file"))
+        return exact.union(rest.join(least, "target").select("file", "ord", "target", "target_file"))
 
     def import_components(self) -> DataFrame:
         """node, component: the files that lie on a cycle of imports, and the smallest file of those they share cycles with."""
@@ -308,9 +364,10 @@ class CodeCorpus:
 
     def orphan_exports(self) -> DataFrame:
         """orphan: exported symbols that no other file names."""
-        exported = self.nodes.where(is_exported(F.col("signature")) & ~F.col("name").isin("main", "default")).alias("n")
-        used = self.references.select("symbol", F.col("file").alias("ref_file")).distinct()
-        left = exported.join(used, (F.col("n.name") == used["symbol"]) & (F.col("n.file") != used["ref_file"]), "left_anti")
+        exported = self.nodes.where(is_exported(F.col("signature")) & ~F.col("name").isin("main", "default"))
+        # Another file names a symbol unless all files that do are its own: the least and the greatest of them tell.
+        used = self.references.groupBy(F.col("symbol").alias("name")).agg(F.min("file").alias("least"), F.max("file").alias("greatest"))
+        left = exported.join(used, "name", "left").where(F.col("least").isNull() | ((F.col("least") == F.col("file")) & (F.col("greatest") == F.col("file"))))
         return left.select(F.concat("name", F.lit(" ("), "file", F.lit(":"), "signature", F.lit(")")).alias("orphan"))
 
     def health(self) -> DataFrame:

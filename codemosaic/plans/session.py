@@ -32,15 +32,19 @@ def ship_package(spark: SparkSession) -> None:
     _shipped.add(context.applicationId)
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """The same rows from files in the shared checkpoint folder: the plan starts anew, and a lost executor is recovered from files.
-
-    The folder is the one that spark.checkpoint.dir names. Where that is unset, a folder of our own if this one machine is all there
-    is; on a cluster, where executors would each write to their own disk, an error."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names. Where that is unset, a folder of our own if this one machine is all there is; on a
+    cluster, where executors would each write to their own disk, an error."""
+    context = spark.sparkContext
     if not context.getCheckpointDir():
         folder = context.getConf().get("spark.checkpoint.dir")
         if not folder and not re.match(r"local(\[|$)", context.master):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
+    return context.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """The same rows from files in the shared folder: the plan starts anew, and a lost executor is recovered from files."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
