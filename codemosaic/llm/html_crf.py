@@ -9,8 +9,12 @@ Nothing is dropped or capped: an opening ``p`` or ``li`` closes an open one, a c
 whatever is open at the end is closed. Contents of script, style, template, noscript (and comments, declarations) are no text.
 Character references are decoded, white space inside a block becomes one space, blocks are trimmed; empty ones do not count.
 
-Reader comments are told by names and headings that speak of comments or replies, by articles within an article, and by the names
-the made pages use; comments that give no such sign inside the main container cannot be told from its text.
+Names count as whole words, and only those of containers that hold less than the page's article: what stands around its
+``h1``, ``main`` or first ``article`` (and on ``html`` and ``body``) names the page's layout. Reader comments are told by names of
+their container, by articles within an article, by a heading that is nothing but a learned word for them and a number, and by structure: containers
+of one kind in a row that each hold a line of their own (a writer, a time, a link to reply) beside text. Nothing but made
+pages teaches which; these have misleading names and headings as well. Comments that give no such sign inside the main
+container cannot be told from its text.
 
 Defined cases: null or empty html, or a page without main text: the empty text; repeated rows each give a row; an empty table gives
 an empty table; a very long page is one page, scanned in one pass; other columns are not read.
@@ -31,12 +35,16 @@ from .common import steps, texts_of
 from .html_pages import page
 
 PAGES, ROUNDS, RATE, PENALTY = 600, 250, 0.3, 1e-5
+#: Containers around a block whose names, headings and likes are its features.
+NEAR = 32
 
 _TAG = re.compile(r"<(?:(!--)|[!?]|(/?)([A-Za-z][^\s/>]*))")
 _BETWEEN = re.compile(r"[\s/]*")
 _ATTRIBUTE = re.compile(r"(=?[^\s/>=]*)(\s*=\s*)?")
 _BARE = re.compile(r"[^\s>]*")
-_TOKENS = re.compile(r"[a-z]+")
+#: Words of a name: runs of letters, cut where a capital follows a small letter.
+_TOKENS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
+_TITLE = re.compile(r"[^\W\d_]+")
 _MUTE = frozenset(("script", "style", "template", "noscript", "iframe", "svg", "textarea"))
 _MUTE_END = {t: re.compile(rf"</{t}\s*[^>]*>", re.I) for t in _MUTE}
 _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
@@ -48,18 +56,37 @@ _ENDS_P = frozenset("address article aside blockquote details div dl fieldset fi
 
 _NAMING = frozenset(("class", "id", "role"))
 _HEADINGS = frozenset(("h2", "h3", "h4", "h5", "h6"))
-#: Parts of words that name what readers say about a page (fixed values).
-_SAID = re.compile("comment|kommentar|coment|discus|diskus|disqus|repl[yi]|respon|antwort|reponse|r\u00e9ponse|respuesta|reaction|feedback|talkback|guestbook|g\u00e4stebuch")
+class Container:
+    """An open tag: its name, the words that name it, the container around it, and what was seen of it."""
+
+    __slots__ = ("blocks", "heading", "holds_article", "kind", "like", "parent", "tag", "words")
+
+    def __init__(self, tag: str, words: tuple[str, ...], parent: Container | None):
+        self.tag, self.words, self.parent = tag, words, parent
+        self.holds_article = False
+        self.heading: tuple[str, ...] = ()  # of what follows in this container
+        self.blocks = 0
+        self.kind = (tag, words)
+        self.like: dict[tuple, int] = {}  # how many containers of each kind with several blocks are in it
 
 
 class Block:
-    """A leaf block: its text, the keys of the tags and names open around it, the block tag it stands in, and how many of
+    """A leaf block: its text, the keys of the tags open around it, its container, the words of the heading over it, and how many of
     its characters are in links."""
 
-    __slots__ = ("anchored", "around", "inner", "text")
+    __slots__ = ("anchored", "around", "container", "heading", "inner", "text")
+
+    def __init__(self, text: str, around: tuple[str, ...], inner: str, anchored: int, container: Container | None):
+        self.text, self.around, self.inner, self.anchored, self.container = text, around, inner, anchored, container
+        self.heading = next((c.heading for c in _up(container, NEAR) if c.heading), ())
 
-    def __init__(self, text: str, around: tuple[str, ...], inner: str, anchored: int):
-        self.text, self.around, self.inner, self.anchored = text, around, inner, anchored
+
+def _up(container: Container | None, most: int | None = None) -> Iterator[Container]:
+    """A container and those around it, so many at most."""
+    while container is not None and most != 0:
+        yield container
+        container = container.parent
+        most = most and most - 1
 
 
 class Scanner:
@@ -117,7 +144,8 @@ class Scanner:
 def leaf_blocks(source: str) -> list[Block]:
     """The blocks of a page in order."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []  # open tags, with the keys they add around what is in them
+    stack: list[tuple[str, Container]] = []  # open tags
+    first_article = True
     around: dict[str, int] = {}
     outer: list[int] = []  # where in the stack block tags are
     inline: list[dict[str, int]] = [{}]  # open inline tags: before the first block tag, and in each
@@ -126,33 +154,32 @@ def leaf_blocks(source: str) -> list[Block]:
     no_end: set[str] = set()
     linked = 0
 
-    def add(keys: Iterable[str]) -> None:
-        for k in keys:
-            around[k] = around.get(k, 0) + 1
-
     def close_block() -> None:
         nonlocal linked
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                inner = stack[outer[-1]][0] if outer else ""
+                inner, container = stack[outer[-1]] if outer else ("", None)
                 twice = ("twice=article",) if open_tags.get("article", 0) > 1 else ()
-                out.append(Block(text, (*around, *twice), inner, linked))
-                if inner in _HEADINGS and len(text) <= 60 and _SAID.search(text.lower()) and len(outer) > 1:
-                    tag, keys = stack[outer[-2]]  # what follows in the same container is under this heading
-                    stack[outer[-2]] = (tag, (*keys, "under=said"))
-                    add(("under=said",))
+                out.append(Block(text, (*around, *twice), inner, linked, container))
+                if inner in _HEADINGS and len(outer) > 1:  # what follows in the same container is under this heading
+                    stack[outer[-2]][1].heading = tuple(_TITLE.findall(text.lower()[:60]))
+                # Each container counts the kinds of those in it that hold several blocks.
+                for c in _up(container):
+                    c.blocks += 1
+                    if c.blocks == 2 and c.parent is not None:
+                        c.parent.like[c.kind] = c.parent.like.get(c.kind, 0) + 1
+                    if c.blocks > 2:
+                        break
             parts.clear()
         linked = 0
 
     def pop_to(i: int) -> None:
         while len(stack) > i:
-            tag, keys = stack.pop()
+            tag, _ = stack.pop()
             open_tags[tag] -= 1
-            for k in keys:
-                around[k] -= 1
-                if not around[k]:
-                    del around[k]
+            if not open_tags[tag]:
+                del around[f"in={tag}"]
             if tag in _INLINE:
                 inline[-1][tag] -= 1
             else:
@@ -217,12 +244,17 @@ def leaf_blocks(source: str) -> list[Block]:
                     i = find(ends.split(), stops)
                     if i is not None:
                         pop_to(i)
-                names = [w for _, value in named for w in _TOKENS.findall(value.lower())]
-                said = ["like=said"] if any(_SAID.search(value.lower()) for _, value in named) else []
-                keys = tuple(dict.fromkeys([f"in={tag}", *(f"named={w}" for w in names), *said]))
-                stack.append((tag, keys))
+                words = tuple(dict.fromkeys(w.lower() for _, value in named for w in _TOKENS.findall(value)))
+                parent = stack[-1][1] if stack else None
+                stack.append((tag, Container(tag, words, parent)))
                 open_tags[tag] = open_tags.get(tag, 0) + 1
-                add(keys)
+                around[f"in={tag}"] = 1
+                if tag in ("h1", "main") or tag == "article" and first_article:
+                    first_article = first_article and tag != "article"
+                    for c in _up(parent):
+                        if c.holds_article:
+                            break
+                        c.holds_article = True
                 if tag in _INLINE:
                     inline[-1][tag] = inline[-1].get(tag, 0) + 1
                 else:
@@ -241,9 +273,19 @@ def leaf_blocks(source: str) -> list[Block]:
 def block_features(b: Block) -> list[str]:
     text, n = b.text, len(b.text)
     out = ["bias", *b.around, f"tag={b.inner}"]
+    names = {w for c in _up(b.container, NEAR) if not c.holds_article and c.tag not in ("html", "body") for w in c.words}
+    out += [f"named={w}" for w in sorted(names)]
+    if 0 < len(b.heading) <= 3:
+        # A heading speaks for what is under it if it is one word, beside small words and numbers.
+        out += [f"under={w}" for w in b.heading if len(b.heading) == 1] + [f"under={len(b.heading)}={w}" for w in b.heading if len(b.heading) > 1]
+    repeated = next((c for c in _up(b.container, NEAR) if c.parent is not None and c.tag != "p" and not c.holds_article and c.blocks > 1 and c.parent.like.get(c.kind, 0) > 1), None)
+    if repeated:
+        out += [f"repeated={repeated.tag}", "repeated"]
     out += [f"size={min(9, n.bit_length())}", f"linked={min(3, 4 * b.anchored // max(1, n))}", f"ends={text[-1] in '.!?'}", f"copyright={'©' in text}"]
-    if n <= 60 and b.inner in _HEADINGS and _SAID.search(text.lower()):
-        out.append("says=said")
+    if n <= 60 and b.inner in _HEADINGS:
+        said = _TITLE.findall(text.lower())
+        if len(said) <= 3:
+            out += [f"says={len(said)}={w}" for w in said]
     return out
 
 

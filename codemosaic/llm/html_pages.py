@@ -15,6 +15,9 @@ _ADS = (("div", "ad"), ("div", "ads banner"), ("aside", "sponsored"), ("div", "p
 _NOTICES = (("div", "cookie-notice"), ("div", "notice"), ("div", "alert"), ("section", "consent"), ("div", "newsletter"))
 _COMMENTS = (("section", "comments"), ("div", "comment-list"), ("div", "replies"), ("ol", "comments"), ("div", "responses"), ("div", "discussion"), ("div", "user-comments"))
 _SAYINGS = ("Comments", "# comments", "Comments (#)", "# replies", "Responses", "Discussion", "Leave a comment", "Kommentare", "# Antworten", "Commentaires", "Comentarios")
+#: Names of wrappers and headings of articles that hold words of the others, so that these alone do not teach.
+_WRAPPERS = ("comment-open", "has-comments", "responsive-layout", "img-responsive", "with-sidebar", "no-ads", "header-fixed", "page", "wrapper", "layout-wide", "menu-left", "single", "no-footer", "replies-closed")
+_TITLES = ("Discussion", "Response times", "Corporate responsibility", "Comments on the method", "Discussion of results", "Replies by region", "Responses to drought", "Feedback loops", "Conclusion", "Reaction times")
 _HEADERS = (("header", ""), ("div", "header"), ("div", "masthead"), ("div", "topbar"))
 _FOOTERS = (("footer", ""), ("div", "footer"), ("div", "copyright"))
 _MENUS = (("nav", ""), ("div", "menu"), ("ul", "nav"), ("div", "breadcrumb"), ("div", "pagination"))
@@ -72,7 +75,7 @@ def _article(r: random.Random) -> list[tuple[str, str, bool]]:
     for _ in range(r.randint(1, 14)):
         kind, text = r.random(), _text(r)
         if kind < 0.1:
-            text = _sentence(r, 1, 6)
+            text = r.choice(_TITLES) if r.random() < 0.35 else _sentence(r, 1, 6)
             blocks.append((f"<h2>{_escaped(text)}</h2>", text, True))
         elif kind < 0.2:
             for _ in range(r.randint(2, 4)):
@@ -118,6 +121,20 @@ def _discussion(r: random.Random, main: str) -> list[tuple[str, str, bool]]:
         level = r.choice("2345")
         text = r.choice(_SAYINGS).replace("#", str(r.randint(1, 99)))
         blocks.append((f"<h{level}>{text}</h{level}>", text, False))
+    if sign < 0.3 and len(blocks) and blocks[-1][1] == "Discussion" or sign < 0.5 and r.random() < 0.5:
+        # Containers of one kind, each with a line of its writer and often one to reply.
+        inner = "article" if 0.3 <= sign < 0.5 else r.choice(("div", "li", "section"))
+        for _ in range(r.randint(2, 5)):
+            who, text = _word(r).capitalize(), _text(r, 3)
+            own = [(f"<p>{who}</p>", who), (f"<p>{_escaped(text)}</p>", text)]
+            if r.random() < 0.5:
+                own.append(('<p><a href="#">Reply</a></p>', "Reply"))
+            own[0] = (f"<{inner}>{own[0][0]}", own[0][1])
+            own[-1] = (f"{own[-1][0]}</{inner}>", own[-1][1])
+            blocks += [(h, t, False) for h, t in own]
+        blocks[0] = (_open(tag, name) + blocks[0][0], *blocks[0][1:])
+        blocks[-1] = (blocks[-1][0] + f"</{tag}>", *blocks[-1][1:])
+        return blocks
     for _ in range(r.randint(1, 5)):
         text = _text(r, 3)
         inner = "article" if 0.3 <= sign < 0.5 else r.choice(("div", "p", "li"))
@@ -134,7 +151,10 @@ def page(seed: int) -> list[tuple[str, str, bool]]:
     """The blocks of one page."""
     r = random.Random(seed)
     title = _sentence(r, 1, 8)
-    blocks = [(f"<!DOCTYPE html><html><head><title>{_escaped(title)}</title><style>p{{}}</style><script>var x='</p>';</script></head><body>", title, False)]
+    blocks = [(f"<!DOCTYPE html><html><head><title>{_escaped(title)}</title><style>p{{}}</style><script>var x='</p>';</script></head>", title, False)]
+    wrapped = r.random() < 0.5
+    names = [r.choice(_WRAPPERS) for _ in range(r.randint(0, 2))]
+    blocks[0] = (blocks[0][0] + _open("body", " ".join(names) if r.random() < 0.4 else "") + (_open("div", r.choice(_WRAPPERS)) if wrapped else ""), *blocks[0][1:])
     for kinds, chance in ((_HEADERS, 0.5), (_MENUS, 0.9), (_NOTICES, 0.4), (_ADS, 0.5)):
         if r.random() < chance:
             blocks += _boilerplate(r, kinds)
@@ -144,6 +164,8 @@ def page(seed: int) -> list[tuple[str, str, bool]]:
     for kinds, chance in ((_COMMENTS, 0.45), (_ASIDE, 0.4), (_ADS, 0.3), (_MENUS, 0.2), (_FOOTERS, 0.9)):
         if r.random() < chance:
             blocks += _boilerplate(r, kinds)
+    if wrapped:
+        blocks[-1] = (blocks[-1][0] + "</div>", *blocks[-1][1:])
     if r.random() < 0.9:
         blocks[-1] = (blocks[-1][0] + "</body></html>", *blocks[-1][1:])
     return blocks

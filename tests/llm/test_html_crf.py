@@ -111,3 +111,45 @@ def test_extract(spark, model):
     assert len(got) == 5 and all(r.n_chars == len(r.text) for r in got) and [r.text for r in got if r.page_id in (1, 2)] == ["", "", ""]
     assert next(r.text for r in got if r.page_id == 4).count("\n") == 4999
     assert html_crf.extract(spark.createDataFrame([], schema)).count() == 0
+
+
+P = "<p>Some long paragraph of the article with many words in it, and more words.</p>"
+SAID = P[3:-4]
+
+
+@pytest.mark.parametrize("name", ["responsive-layout", "img-responsive", "layout-wide", "comment-open", "has-comments single", "with-replies", "no-sidebar"])
+def test_names_of_the_layout_say_nothing(name):
+    model = html_crf.trained_model()
+    for page in (f"<html><body class='{name}'><article><h1>T</h1>{P}{P}</article></body></html>", f"<body><nav><a href=x>a</a></nav><div class='{name}'><main><h1>T</h1>{P}{P}</main></div><footer>c</footer>"):
+        assert html_crf.main_text(page, model) == f"T\n{SAID}\n{SAID}"
+
+
+@pytest.mark.parametrize("title", ["Corporate responsibility", "Corporate duty", "Discussion", "Response times", "Comments on the method"])
+def test_honest_headings_keep_their_text(title):
+    assert html_crf.main_text(f"<body><article><h1>T</h1>{P}<h2>{title}</h2>{P}</article>", html_crf.trained_model()) == f"T\n{SAID}\n{title}\n{SAID}"
+
+
+@pytest.mark.parametrize(
+    "said",
+    [
+        "<section class='comments'><h2>2 Comments</h2><div class=c><p>Ann</p><p>I liked it a lot.</p></div><div class=c><p>Bob</p><p>Me too.</p></div></section>", "<div><h2>Comments</h2><p>I liked it a lot.</p><p>Me too.</p></div>",
+        "<div class='comment-list'><p>I liked it a lot.</p></div>", "<section><article><p>I liked it a lot.</p></article><article><p>Me too.</p></article></section>",
+    ],
+)
+def test_comments_within_the_article_go(said):
+    assert html_crf.main_text(f"<body><article><h1>T</h1>{P}{said}</article><footer>&copy; c</footer>", html_crf.trained_model()) == f"T\n{SAID}"
+
+
+def test_held_out_pages_with_misleading_names():
+    model, right, n = html_crf.trained_model(), 0, 0
+    for rows, gold in html_crf.labelled_pages(300, 5000):
+        right += sum(a == b for a, b in zip(model.viterbi(model.scores(rows)), gold, strict=True))
+        n += len(gold)
+    assert right / n >= 0.99
+
+
+def test_deep_pages_take_linear_time():
+    deep = "".join(f"<div class='n{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}'>t{i}" for i in range(8000))
+    began = time.perf_counter()
+    html_crf.main_text(deep, html_crf.trained_model())
+    assert time.perf_counter() - began < 10
