@@ -399,19 +399,24 @@ def verified_patch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rewrite.verified_patches(_patches(files), files).select("path", "symbol", "success", "stage", "patched", "lines_before", "lines_after")
 
 
-@_query(f"SELECT path, concat('// Slice for ''run_service_', k, ''' (depth 2)', chr(10), 'use crate::Service_', CAST(greatest(CAST(k AS BIGINT) - 1, 0) AS STRING), ';', chr(10), chr(10), 'pub fn run_service_', k, '(s: Service_', k, ') -> u64 {{ s.id }}') AS sliced_code FROM (SELECT *, regexp_extract(path, '([0-9]+)', 1) AS k FROM ({SVC_RUST}))")
+@_query(f"SELECT path, concat('// whole: run_service_', k, chr(10), chr(10), 'use crate::Service_', CAST(greatest(CAST(k AS BIGINT) - 1, 0) AS STRING), ';', chr(10), chr(10), 'pub fn run_service_', k, '(s: Service_', k, ') -> u64 {{ s.id }}') AS sliced_code FROM (SELECT *, regexp_extract(path, '([0-9]+)', 1) AS k FROM ({SVC_RUST}))")
 def slice_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = corpus(spark, sf_dir, "svc_rust").withColumn("symbol", F.concat(F.lit("run_service_"), F.regexp_extract("path", "([0-9]+)", 1)))
     return files.select("path", rewrite.slice_column(F.col("content"), F.col("symbol"), F.lit(2), F.col("language")).getField("sliced_code").alias("sliced_code"))
 
 
 @_query(
-    """SELECT 'Service_0' AS target_symbol, CAST(2 AS INT) AS depth, 'Service_0; run_service_0' AS included_symbols,
-      concat('// Corpus slice for ''Service_0'' (symbols: 2, depth 2)', chr(10), chr(10), '// File: src/service_0.rs', chr(10), '// [Target]', chr(10), 'pub struct Service_0', chr(10), chr(10),
-        '// [Signature: Function]', chr(10), 'pub fn run_service_0(s: Service_0) -> u64;') AS sliced_code, CAST(85.0 AS DOUBLE) AS token_reduction_percent"""
+    f"""WITH n AS (SELECT *, CASE kind WHEN 'Struct' THEN 'struct' ELSE 'fn' END AS shown FROM ({_NODES})),
+e AS (SELECT from_name AS a, to_name AS b FROM ({_EDGES}) UNION SELECT to_name, from_name FROM ({_EDGES})),
+near AS (SELECT name AS s, name AS x FROM n UNION SELECT a, b FROM e UNION SELECT p.a, q.b FROM e p JOIN e q ON p.b = q.a)
+SELECT s AS target_symbol, CAST(2 AS INT) AS depth, string_agg(name, '; ' ORDER BY file, kind DESC) AS included_symbols,
+  concat(string_agg(concat(CASE WHEN name = s THEN '// > ' ELSE '//   ' END, file, ' ', shown, ' ', name), chr(10) ORDER BY file, kind DESC), chr(10), chr(10), string_agg(signature, chr(10) ORDER BY file, kind DESC)) AS sliced_code,
+  CAST(85.0 AS DOUBLE) AS token_reduction_percent
+FROM near JOIN n ON n.name = near.x GROUP BY s"""
 )
 def slice_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = rewrite.slice_corpus(_svc(spark, sf_dir), "Service_0", 2)
+    c = _svc(spark, sf_dir)
+    found = rewrite.slice_symbols(c, c.nodes.select(F.col("name").alias("symbol")), 2)
     return found.withColumn("included_symbols", F.array_join("included_symbols", "; "))
 
 
