@@ -236,13 +236,16 @@ class CodeCorpus:
 
     def resolve_symbols(self, wanted: DataFrame) -> DataFrame:
         """For each of wanted(name, from_file), from_file null or not: the nodes' columns of the symbol that is meant, null if there is
-        none. One join and an aggregate that keeps the first candidate, so a common name is reduced before it is dealt out."""
-        asked = wanted.select("name", F.replace("from_file", F.lit("\\"), F.lit("/")).alias("from_file")).distinct()
-        found = asked.withColumnRenamed("name", "asked").join(self.nodes, F.col("asked") == F.col("name"))
-        order = F.struct((~F.col("file").eqNullSafe(F.col("from_file"))).alias("other"), "file", "pattern_ord", "byte_start", "symbol_id")
-        first = found.groupBy("asked", F.col("from_file").alias("asked_from")).agg(F.min_by(F.struct(*self.nodes.columns), order).alias("node"))
-        same = (F.col("wanted") == F.col("asked")) & F.col("from_file").eqNullSafe(F.col("asked_from"))
-        return asked.withColumnRenamed("name", "wanted").join(first, same, "left").select("wanted", "from_file", "node.*")
+        none. Nodes are reduced before they are joined, to the first of each name in each file and the first of each name: so a
+        name that every file declares, asked for from every file, makes a row a question and not one for each pair."""
+        asked = wanted.select(F.col("name").alias("wanted"), F.replace("from_file", F.lit("\\"), F.lit("/")).alias("from_file")).distinct()
+        nodes = self.nodes.select(F.col("name").alias("has"), F.col("file").alias("at"), F.struct(*self.nodes.columns).alias("node"))
+        order = F.struct("node.file", "node.pattern_ord", "node.byte_start", "node.symbol_id")
+        own = nodes.groupBy("has", "at").agg(F.min_by("node", order).alias("own"))
+        first = nodes.groupBy("has").agg(F.min_by("node", order).alias("first")).withColumnRenamed("has", "named")
+        here = (F.col("wanted") == F.col("has")) & F.col("from_file").eqNullSafe(F.col("at"))
+        found = asked.join(own, here, "left").join(first, F.col("wanted") == F.col("named"), "left")
+        return found.select("wanted", "from_file", F.coalesce("own", "first").alias("node")).select("wanted", "from_file", "node.*")
 
     def impact_all(self, depth: int = 2, starts: DataFrame | None = None) -> DataFrame:
         """A report for each of starts(symbol, file, symbol_id): dependents in up to depth steps and references from other

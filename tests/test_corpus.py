@@ -232,3 +232,33 @@ def test_cache_order(spark):
     assert got["c", 4].evicted == got["c", 2].content_hash and got["c", 7].evicted == got["c", 4].content_hash and got["c", 7].n_entries == 1 + (got["c", 7].evicted is not None) * 0
     lru = Lru(1)
     assert lru.insert("a") is None and lru.insert("a") == "a" and list(lru.entries) == ["a"]
+
+
+def test_a_common_name_asked_for_from_every_file_is_not_joined_by_pairs(spark):
+    n = 3000
+    rows = [(f"p{i:04}.py", "python", "def open(self):\n    return 1\n\nclass open:\n    pass\n") for i in range(n)]
+    c = CodeCorpus(files(spark, rows))
+    asked = [("open", p) for p, _, _ in rows] + [("open", None), ("open", "elsewhere.py"), ("nothing", None), (None, "p0001.py")]
+    out = c.resolve_symbols(spark.createDataFrame(asked, "name string, from_file string"))
+    got = {(r.wanted, r.from_file): (r.file, r.kind) for r in out.collect()}
+    assert got == {("open", p): (p, "Function") for p, _, _ in rows} | {("open", None): ("p0000.py", "Function"), ("open", "elsewhere.py"): ("p0000.py", "Function"), ("nothing", None): (None, None), (None, "p0001.py"): (None, None)}
+    assert most_rows_of_a_join(spark, out) <= 2 * len(asked)
+    c.unpersist()
+
+
+def most_rows_of_a_join(spark, df):
+    """The most rows that a join of a plan that has run made."""
+    todo, most = [df._jdf.queryExecution().executedPlan()], 0
+    while todo:
+        plan = todo.pop()
+        if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+            todo.append(plan.executedPlan())
+            continue
+        if plan.getClass().getSimpleName().endswith("QueryStageExec"):
+            todo.append(plan.plan())
+            continue
+        if "Join" in plan.nodeName() and plan.metrics().contains("numOutputRows"):
+            most = max(most, plan.metrics().apply("numOutputRows").value())
+        children = plan.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return most
