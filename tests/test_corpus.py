@@ -262,3 +262,46 @@ def most_rows_of_a_join(spark, df):
         children = plan.children()
         todo += [children.apply(i) for i in range(children.size())]
     return most
+
+
+def test_slices_equal_brute_force_and_share_what_they_list(spark):
+    r = random.Random(5)
+    for n, many, task_bytes in ((14, 2, 1 << 29), (40, 1, 300)):
+        names = [f"n{i:02}q" for i in range(n)]
+        rows = [(f"f{i % 5}_{x}.rs", "rust", f"/// é\npub fn {x}({', '.join(f'a: {y}' for y in r.sample(names, r.randrange(many + 1)))}) {{}}\n") for i, x in enumerate(names)]
+        rows += [(f"hub{i}.rs", "rust", f"pub fn hub{i}({', '.join(names[i * 4 : i * 4 + 4])}) {{}}\n") for i in range(3)] + [("z.rs", "rust", f"fn {names[0]}() {{}}\nstruct {names[0]};\n")]
+        c = CodeCorpus(files(spark, rows))
+        nodes = {x.symbol_id: x for x in c.nodes.collect()}
+        near = {i: {i} for i in nodes}
+        for x in c.edges.collect():
+            near[x.from_id].add(x.to_id)
+            near[x.to_id].add(x.from_id)
+        holder = {}
+        for x in sorted(nodes.values(), key=lambda x: (x.file, x.pattern_ord, x.byte_start, x.symbol_id)):
+            holder.setdefault(x.name, x.symbol_id)
+        wanted = spark.createDataFrame([(x,) for x in [*holder, "missing", names[1]]] + [(None,)], "symbol string")
+        for depth in (0, 1, 2, 3, 4):
+            want = {"missing": ([], "", 0.0), None: ([], "", 0.0)}
+            for name, i in holder.items():
+                ball = {i}
+                for _ in range(depth):
+                    ball = set().union(*(near[x] for x in ball))
+                listed = sorted((nodes[x] for x in ball), key=lambda x: (x.file, x.byte_start, x.name, x.kind))
+                shown = {"Function": "fn", "Struct": "struct"}
+                text = "\n".join(f"//{' > ' if x.symbol_id == i else '   '}{x.file} {shown[x.kind]} {x.name}" for x in listed) + "\n\n" + "\n".join(x.signature for x in listed)
+                want[name] = ([x.name for x in listed], text, 85.0)
+            for shared in (True, False):
+                got = [(x.target_symbol, (x.included_symbols, x.sliced_code, x.token_reduction_percent)) for x in rewrite.slice_symbols(c, wanted, depth, shared, task_bytes).collect()]
+                assert len(got) == len(want) and dict(got) == want
+        c.unpersist()
+
+
+def test_symbols_around_one_hub_make_rows_by_symbol_not_by_pair(spark):
+    n = 400
+    rows = [("hub.rs", "rust", "pub struct Hub;\n")] + [(f"u{i:03}.rs", "rust", f"pub fn use_{i:03}x(h: Hub) {{}}\n") for i in range(n)]
+    c = CodeCorpus(files(spark, rows))
+    out = rewrite.slice_symbols(c, c.nodes.selectExpr("name AS symbol"), 2)
+    got = out.collect()
+    assert len(got) == n + 1 and all(len(r.included_symbols) == n + 1 and r.sliced_code.count("// > ") == 1 for r in got)
+    assert most_rows_of_a_join(spark, out) <= 3 * n
+    c.unpersist()
