@@ -8,7 +8,7 @@ from codemosaic.functions.languages import EXTENSIONS, extension_of, language_na
 from codemosaic.operators import rewrite
 from codemosaic.operators.cache import Lru, replay
 from codemosaic.operators.contracts import contract_names, synthesize, verify_contracts
-from codemosaic.operators.graph import CodeCorpus, edges, references
+from codemosaic.operators.graph import CodeCorpus, centres, edges, numbered, references
 from codemosaic.operators.symbols import extract_symbols, imports, nodes_of, resolved
 from codemosaic.plans.corpora import corpus
 
@@ -305,3 +305,46 @@ def test_symbols_around_one_hub_make_rows_by_symbol_not_by_pair(spark):
     assert len(got) == n + 1 and all(len(r.included_symbols) == n + 1 and r.sliced_code.count("// > ") == 1 for r in got)
     assert most_rows_of_a_join(spark, out) <= 3 * n
     c.unpersist()
+
+
+def test_slices_come_from_tasks_of_bounded_text(spark):
+    """A Parquet writer may hold what a task makes, so a task makes few texts however large they are."""
+    from pyspark.sql import functions as F
+
+    groups = {"aa": 90, "bb": 60, "cc": 30, "dd": 1}
+    rows = [(f"{g}.rs", "rust", f"pub struct {g};\n") for g in groups] + [(f"{g}{i:02}.rs", "rust", f"pub fn {g}_{i:02}x(h: {g}) {{}}\n") for g, n in groups.items() for i in range(n)]
+    c = CodeCorpus(files(spark, rows))
+    wanted = c.nodes.selectExpr("name AS symbol")
+    size = F.octet_length("included_symbols") + F.octet_length("sliced_code")
+    want = None
+    for task_bytes in (60_000, 900):
+        for more in ({}, {"list_bytes": 0}):  # lists broadcast, then lists dealt out
+            out = rewrite.slice_symbols(c, wanted, 2, task_bytes=task_bytes, separator="; ", **more)
+            tasks = out.select(F.spark_partition_id().alias("p"), size.alias("n"), F.struct("target_symbol", "included_symbols", "sliced_code").alias("r")).collect()
+            made = {}
+            for x in tasks:
+                made[x.p] = made.get(x.p, 0) + x.n
+            assert max(made.values()) <= task_bytes + max(x.n for x in tasks)
+            got = sorted(tuple(x.r) for x in tasks)
+            want = want or got
+            assert got == want and len(got) == len(rows) and all(len(names.split("; ")) == groups[s[:2]] + 1 and code.count(f"// > {s[:2]}") == 1 and f" {s}\n" in code for s, names, code in got)
+    c.unpersist()
+
+
+def test_neighbourhoods_within_others_equal_brute_force(spark):
+    r = random.Random(3)
+    dense = {(a, b) for a in range(40) for b in range(40) if a < b}
+    for pairs in (dense, {(a, b) for a in range(25) for b in range(25) if a < b and r.random() < 0.2}, {(0, b) for b in range(1, 9)} | {(-1, 20)}):
+        near = {}
+        for a, b in pairs:
+            near.setdefault(a, {a}).add(b)
+            near.setdefault(b, {b}).add(a)
+        links = spark.createDataFrame(sorted(pairs | {(b, a) for a, b in pairs}), "here long, there long")
+        found = {}
+        for x in centres(links).collect():
+            found.setdefault(x.here, set()).add(x.there)
+        top = set().union(*found.values())
+        assert {frozenset(near[x]) for x in top} == {frozenset(m) for m in near.values() if not any(m < o for o in near.values())} and len({frozenset(near[x]) for x in top}) == len(top)
+        assert found == {x: near[x] & top for x in near}
+    ids = ["0000000000000000", "ffffffffffffffff", "8000000000000000", "7fffffffffffffff", "00000000000000ff"]
+    assert [x[0] for x in spark.createDataFrame([(i,) for i in ids], "i string").select(numbered("i")).collect()] == [0, -1, -(1 << 63), (1 << 63) - 1, 255]
